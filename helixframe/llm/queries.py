@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, sharding, topk
+from . import common, decontaminate, html_text, langid, packing, quality, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,11 +22,46 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 500)
+    folder = common.scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, payloads=False).drop("url")
+
+
 def op2_vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 1000)
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.held_out("doc_id", 4, 2)
+    model = langid.fit(docs, ~held_out)
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 500)
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 1000)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.held_out("doc_id", 5, 0)
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.join(labels, "doc_id"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 1000)
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_rows(spark, 1000)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
@@ -51,9 +86,24 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WHERE rank <= 5
 """
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, lower(sha1(b)) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND last <> page_id THEN last END AS refers_to
+FROM g
+"""
+
 QUERIES: dict[str, Query] = {
+    "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_shards": op2_vector_shards,
+    "op3_language_id": op3_language_id,
+    "op5_style_tree_text": op5_style_tree_text,
+    "op7_subword_quality": op7_subword_quality,
+    "op8_spaced_seeds": op8_spaced_seeds,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op10_ball_tree_top_k": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_round_trip": WARC_SQL, "op10_ball_tree_top_k": TOP_K_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_text, langid, packing, quality, sharding, topk, warc
+from . import common, decontaminate, html_text, langid, packing, quality, repeats, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op5_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), threshold=50)
+
+
 def op7_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_rows(spark, 1000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op2_vector_shards": op2_vector_shards,
     "op3_language_id": op3_language_id,
     "op5_style_tree_text": op5_style_tree_text,
+    "op6_radix_repeats": op6_radix_repeats,
     "op7_subword_quality": op7_subword_quality,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_best_fit_packing": op9_best_fit_packing,

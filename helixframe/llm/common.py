@@ -60,3 +60,13 @@ def slices(spark: SparkSession, amount: float, each: float, most: int = 100_000)
     """Partitions for an amount of work at so much each, the session's setting at least."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(most, int(amount / each) + 1))
+
+
+def looked_up(table: DataFrame, tag: str, most_rows: int = 100_000) -> DataFrame:
+    """A table to be joined by its unique key: written out, and broadcast only up to so many rows.
+
+    Beyond that both sides of the join are shuffled as they are, so Spark can split a
+    hot key's rows.
+    """
+    written = materialise(table, tag)
+    return F.broadcast(written) if written.count() <= most_rows else written

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_text, langid, packing, quality, repeats, sharding, topk, warc
+from . import common, decontaminate, html_text, jaccard, langid, packing, quality, repeats, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), percent=75, words=5)
+
+
 def op5_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.arrow_rows(spark, 500)
     return html_text.main_text(table(spark, sf_dir, "pages"))
@@ -104,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_shards": op2_vector_shards,
     "op3_language_id": op3_language_id,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_style_tree_text": op5_style_tree_text,
     "op6_radix_repeats": op6_radix_repeats,
     "op7_subword_quality": op7_subword_quality,

@@ -207,7 +207,7 @@ def whole_copies(blocks: DataFrame) -> DataFrame:
 
     each = blocks.select("block", "ids", "digests").mapInPandas(rows, "doc_id long, digest binary, block long, nth int")
     first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    return each.join(first, "digest").filter("doc_id > first").groupBy("block").agg(F.collect_list("nth").alias("copies"))
+    return each.join(common.looked_up(first, "repeat-digests"), "digest").filter("doc_id > first").groupBy("block").agg(F.collect_list("nth").alias("copies"))
 
 
 def radix_groups(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -148,7 +148,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: int = 6
     facts = rows.select(F.coalesce("page_id", F.raise_error(F.concat(F.lit("a page has no page_id: "), F.coalesce("url", F.lit("")))).cast("long")).alias("page_id"), F.sha1(data).alias("digest"), F.octet_length(data).cast("long").alias("size"))
     facts = common.materialise(facts, "warc-facts")
     firsts = facts.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    repeats = facts.join(firsts, ["digest", "size"])
+    repeats = facts.join(common.looked_up(firsts, "warc-firsts"), ["digest", "size"])
     nth = F.row_number().over(Window.partitionBy("digest", "size", "page_id").orderBy("page_id"))
     # rows with the response's own id and payload: one of them is the response
     same = repeats.filter(F.col("page_id") == F.col("refers_to")).withColumn("nth", nth).filter("nth > 1").drop("nth")

@@ -93,33 +93,40 @@ def opened(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarra
     return np.frombuffer(ids, "<i8"), ends, np.frombuffer(raw, np.uint8)
 
 
-def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Documents as blocks of compressed bytes: block, ids, sizes, digests, data."""
+def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents as blocks of compressed bytes: block, ids, sizes, digests, data.
+
+    With carry there is one more, rest: those columns of each document as JSON.
+    """
+    names = ["block", "ids", "sizes", "digests", "data", *(["rest"] if carry else [])]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.array([i for i, _ in held], "<i8").tobytes()
-            sizes = np.array([len(t) for _, t in held], "<i8").tobytes()
-            digests = b"".join(hashlib.md5(t).digest() for _, t in held)
-            joined = b"".join(t for _, t in held)
+            ids = np.array([i for i, *_ in held], "<i8").tobytes()
+            sizes = np.array([len(t) for _, t, *_ in held], "<i8").tobytes()
+            digests = b"".join(hashlib.md5(t).digest() for _, t, *_ in held)
+            joined = b"".join(t for _, t, *_ in held)
             data = pa.compress(joined, codec="zstd", asbytes=True) if joined else b""
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in (ids, sizes, digests, data)]], ["block", "ids", "sizes", "digests", "data"])
+            rest = ["\n".join(r for *_, r in held).encode()] if carry else []  # JSON has no line ends
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in (ids, sizes, digests, data, *rest)]], names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 raw = text.encode() if text else b""
                 if held and size + len(raw) > block_bytes:
                     yield flush()
                     number, held, size = number + 1, [], 0
-                held.append((doc_id, raw))
+                held.append((doc_id, raw, *rest))
                 size += len(raw)
         if held:
             yield flush()
 
     doc_id = F.coalesce("doc_id", F.raise_error(F.concat(F.lit("a row has no doc_id: "), F.coalesce(F.left("text", F.lit(40)), F.lit("")))).cast("long"))
-    return common.materialise(common.plain(docs, "doc_id", "text").select(doc_id.alias("doc_id"), "text").mapInArrow(build, "block long, ids binary, sizes binary, digests binary, data binary"), "repeat-blocks")
+    rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])).alias("rest")] if carry else []
+    schema = ", ".join(f"{n} {'long' if n == 'block' else 'binary'}" for n in names)
+    return common.materialise(docs.select(doc_id.alias("doc_id"), "text", *rest).mapInArrow(build, schema), "repeat-blocks")
 
 
 def packed(mask: np.ndarray) -> bytes:
@@ -346,22 +353,22 @@ def cleared(blocks: DataFrame, threshold: int, k: int, buckets: int, shared: Dat
     return dealt.mapInPandas(lambda batches: by_key(batches, "bucket", sort), "block long, ranges binary")
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_bytes: int = 1 << 20, bucket_chars: int = 32 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_bytes: int = 1 << 20, bucket_chars: int = 32 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the bytes of its repeated windows.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes
-    that stay) if with_text is set.
+    that stay) if with_text is set. carry names columns to return as well.
     """
     spark = docs.sparkSession
     _, chars = common.text_size(docs)
     buckets = common.slices(spark, chars, bucket_chars, 1 << 20)
     common.arrow_rows(spark, 500)
-    blocks = blocks_of(docs, block_bytes)
+    blocks = blocks_of(docs, block_bytes, carry)
     common.arrow_rows(spark, 64)  # rows are packed arrays from here on
     shared = shared_anchors(anchor_messages(blocks, buckets, threshold, k), buckets)
     copies = common.materialise(whole_copies(blocks), "repeat-copies")
     ranges = cleared(blocks, threshold, k, buckets, shared, copies)
-    met = blocks.select("block", "ids", "sizes", "data").join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left").join(copies, "block", "left")
+    met = blocks.drop("digests").join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left").join(copies, "block", "left")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -378,13 +385,18 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_byte
                 for i in row.copies if row.copies is not None else ():
                     if ends[i] - starts[i] >= threshold:
                         gone[starts[i] : ends[i]] = True
-                out = []
-                for doc_id, s, e in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                out, rest = [], row.rest.decode().split("\n") if carry else [""] * len(ids)
+                for doc_id, s, e, other in zip(ids.tolist(), starts.tolist(), ends.tolist(), rest, strict=True):
                     own = gone[s:e]
                     n = int(own.sum())
                     kept = data[s:e].tobytes() if not n else data[s:e][~own].tobytes()
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
-                    out.append((doc_id, e - s, n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-                yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
-
-    return met.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+                    out.append((doc_id, e - s, n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else []), *([other] if carry else [])))
+                yield pd.DataFrame(out, columns=names)
+
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *(["rest"] if carry else [])]
+    done = met.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + ", rest string" * bool(carry))
+    if not carry:
+        return done
+    kinds = docs.select(*[F.col(f"`{c}`") for c in carry]).schema
+    return done.withColumn("rest", F.from_json("rest", kinds)).select("*", "rest.*").drop("rest")

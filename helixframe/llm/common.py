@@ -62,6 +62,17 @@ def slices(spark: SparkSession, amount: float, each: float, most: int = 100_000)
     return max(least, min(most, int(amount / each) + 1))
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Write df as a table bucketed by key; a join on the key and others then leaves its rows in place."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    buckets = slices(spark, 2 * df.rdd.getNumPartitions(), 1)
+    path = scratch_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def looked_up(table: DataFrame, tag: str, most_rows: int = 100_000) -> DataFrame:
     """A table to be joined by its unique key: written out, and broadcast only up to so many rows.
 

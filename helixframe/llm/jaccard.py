@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .repeats import LETTERS, blocks_of, bucket_cuts, by_key, distinct, opened, packed, unpacked
+from .repeats import LETTERS, blocks_of, bucket_cuts, by_block, by_key, distinct, opened, packed, unpacked
 
 BASE = (1 << 63) // 5 * 2 + 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -166,7 +166,7 @@ def distinct_counts(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def survivors(blocks: DataFrame, shared: DataFrame, copies: DataFrame, rule: Rule, words: int, buckets: int) -> DataFrame:
     """Sets of the documents that may have links, as blocks: block, ids, sizes, sets."""
-    met = blocks.join(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "block").join(copies, "block", "left")
+    met = blocks.join(by_block(shared, "bucket", "bits"), ["part", "block"]).join(copies, ["part", "block"], "left").drop("part")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -446,13 +446,13 @@ def similar(docs: DataFrame, percent: int = 75, words: int = 5, most: int = 120,
     buckets = common.slices(spark, chars, bucket_chars, 1 << 20)
     common.arrow_rows(spark, 500)
     blocks = blocks_of(docs, block_bytes).drop("digests")
-    common.arrow_rows(spark, 64)
+    common.arrow_rows(spark, 16)
     facts = narrow(blocks, words)
     filled = facts.filter("n > 0")
     reps = filled.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "block", "nth")).alias("at"), F.count(F.lit(1)).alias("times"))
     reps = common.materialise(reps, "jaccard-reps")
     repeated = filled.join(reps.filter("times > 1"), "sig").filter((F.col("block") != F.col("at.block")) | (F.col("nth") != F.col("at.nth")))
-    copies = common.materialise(repeated.groupBy("block").agg(F.collect_list("nth").alias("copies")), "jaccard-copies")
+    copies = common.materialise(by_block(repeated.select("block", F.col("nth").alias("copies")), "copies"), "jaccard-copies")
 
     from .repeats import shared_anchors
 

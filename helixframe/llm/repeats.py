@@ -94,11 +94,13 @@ def opened(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarra
 
 
 def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Documents as blocks of compressed bytes: block, ids, sizes, digests, data.
+    """Documents as blocks of compressed bytes: part, block, ids, sizes, digests, data.
 
-    With carry there is one more, rest: those columns of each document as JSON.
+    With carry there is one more, rest: those columns of each document as JSON. The table
+    is bucketed by part, the task that wrote a block, so what is later joined to the
+    blocks moves to them and the texts stay where they are.
     """
-    names = ["block", "ids", "sizes", "digests", "data", *(["rest"] if carry else [])]
+    names = ["part", "block", "ids", "sizes", "digests", "data", *(["rest"] if carry else [])]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -110,7 +112,7 @@ def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) ->
             joined = b"".join(t for _, t, *_ in held)
             data = pa.compress(joined, codec="zstd", asbytes=True) if joined else b""
             rest = ["\n".join(r for *_, r in held).encode()] if carry else []  # JSON has no line ends
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in (ids, sizes, digests, data, *rest)]], names)
+            return pa.RecordBatch.from_arrays([pa.array([number >> 32], pa.int64()), pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in (ids, sizes, digests, data, *rest)]], names)
 
         for b in batches:
             for doc_id, text, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -125,8 +127,14 @@ def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) ->
 
     doc_id = F.coalesce("doc_id", F.raise_error(F.concat(F.lit("a row has no doc_id: "), F.coalesce(F.left("text", F.lit(40)), F.lit("")))).cast("long"))
     rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])).alias("rest")] if carry else []
-    schema = ", ".join(f"{n} {'long' if n == 'block' else 'binary'}" for n in names)
-    return common.materialise(docs.select(doc_id.alias("doc_id"), "text", *rest).mapInArrow(build, schema), "repeat-blocks")
+    schema = ", ".join(f"{n} {'long' if n in ('part', 'block') else 'binary'}" for n in names)
+    return common.bucketed(docs.select(doc_id.alias("doc_id"), "text", *rest).mapInArrow(build, schema), "part", "blocks")
+
+
+def by_block(messages: DataFrame, *columns: str) -> DataFrame:
+    """All of a block's messages in one row, with the block's part."""
+    own = F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
+    return messages.groupBy(F.shiftright("block", 32).alias("part"), "block").agg(F.collect_list(own).alias(columns[-1]))
 
 
 def packed(mask: np.ndarray) -> bytes:
@@ -154,7 +162,9 @@ def by_key(batches: Iterator[pd.DataFrame], key: str, work: Callable[[int, pd.Da
 def bucket_cuts(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets that occur, and where each begins and ends."""
     number = ((sorted_hashes >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)
-    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.empty(0, np.int64)
+    if not len(number):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
     return number[first].astype(np.int64), first, np.append(first[1:], len(number))
 
 
@@ -204,7 +214,7 @@ def shared_anchors(messages: DataFrame, buckets: int) -> DataFrame:
 
 
 def whole_copies(blocks: DataFrame) -> DataFrame:
-    """block, copies: the places in the block of documents that equal one with a smaller id."""
+    """part, block, copies: the places in the block of documents that equal one with a smaller id."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -214,7 +224,7 @@ def whole_copies(blocks: DataFrame) -> DataFrame:
 
     each = blocks.select("block", "ids", "digests").mapInPandas(rows, "doc_id long, digest binary, block long, nth int")
     first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    return each.join(common.looked_up(first, "repeat-digests"), "digest").filter("doc_id > first").groupBy("block").agg(F.collect_list("nth").alias("copies"))
+    return each.join(common.looked_up(first, "repeat-digests"), "digest").filter("doc_id > first").select("block", F.col("nth").alias("copies")).transform(by_block, "copies")
 
 
 def radix_groups(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +273,7 @@ def surroundings(data: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.
 def cleared(blocks: DataFrame, threshold: int, k: int, buckets: int, shared: DataFrame, copies: DataFrame) -> DataFrame:
     """block, ranges: (document's place, start, end) to remove, as packed arrays."""
     side, width = threshold - k, 2 * (threshold - k) + k
-    met = blocks.select("block", "ids", "sizes", "data").join(shared.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "block").join(copies, "block", "left")
+    met = blocks.select("part", "block", "ids", "sizes", "data").join(by_block(shared, "bucket", "bits"), ["part", "block"]).join(copies, ["part", "block"], "left").drop("part")
 
     def whole_range(rows: np.ndarray, nth: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
         left, right = rows[which, width].astype(np.int64), rows[which, width + 1].astype(np.int64)
@@ -364,11 +374,11 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_byte
     buckets = common.slices(spark, chars, bucket_chars, 1 << 20)
     common.arrow_rows(spark, 500)
     blocks = blocks_of(docs, block_bytes, carry)
-    common.arrow_rows(spark, 64)  # rows are packed arrays from here on
+    common.arrow_rows(spark, 16)  # rows are packed arrays from here on
     shared = shared_anchors(anchor_messages(blocks, buckets, threshold, k), buckets)
     copies = common.materialise(whole_copies(blocks), "repeat-copies")
     ranges = cleared(blocks, threshold, k, buckets, shared, copies)
-    met = blocks.drop("digests").join(ranges.groupBy("block").agg(F.collect_list("ranges").alias("ranges")), "block", "left").join(copies, "block", "left")
+    met = blocks.drop("digests").join(by_block(ranges, "ranges"), ["part", "block"], "left").join(copies, ["part", "block"], "left").drop("part")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

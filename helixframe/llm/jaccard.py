@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .repeats import LETTERS, blocks_of, bucket_cuts, by_block, by_key, distinct, opened, packed, unpacked
+from .repeats import LETTERS, blocks_of, bucket_cuts, by_block, by_key, distinct, opened, packed, remixed, unpacked
 
 BASE = (1 << 63) // 5 * 2 + 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -113,6 +113,10 @@ class Rule:
     def prefix(self, n: int) -> int:
         return n - self.overlap(n) + self.extra(n)
 
+    def first(self, hashes: np.ndarray) -> np.ndarray:
+        """The prefix of a sorted set, its hashes spread over all buckets again."""
+        return remixed(hashes[: self.prefix(len(hashes))]) if len(hashes) else hashes
+
     def shared(self, n: int) -> int:
         """Members of its prefix that a linked set has in its own prefix, for its smallest possible partner."""
         return max(1, self.overlap(n) // 12)
@@ -139,7 +143,7 @@ def prefix_messages(blocks: DataFrame, rule: Rule, words: int, buckets: int) ->
         for b in batches:
             for row in b.itertuples(index=False):
                 _, ends, data = opened(row.ids, row.sizes, row.data)
-                own, many = distinct_counts([s[: rule.prefix(len(s))] if len(s) else s for s in shingle_sets(data, ends, words)])
+                own, many = distinct_counts([rule.first(s) for s in shingle_sets(data, ends, words)])
                 rows = [(n, row.block, low40(own[s:e]), packed(many[s:e] > 1)) for n, s, e in zip(*bucket_cuts(own, buckets), strict=True)]
                 yield pd.DataFrame(rows, columns=["bucket", "block", "low", "many"])
 
@@ -173,7 +177,7 @@ def survivors(blocks: DataFrame, shared: DataFrame, copies: DataFrame, rule: Rul
             for row in b.itertuples(index=False):
                 ids, ends, data = opened(row.ids, row.sizes, row.data)
                 sets = shingle_sets(data, ends, words)
-                prefixes = [s[: rule.prefix(len(s))] if len(s) else s for s in sets]
+                prefixes = [rule.first(s) for s in sets]
                 own, _ = distinct_counts(prefixes)
                 hit = np.zeros(len(own), bool)
                 spans = {n: (s, e) for n, s, e in zip(*[x.tolist() for x in bucket_cuts(own, buckets)], strict=True)}
@@ -232,7 +236,7 @@ def candidate_edges(sets: DataFrame, levels: DataFrame, rule: Rule, buckets: int
                     c = level[np.searchsorted(own, s)]
                     first = np.lexsort((s, c))[: rule.prefix(len(s))]
                     first = first[c[first] > 1]
-                    hashes.append(s[first])
+                    hashes.append(remixed(s[first]))
                     docs.append(np.full(len(first), doc_id))
                     sizes.append(np.full(len(first), len(s)))
                 h, d, n = np.concatenate(hashes), np.concatenate(docs), np.concatenate(sizes)

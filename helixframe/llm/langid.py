@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, most_words: i
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score as further columns."""
+    """docs with lang_pred and score as further columns, in place of any of these names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -139,4 +139,5 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = [held.value.predict(t) for t in texts]
         return pd.DataFrame(found, columns=["lang_pred", "score"])
 
+    docs = docs.drop("lang_pred", "score", "_found")
     return docs.withColumn("_found", predict(text)).select(*docs.columns, "_found.lang_pred", "_found.score")

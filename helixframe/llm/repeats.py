@@ -60,6 +60,12 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def remixed(h: np.ndarray) -> np.ndarray:
+    """Hashes chosen for being small, spread evenly again (one to one)."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, threshold: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all windows that lie within a document."""
     n = len(data)
@@ -82,7 +88,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, threshold: int, k: int) -> tuple
     chosen = np.zeros(n, bool)
     chosen[at] = True
     at = np.flatnonzero(chosen)
-    return at, h[at]
+    return at, remixed(h[at])
 
 
 def opened(ids: bytes, sizes: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,6 +334,8 @@ def cleared(blocks: DataFrame, threshold: int, k: int, buckets: int, shared: Dat
         rest = np.flatnonzero(left)
         many = np.bincount(inverse[rest], minlength=inverse.max(initial=-1) + 1)
         rest = rest[many[inverse[rest]] > 1]
+        # all windows around an anchor hold it, so those that go make one range: from the first to the last
+        low, high = np.full(len(h), side + 1, np.int16), np.full(len(h), -1, np.int16)
         for shift in range(side + 1):  # windows that start so many bytes into the surroundings
             own = rest[(shift >= side - rows[rest, width].astype(np.int64)) & (shift <= rows[rest, width + 1])]
             if len(own) < 2:
@@ -335,8 +343,10 @@ def cleared(blocks: DataFrame, threshold: int, k: int, buckets: int, shared: Dat
             members, groups = radix_groups(rows[own, shift : shift + threshold], inverse[own])
             lost, _ = settle(doc[own], members, groups)
             lost = own[lost]
-            start = at[lost] - side + shift
-            found.append((source[lost], np.stack([nth[lost], start, start + threshold], axis=1)))
+            low[lost], high[lost] = np.minimum(low[lost], shift), shift
+        lost = np.flatnonzero(high >= 0)
+        start = at[lost] - side
+        found.append((source[lost], np.stack([nth[lost], start + low[lost], start + high[lost] + threshold], axis=1)))
         where = np.concatenate([x for x, _ in found])
         ranges = np.concatenate([x for _, x in found])
         out = [(block, r) for block, r in zip(b["block"], b["ranges"], strict=True) if r]

@@ -39,7 +39,7 @@ def place_all(vectors: np.ndarray, weights: tuple[float, ...], bins: int) -> np.
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, split_at: float = 1 / 16, most_cells: int = 4096, groups_per_cell: int = 1000, overhead: int = 16, weights: tuple[float, float, float] = (32.0, 1.0, 1.0)) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, split_at: float = 0.5, most_cells: int = 4096, groups_per_cell: int = 1000, overhead: int = 16, weights: tuple[float, float, float] = (32.0, 1.0, 1.0)) -> DataFrame:
     """Every row with its shard and a gapless slot there.
 
     Returns doc_id, size, text_crc32, shard, slot. split_at: the part of a shard

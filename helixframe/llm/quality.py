@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every white-space word gives hashed features: the word itself and its character
-n-grams with word boundaries. A document is the average of its features' learned
+Every white-space word gives hashed features: the word itself, its character
+n-grams with word boundaries and, of the word pairs, whether it repeats the word before it. A document is the average of its features' learned
 vectors, followed by a softmax over two classes. Vectors and output weights are
 trained by plain stochastic gradient descent in numpy.
 
@@ -16,7 +16,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,12 +40,24 @@ def features(word: str, buckets: int, shortest: int = 3, longest: int = 5) -> li
     return out
 
 
+def repeat_bucket(buckets: int) -> int:
+    """The feature of a word that repeats the one before it."""
+    return zlib.crc32(b"\0again") % buckets
+
+
+def repeats(words: list[str]) -> int:
+    return sum(map(operator.eq, words, itertools.islice(words, 1, None)))
+
+
 def counted(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of a text and their shares."""
     total: Counter = Counter()
-    for word, n in Counter((text or "").split()).items():
+    words = (text or "").split()
+    for word, n in Counter(words).items():
         for f in features(word, buckets):
             total[f] += n
+    if again := repeats(words):
+        total[repeat_bucket(buckets)] += again
     ids = np.fromiter(total.keys(), np.int64, len(total))
     n = np.fromiter(total.values(), float, len(total))
     return ids, n / max(1.0, n.sum())
@@ -82,11 +96,13 @@ class Model:
             return self.prior
         get, word = self.cache.get, self.word
         total = sum([get(w) or word(w) for w in words], 0j)
+        if again := repeats(words):
+            total += again * complex(self.weights[repeat_bucket(len(self.weights))], 1)
         x = total.real / total.imag + self.bias
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def fit(labelled: DataFrame, fit_rows: int = 6000, buckets: int = 1 << 17, width: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> Model:
+def fit(labelled: DataFrame, fit_rows: int = 4000, buckets: int = 1 << 17, width: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> Model:
     """labelled has doc_id, text, label (0 or 1)."""
     usable = common.plain(labelled, "doc_id", "text", "label").filter("label is not null and text is not null")
     n = usable.count()

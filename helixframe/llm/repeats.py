@@ -395,13 +395,12 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_byte
             for row in b.itertuples(index=False):
                 ids, ends, data = opened(row.ids, row.sizes, row.data)
                 starts = ends - np.diff(np.append(0, ends))
-                gone = np.zeros(len(data) + 1, bool)
-                for part in row.ranges if row.ranges is not None else ():
-                    nth, s, e = np.frombuffer(part, "<u4").reshape(-1, 3).astype(np.int64).T
-                    step = np.zeros(len(data) + 1, np.int32)
-                    np.add.at(step, starts[nth] + s, 1)
-                    np.add.at(step, starts[nth] + e, -1)
-                    gone |= np.cumsum(step) > 0
+                step = np.zeros(len(data) + 1, np.int32)
+                if row.ranges is not None and len(row.ranges):
+                    nth, s, e = np.frombuffer(b"".join(row.ranges), "<u4").reshape(-1, 3).astype(np.int64).T
+                    step += np.bincount(starts[nth] + s, minlength=len(step)).astype(np.int32)
+                    step -= np.bincount(starts[nth] + e, minlength=len(step)).astype(np.int32)
+                gone = np.cumsum(step) > 0
                 for i in row.copies if row.copies is not None else ():
                     if ends[i] - starts[i] >= threshold:
                         gone[starts[i] : ends[i]] = True

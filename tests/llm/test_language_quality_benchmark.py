@@ -54,7 +54,8 @@ def test_overlaps_with_substitutions(spark):
     for block in (20_000, 1):
         found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.overlaps(docs, bench, block_items=block).collect()}
         assert set(found) == {(1, 1), (2, 1), (3, 1), (6, 2)}
-        assert found[2, 1]["matched"] == 26 and found[2, 1]["overlap"] == 30 and found[2, 1]["doc_start"] == 50
+        best = found[2, 1]  # of runs with equal worth the one found first
+        assert best["matched"] - 3 * (best["overlap"] - best["matched"]) == 15 and 50 <= best["doc_start"] <= 54
     assert decontaminate.overlaps(docs, bench.filter("item_id < 0")).count() == 0
     assert decontaminate.overlaps(docs.filter("doc_id < 0"), bench).count() == 0
 

@@ -135,7 +135,7 @@ def narrow(blocks: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(data, ends, words)
                 yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], "sig": [hashlib.md5(s.tobytes()).digest() for s in sets], "block": row.block, "nth": np.arange(len(ids), dtype=np.int32)})
 
-    return common.materialise(blocks.mapInPandas(rows, "doc_id long, n long, sig binary, block long, nth int"), "jaccard-sets")
+    return common.materialise(blocks.mapInPandas(common.trimmed(rows), "doc_id long, n long, sig binary, block long, nth int"), "jaccard-sets")
 
 
 def prefix_messages(blocks: DataFrame, rule: Rule, words: int, buckets: int) -> DataFrame:
@@ -147,7 +147,7 @@ def prefix_messages(blocks: DataFrame, rule: Rule, words: int, buckets: int) ->
                 rows = [(n, row.block, low40(own[s:e]), packed(many[s:e] > 1)) for n, s, e in zip(*bucket_cuts(own, buckets), strict=True)]
                 yield pd.DataFrame(rows, columns=["bucket", "block", "low", "many"])
 
-    return blocks.mapInPandas(send, "bucket int, block long, low binary, many binary")
+    return blocks.mapInPandas(common.trimmed(send), "bucket int, block long, low binary, many binary")
 
 
 def low40(hashes: np.ndarray) -> bytes:
@@ -189,7 +189,7 @@ def survivors(blocks: DataFrame, shared: DataFrame, copies: DataFrame, rule: Rul
                 if kept:
                     yield pd.DataFrame([(row.block, ids[kept].astype("<i8").tobytes(), np.array([len(sets[i]) for i in kept], "<i8").tobytes(), np.concatenate([sets[i] for i in kept]).astype("<u8").tobytes())], columns=["block", "ids", "sizes", "sets"])
 
-    return common.materialise(met.mapInPandas(pick, "block long, ids binary, sizes binary, sets binary"), "jaccard-survivors")
+    return common.materialise(met.mapInPandas(common.trimmed(pick), "block long, ids binary, sizes binary, sets binary"), "jaccard-survivors")
 
 
 def opened_sets(row) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -217,8 +217,8 @@ def rarity_classes(sets: DataFrame, buckets: int) -> DataFrame:
         out[order] = np.repeat(level, np.diff(np.append(first, len(order))))
         return pd.DataFrame({"block": rows["block"], "bucket": bucket, "levels": [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]})
 
-    dealt = sets.mapInPandas(send, "bucket int, block long, low binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(lambda batches: by_key(batches, "bucket", count), "block long, bucket int, levels binary")
+    dealt = sets.mapInPandas(common.trimmed(send), "bucket int, block long, low binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", count)), "block long, bucket int, levels binary")
 
 
 def candidate_edges(sets: DataFrame, levels: DataFrame, rule: Rule, buckets: int, small: int = 8) -> DataFrame:
@@ -278,8 +278,8 @@ def candidate_edges(sets: DataFrame, levels: DataFrame, rule: Rule, buckets: int
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         return pd.DataFrame({"a": a[first], "b": b[first], "need": np.minimum.reduceat(need, first), "times": np.minimum(CERTAIN, np.add.reduceat(times, first))})
 
-    dealt = met.mapInPandas(send, "bucket int, low binary, docs binary, sizes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    pairs = dealt.mapInPandas(lambda batches: by_key(batches, "bucket", connect), "a long, b long, need long, times long")
+    dealt = met.mapInPandas(common.trimmed(send), "bucket int, low binary, docs binary, sizes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    pairs = dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", connect)), "a long, b long, need long, times long")
     return pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("a", "b")
 
 
@@ -350,7 +350,7 @@ def cell_links(rows: DataFrame, keys: list[str], rule: Rule, parts: int) -> Data
         if held:
             yield flush()
 
-    return keyed.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(links, "a long, b long")
+    return keyed.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(common.trimmed(links), "a long, b long")
 
 
 def large_cell_links(rows: DataFrame, rule: Rule, most: int, parts: int, pivots: int = 8, rounds: int = 6) -> list[DataFrame]:
@@ -377,7 +377,7 @@ def large_cell_links(rows: DataFrame, rule: Rule, most: int, parts: int, pivots:
                     ids.append([p["doc_id"] for p in ps])
                 yield b[["cell", "doc_id", "n", "set"]].assign(pivot_ids=ids, away=away, near=near)
 
-        measured = rows.join(held, "cell").mapInPandas(measure, "cell string, doc_id long, n long, set binary, pivot_ids array<long>, away array<double>, near long")
+        measured = rows.join(held, "cell").mapInPandas(common.trimmed(measure), "cell string, doc_id long, n long, set binary, pivot_ids array<long>, away array<double>, near long")
         measured = common.materialise(measured, "jaccard-measured")
         at = F.posexplode("pivot_ids").alias("j", "pivot")
         near = F.getbit("near", "j") == 1
@@ -472,7 +472,7 @@ def similar(docs: DataFrame, percent: int = 75, words: int = 5, most: int = 120,
                 ids, own = opened_sets(row)
                 yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in own], "set": [s.tobytes() for s in own]})
 
-    rows = sets.mapInPandas(each, "doc_id long, n long, set binary").join(sized, "doc_id")
+    rows = sets.mapInPandas(common.trimmed(each), "doc_id long, n long, set binary").join(sized, "doc_id")
     parts = common.slices(spark, chars, bucket_chars)
     common.arrow_rows(spark, 400)
     found = cell_links(rows.filter(F.col("size") <= most), ["cell"], rule, parts)

@@ -46,7 +46,7 @@ def grams_of(word: str, n: int) -> list[str]:
 class Model:
     """Rows of log probabilities by language, and where each word and n-gram has its row."""
 
-    MOST = 200_000
+    MOST = 50_000
 
     def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, floor: np.ndarray) -> None:
         self.langs, self.words, self.grams, self.table, self.floor = langs, words, grams, table, floor
@@ -85,7 +85,7 @@ class Model:
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, most_words: int = 100_000, most_grams: int = 200_000, most_langs: int = 64) -> Model:
+def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, most_words: int = 60_000, most_grams: int = 120_000, most_langs: int = 64) -> Model:
     """docs has doc_id, text, lang; labelled says which rows may be learned from."""
     usable = common.plain(docs, "doc_id", "text", "lang").filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = usable.count()
@@ -99,27 +99,32 @@ def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, most_words: i
                 by[lang].update(words_of(text))
             yield pd.DataFrame([(w, lang, n) for lang, c in by.items() for w, n in c.items()], columns=["word", "lang", "n"])
 
-    counted = usable.select("lang", "text").mapInPandas(tally, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = usable.select("lang", "text").mapInPandas(common.trimmed(tally), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     words = counted.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    kept = words.orderBy(F.desc("total"), "word").limit(most_words).collect()  # bounded by most_words
+    kept = words.orderBy(F.desc("total"), "word").limit(most_words).select("word", "by.lang", "by.n").toPandas()  # bounded by most_words
     totals: Counter = Counter()
-    for row in kept:
-        for x in row["by"]:
-            totals[x["lang"]] += x["n"]
+    for names, n in zip(kept["lang"], kept["n"], strict=True):
+        for x, y in zip(names, n, strict=True):
+            totals[x] += int(y)
     langs = sorted(x for x, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:most_langs])
-    of = {x: i for i, x in enumerate(langs)}
-    rows, grams = np.zeros((len(kept), len(langs))), defaultdict(lambda: np.zeros(len(langs)))
-    for i, row in enumerate(kept):
-        for x in row["by"]:
-            if x["lang"] in of:
-                rows[i, of[x["lang"]]] = x["n"]
-        for k in np.flatnonzero(rows[i]):
-            for g in {g for size in range(1, LONGEST + 1) for g in grams_of(row["word"], size)}:
-                grams[g][k] += 1
-    often = sorted(grams, key=lambda g: (-grams[g].sum(), g))[:most_grams]
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0)), np.zeros(0))
-    counts = np.concatenate([rows, np.array([grams[g] for g in often]).reshape(-1, len(langs))])
+    of = {x: i for i, x in enumerate(langs)}
+    rows = np.zeros((len(kept), len(langs)))
+    grams: list[Counter] = [Counter() for _ in langs]
+    for i, (word, names, n) in enumerate(zip(kept["word"], kept["lang"], kept["n"], strict=True)):
+        for x, y in zip(names, n, strict=True):
+            if x in of:
+                rows[i, of[x]] = y
+        own = {g for size in range(1, LONGEST + 1) for g in grams_of(word, size)}
+        for k in np.flatnonzero(rows[i]):
+            grams[k].update(own)
+    seen: Counter = Counter()
+    for c in grams:
+        seen.update(c)
+    often = sorted(seen, key=lambda g: (-seen[g], g))[:most_grams]
+    del seen
+    counts = np.concatenate([rows, np.array([[c[g] for c in grams] for g in often], float).reshape(-1, len(langs))])
     size = np.array([len(g) for g in often])
     table = np.empty_like(counts)
     table[: len(kept)] = np.log((rows + 0.5) / (rows.sum(axis=0) + 0.5 * len(kept)))
@@ -127,7 +132,7 @@ def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, most_words: i
         own = np.flatnonzero(size == k) + len(kept)
         if len(own):
             table[own] = np.log((counts[own] + 0.5) / (counts[own].sum(axis=0) + 0.5 * len(own)))
-    return Model(langs, {r["word"]: i for i, r in enumerate(kept)}, {g: len(kept) + i for i, g in enumerate(often)}, table, np.full(len(langs), table.min()))
+    return Model(langs, {w: i for i, w in enumerate(kept["word"])}, {g: len(kept) + i for i, g in enumerate(often)}, table, np.full(len(langs), table.min()))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -135,9 +140,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        found = [held.value.predict(t) for t in texts]
-        return pd.DataFrame(found, columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = held.value
+        for texts in batches:
+            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+        model.unseen.clear()
+        common.give_back()
 
     docs = docs.drop("lang_pred", "score", "_found")
     return docs.withColumn("_found", predict(text)).select(*docs.columns, "_found.lang_pred", "_found.score")

@@ -134,7 +134,7 @@ def blocks_of(docs: DataFrame, block_bytes: int, carry: tuple[str, ...] = ()) ->
     doc_id = F.coalesce("doc_id", F.raise_error(F.concat(F.lit("a row has no doc_id: "), F.coalesce(F.left("text", F.lit(40)), F.lit("")))).cast("long"))
     rest = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])).alias("rest")] if carry else []
     schema = ", ".join(f"{n} {'long' if n in ('part', 'block') else 'binary'}" for n in names)
-    return common.bucketed(docs.select(doc_id.alias("doc_id"), "text", *rest).mapInArrow(build, schema), "part", "blocks")
+    return common.bucketed(docs.select(doc_id.alias("doc_id"), "text", *rest).mapInArrow(common.trimmed(build), schema), "part", "blocks")
 
 
 def by_block(messages: DataFrame, *columns: str) -> DataFrame:
@@ -196,7 +196,7 @@ def anchor_messages(blocks: DataFrame, buckets: int, threshold: int, k: int) ->
                 rows = [(n, row.block, low[s:e].tobytes(), packed(many[s:e])) for n, s, e in zip(*bucket_cuts(own, buckets), strict=True)]
                 yield pd.DataFrame(rows, columns=["bucket", "block", "low", "many"])
 
-    return blocks.select("block", "ids", "sizes", "data").mapInPandas(send, "bucket int, block long, low binary, many binary")
+    return blocks.select("block", "ids", "sizes", "data").mapInPandas(common.trimmed(send), "bucket int, block long, low binary, many binary")
 
 
 def shared_anchors(messages: DataFrame, buckets: int) -> DataFrame:
@@ -216,7 +216,7 @@ def shared_anchors(messages: DataFrame, buckets: int) -> DataFrame:
         return pd.DataFrame(out, columns=["block", "bucket", "bits"]) if out else None
 
     dealt = messages.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(lambda batches: by_key(batches, "bucket", count), "block long, bucket int, bits binary")
+    return dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", count)), "block long, bucket int, bits binary")
 
 
 def whole_copies(blocks: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def whole_copies(blocks: DataFrame) -> DataFrame:
                 ids = np.frombuffer(row.ids, "<i8")
                 yield pd.DataFrame({"doc_id": ids, "digest": [row.digests[i : i + 16] for i in range(0, 16 * len(ids), 16)], "block": row.block, "nth": np.arange(len(ids), dtype=np.int32)})
 
-    each = blocks.select("block", "ids", "digests").mapInPandas(rows, "doc_id long, digest binary, block long, nth int")
+    each = blocks.select("block", "ids", "digests").mapInPandas(common.trimmed(rows), "doc_id long, digest binary, block long, nth int")
     first = each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
     return each.join(common.looked_up(first, "repeat-digests"), "digest").filter("doc_id > first").select("block", F.col("nth").alias("copies")).transform(by_block, "copies")
 
@@ -368,9 +368,9 @@ def cleared(blocks: DataFrame, threshold: int, k: int, buckets: int, shared: Dat
         out[~fits, 2] = out[~fits, 1]  # too short for a window: nothing is removed
         return out
 
-    messages = met.mapInPandas(send, "bucket int, block long, hashes binary, docs binary, places binary, rows binary, ranges binary")
+    messages = met.mapInPandas(common.trimmed(send), "bucket int, block long, hashes binary, docs binary, places binary, rows binary, ranges binary")
     dealt = messages.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInPandas(lambda batches: by_key(batches, "bucket", sort), "block long, ranges binary")
+    return dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", sort)), "block long, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_bytes: int = 1 << 20, bucket_chars: int = 32 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -414,7 +414,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_byte
                 yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *(["rest"] if carry else [])]
-    done = met.mapInPandas(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + ", rest string" * bool(carry))
+    done = met.mapInPandas(common.trimmed(apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text + ", rest string" * bool(carry))
     if not carry:
         return done
     kinds = docs.select(*[F.col(f"`{c}`") for c in carry]).schema

@@ -63,11 +63,23 @@ def give_back() -> None:
         pass
 
 
-def trimmed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """work over a partition's batches, which gives back its memory at the end."""
+#: What operators keep in a worker between tasks, by operator: workers are reused by later stages.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drop what other operators have kept in this worker."""
+    for name, clear in CACHES.items():
+        if name != but:
+            clear()
+
+
+def trimmed(work: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:
+    """work over a partition's batches without other operators' caches; gives back its memory at the end."""
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        forget(own)
         try:
             yield from work(batches)
         finally:

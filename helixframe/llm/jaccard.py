@@ -48,6 +48,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 CERTAIN = 1 << 20
 _powers: dict[int, np.ndarray] = {}
+common.CACHES["jaccard"] = _powers.clear
 
 
 def powers(base: int, n: int) -> np.ndarray:

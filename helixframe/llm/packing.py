@@ -89,6 +89,7 @@ class FastIds:
 
 
 _encoders: dict[str, FastIds] = {}
+common.CACHES["packing"] = _encoders.clear
 
 
 def encoder(path: str) -> FastIds:
@@ -116,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return common.plain(docs, "doc_id", "text").mapInArrow(common.trimmed(work), PIECES)
+    return common.plain(docs, "doc_id", "text").mapInArrow(common.trimmed(work, own="packing"), PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int, most_docs: int, most_cost: int, weights: tuple[float, float, float]) -> dict[str, np.ndarray]:

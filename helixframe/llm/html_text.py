@@ -11,8 +11,10 @@ importance are removed from each page.
 Importance has a prior: presentation styles that say what they are (article, main;
 navigation, header, footer, aside, form, notice, advert, comment and the like) keep or
 remove a branch by themselves, so that a host with few pages is treated as one with
-many, and copies of an article don't make it unimportant. A page's articles outside such
-branches are its main text; a page without any gives its main element, or else its body.
+many. A page's outermost articles and main elements outside such branches are its main
+text; a page without any gives its body. Branches within main text are judged too: for them the
+prior is a term of the importance, so that only those go which hardly ever change, and pages of a host
+with the same main text count once, so that copies of an article don't make it unimportant.
 
 Spark counts (host, node, feature) with partial aggregation, so a host with a third
 of the pages has no task of its own. The low branches of a host, of which there can be few as
@@ -26,6 +28,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -169,30 +172,40 @@ def content(node: Node) -> list:
     return out
 
 
-def branches(page: str) -> list[tuple[int, int, int]]:
-    """(node, child sequence, content) of the unlabelled branches outside main text, once for each node."""
-    seen: dict[int, tuple[int, int]] = {}
+def branches(page: str) -> list[tuple[int, bool, int, int, int]]:
+    """(node, within main text, main text, child sequence, content) of the unlabelled branches, once for each node.
 
-    def walk(node: Node, path: int) -> tuple[int, int, bool]:
+    The main text is a hash of all the page's, for nodes outside 0.
+    """
+    seen: dict[int, tuple[bool, int, int]] = {}
+    said: list[str] = []
+
+    def walk(node: Node, path: int, inside: bool) -> tuple[int, int, bool]:
         at = zlib.crc32(node.style.encode(), path)
-        shape, words = 0, zlib.crc32(" ".join("".join(content(node)).split()).encode())
+        own = " ".join("".join(content(node)).split())
+        shape, words = 0, zlib.crc32(own.encode())
+        if inside:
+            said.append(own)
         main = False  # a branch around main text is no candidate
         for k in node.kids:
-            if k.tag in BLOCKS and k.prior == 0:
-                below = walk(k, at)
+            if k.prior == 1:
+                walk(k, at, True)
+                main = True
+            elif k.tag in BLOCKS and k.prior == 0:
+                below = walk(k, at, inside)
                 words = zlib.crc32(below[1].to_bytes(4, "little"), words)
                 main |= below[2]
-            main |= k.prior == 1
             shape = zlib.crc32(k.style.encode(), shape)
-        if main:
+        if main or node.prior == 1:
             return shape, words, main
         if at in seen:  # a further one with the same style
-            shape, words = zlib.crc32(shape.to_bytes(4, "little"), seen[at][0]), zlib.crc32(words.to_bytes(4, "little"), seen[at][1])
-        seen[at] = shape, words
+            shape, words = zlib.crc32(shape.to_bytes(4, "little"), seen[at][1]), zlib.crc32(words.to_bytes(4, "little"), seen[at][2])
+        seen[at] = inside, shape, words
         return shape, words, main
 
-    walk(top(tree(page)), 0)
-    return [(at, *x) for at, x in seen.items()]
+    walk(top(tree(page)), 0, False)
+    text = int.from_bytes(hashlib.blake2b("\n".join(said).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return [(at, inside, text if inside else 0, shape, words) for at, (inside, shape, words) in seen.items()]
 
 
 def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
@@ -200,16 +213,17 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     body = top(tree(page))
-    mains: dict[str, list[tuple[Node, int]]] = {"article": [], "main": []}
+    mains: list[tuple[Node, int]] = []
 
-    def find(node: Node, path: int, within: bool) -> None:
+    def find(node: Node, path: int) -> None:
         for k in node.kids:
             at = zlib.crc32(k.style.encode(), path)
             if k.prior < 0 or at in low and k.prior == 0:
                 continue
-            if k.prior == 1 and not (within and k.tag == "article"):
-                mains["article" if k.tag == "article" else "main"].append((k, at))
-            find(k, at, within or k.tag == "article")
+            if k.prior == 1:
+                mains.append((k, at))
+            else:
+                find(k, at)
 
     blocks: list[str] = []
     words: list[str] = []
@@ -219,7 +233,7 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         words.clear()
 
-    def render(node: Node, path: int, judged: bool) -> None:
+    def render(node: Node, path: int) -> None:
         for x in node.parts:
             if isinstance(x, str):
                 words.append(x)
@@ -230,47 +244,47 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
             at = zlib.crc32(x.style.encode(), path)
             if x.tag in BLOCKS:
                 flush()
-            if x.prior >= 0 and not (judged and x.prior == 0 and at in low):
-                render(x, at, judged and x.prior != 1)
+            if x.prior >= 0 and not (x.prior == 0 and at in low):
+                render(x, at)
             if x.tag in BLOCKS:
                 flush()
 
     start = zlib.crc32(body.style.encode(), 0)
-    find(body, start, False)
-    chosen = mains["article"] or mains["main"][:1]
-    if chosen:
-        for node, at in chosen:
-            render(node, at, False)
-            flush()
-    else:
-        render(body, start, True)
+    find(body, start)
+    for node, at in mains or [(body, start)]:
+        render(node, at)
         flush()
     return "\n\n".join(blocks)
 
 
-def low_branches(pages: DataFrame, least_pages: int = 4, least_share: float = 0.02, threshold: float = 0.35, content_weight: float = 0.7) -> DataFrame:
+def low_branches(pages: DataFrame, least_pages: int = 4, least_share: float = 0.02, threshold: float = 0.35, content_weight: float = 0.7, prior_weight: float = 0.25) -> DataFrame:
     """host, low: the node numbers to remove. pages: page_id, host, html.
 
     A node must be on least_pages pages and least_share of its host's, which bounds
-    a host's list by what 1 / least_share pages hold.
+    a host's list by what 1 / least_share pages hold. Within main text pages are the different main texts, and the prior
+    (1 there, else 0) has prior_weight in the importance.
     """
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(h, *x) for h, page in zip(b["host"], b["html"], strict=True) if page for x in branches(page)]
-            yield pd.DataFrame(rows, columns=["host", "node", "shape", "words"])
+            yield pd.DataFrame(rows, columns=["host", "node", "inside", "main", "shape", "words"])
+
+    found = common.materialise(pages.select("host", "html").mapInPandas(nodes, "host string, node long, inside boolean, main long, shape long, words long"), "style-nodes")
 
-    found = common.materialise(pages.select("host", "html").mapInPandas(nodes, "host string, node long, shape long, words long"), "style-nodes")
+    alike = found.groupBy("host", "node", "inside", "main", "shape", "words").agg(F.count(F.lit(1)).alias("n"))
+    alike = alike.withColumn("n", F.when(F.col("inside"), F.lit(1)).otherwise(F.col("n")))
 
     def entropy(feature: str) -> DataFrame:
-        n = found.groupBy("host", "node", feature).agg(F.count(F.lit(1)).alias("n"))
-        own = n.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+        n = alike.groupBy("host", "node", "inside", feature).agg(F.sum("n").alias("n"))
+        own = n.groupBy("host", "node", "inside").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
         # entropy to the base of the page count: ln m - sum(n ln n) / m, over ln m
-        return own.select("host", "node", "pages", (1 - F.col("s") / (F.col("pages") * F.log(F.greatest(F.col("pages"), F.lit(2))))).alias(feature))
+        return own.select("host", "node", "inside", "pages", (1 - F.col("s") / (F.col("pages") * F.log(F.greatest(F.col("pages"), F.lit(2))))).alias(feature))
 
     per_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    both = entropy("shape").join(entropy("words").drop("pages"), ["host", "node"]).join(per_host, "host")
-    importance = (1 - content_weight) * F.col("shape") + content_weight * F.col("words")
+    both = entropy("shape").join(entropy("words").drop("pages"), ["host", "node", "inside"]).join(per_host, "host")
+    news = (1 - content_weight) * F.col("shape") + content_weight * F.col("words")
+    importance = news + prior_weight * (1 - news) * F.col("inside").cast("int")
     low = both.filter((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("all") * least_share) & (importance < threshold))
     return low.groupBy("host").agg(F.collect_list("node").alias("low"))
 

@@ -71,3 +71,14 @@ def test_branches_that_a_site_repeats_go(spark):
     again = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows), broadcast_hosts=-1).collect()}
     assert again == found
     assert html_text.main_text(pages(spark, rows).filter("page_id < 0")).count() == 0
+
+
+def test_repeated_branches_within_main_text_go(spark):
+    page = "<html><body><main><h2>About {0}</h2><article><h1>Story {0}</h1><div class='x1'><p>told in words {0}</p></div><div class='x2'><p>Always the same words</p></div></article><p>Outside of it {0}</p></main><article><p>Further {0}</p></article></body></html>"
+    copy = "<html><body><article><div class='x1'><p>The same story</p></div></article></body></html>"
+    rows = [(i, f"http://site/{i}", page.format(i)) for i in range(30)] + [(i, f"http://copies/{i}", copy) for i in range(100, 140)] + [(200, "http://other/", page.format(1))]
+    for most in (20_000, -1):
+        found = {r["page_id"]: r["text"] for r in html_text.main_text(pages(spark, rows), broadcast_hosts=most).collect()}
+        assert found[3] == "About 3\n\nStory 3\n\ntold in words 3\n\nOutside of it 3\n\nFurther 3"
+        assert {found[i] for i in range(100, 140)} == {"The same story"}
+        assert found[200] == "About 1\n\nStory 1\n\ntold in words 1\n\nAlways the same words\n\nOutside of it 1\n\nFurther 1"

@@ -17,9 +17,9 @@ prior is a term of the importance, so that only those go which hardly ever chang
 with the same main text count once, so that copies of an article don't make it unimportant.
 
 Spark counts (host, node, feature) with partial aggregation, so a host with a third
-of the pages has no task of its own. The low branches of a host, of which there can be few as
-each must be on a set share of its pages, go to the pages by broadcast up to a
-checked size and by a join beyond.
+of the pages has no task of its own. A branch must be on a few pages of its host, whatever
+the host's size. The low branches go to the pages by broadcast up to a checked size; beyond, each page's own
+nodes are joined with them, so that no list grows with its host.
 
 Null and empty pages give an empty text, null URLs form a host of their own, broken
 markup is read as browsers do in common cases, repeated rows are treated alike and
@@ -257,21 +257,23 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def low_branches(pages: DataFrame, least_pages: int = 4, least_share: float = 0.02, threshold: float = 0.35, content_weight: float = 0.7, prior_weight: float = 0.25) -> DataFrame:
-    """host, low: the node numbers to remove. pages: page_id, host, html.
-
-    A node must be on least_pages pages and least_share of its host's, which bounds
-    a host's list by what 1 / least_share pages hold. Within main text pages are the different main texts, and the prior
-    (1 there, else 0) has prior_weight in the importance.
-    """
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """host, page, node and what branches() says of it, for each page. pages: host, html; page is the html's hash."""
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(h, *x) for h, page in zip(b["host"], b["html"], strict=True) if page for x in branches(page)]
-            yield pd.DataFrame(rows, columns=["host", "node", "inside", "main", "shape", "words"])
+            rows = [(h, n, *x) for h, n, page in zip(b["host"], b["page"], b["html"], strict=True) if page for x in branches(page)]
+            yield pd.DataFrame(rows, columns=["host", "page", "node", "inside", "main", "shape", "words"])
+
+    return pages.select("host", F.xxhash64("html").alias("page"), "html").mapInPandas(nodes, "host string, page long, node long, inside boolean, main long, shape long, words long")
 
-    found = common.materialise(pages.select("host", "html").mapInPandas(nodes, "host string, node long, inside boolean, main long, shape long, words long"), "style-nodes")
 
+def low_branches(found: DataFrame, least_pages: int = 4, threshold: float = 0.35, content_weight: float = 0.7, prior_weight: float = 0.25) -> DataFrame:
+    """host, node: what to remove. found: rows of page_nodes.
+
+    A node must be on least_pages pages of its host. Within main text pages are the different main texts, and the prior
+    (1 there, else 0) has prior_weight in the importance.
+    """
     alike = found.groupBy("host", "node", "inside", "main", "shape", "words").agg(F.count(F.lit(1)).alias("n"))
     alike = alike.withColumn("n", F.when(F.col("inside"), F.lit(1)).otherwise(F.col("n")))
 
@@ -281,24 +283,39 @@ def low_branches(pages: DataFrame, least_pages: int = 4, least_share: float = 0.
         # entropy to the base of the page count: ln m - sum(n ln n) / m, over ln m
         return own.select("host", "node", "inside", "pages", (1 - F.col("s") / (F.col("pages") * F.log(F.greatest(F.col("pages"), F.lit(2))))).alias(feature))
 
-    per_host = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    both = entropy("shape").join(entropy("words").drop("pages"), ["host", "node", "inside"]).join(per_host, "host")
+    both = entropy("shape").join(entropy("words").drop("pages"), ["host", "node", "inside"])
     news = (1 - content_weight) * F.col("shape") + content_weight * F.col("words")
     importance = news + prior_weight * (1 - news) * F.col("inside").cast("int")
-    low = both.filter((F.col("pages") >= least_pages) & (F.col("pages") >= F.col("all") * least_share) & (importance < threshold))
-    return low.groupBy("host").agg(F.collect_list("node").alias("low"))
+    return both.filter((F.col("pages") >= least_pages) & (importance < threshold)).select("host", "node").distinct()
 
 
-def main_text(pages: DataFrame, broadcast_hosts: int = 20_000) -> DataFrame:
+def main_text(pages: DataFrame, broadcast_hosts: int = 20_000, broadcast_nodes: int = 200_000) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[^:/?#]+://([^/?#]*)", 1)), F.lit(""))
     rows = common.plain(pages, "page_id", "url", "html").withColumn("host", host)
-    low = common.materialise(low_branches(rows), "low-branches")
-    small = low.count() <= broadcast_hosts  # rows whose size is bounded; else a join, which splits hot hosts
-    met = rows.join(F.broadcast(low) if small else low, "host", "left")
+    found = common.materialise(page_nodes(rows), "style-nodes")
+    low = common.materialise(low_branches(found), "low-branches")
+    n = low.agg(F.count_distinct("host").alias("hosts"), F.count(F.lit(1)).alias("nodes")).first()
+    if n["hosts"] <= broadcast_hosts and n["nodes"] <= broadcast_nodes:
+        lists: dict[str, set[int]] = {}
+        for r in low.collect():
+            lists.setdefault(r["host"], set()).add(r["node"])
+        held = spark.sparkContext.broadcast({h: frozenset(x) for h, x in lists.items()})
+
+        @F.pandas_udf("string")
+        def text_of(page: pd.Series, hosts: pd.Series) -> pd.Series:
+            return pd.Series([extract(p, held.value.get(h, frozenset())) for p, h in zip(page, hosts, strict=True)], dtype=object)
+
+        text = text_of("html", "host")
+    else:
+        # pages whose hashes are equal share a list, which holds low nodes of their host only
+        own = found.select("host", "page", "node").distinct().join(low, ["host", "node"]).groupBy("host", "page").agg(F.collect_list("node").alias("low"))
+        rows = rows.withColumn("page", F.xxhash64("html")).join(common.materialise(own, "page-branches"), ["host", "page"], "left")
 
-    @F.pandas_udf("string")
-    def text_of(page: pd.Series, nodes: pd.Series) -> pd.Series:
-        return pd.Series([extract(p, frozenset() if n is None else frozenset(np.asarray(n).tolist())) for p, n in zip(page, nodes, strict=True)], dtype=object)
+        @F.pandas_udf("string")
+        def text_of(page: pd.Series, nodes: pd.Series) -> pd.Series:
+            return pd.Series([extract(p, frozenset() if x is None else frozenset(np.asarray(x).tolist())) for p, x in zip(page, nodes, strict=True)], dtype=object)
 
-    return met.select("page_id", "url", text_of("html", "low").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+        text = text_of("html", "low")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -82,3 +82,11 @@ def test_repeated_branches_within_main_text_go(spark):
         assert found[3] == "About 3\n\nStory 3\n\ntold in words 3\n\nOutside of it 3\n\nFurther 3"
         assert {found[i] for i in range(100, 140)} == {"The same story"}
         assert found[200] == "About 1\n\nStory 1\n\ntold in words 1\n\nAlways the same words\n\nOutside of it 1\n\nFurther 1"
+
+
+def test_branches_on_few_pages_of_a_large_host_go(spark):
+    page = "<html><body><div class='x1'><p>story number {}</p></div>{}</body></html>"
+    rows = [(i, "http://site/", page.format(i, "<div class='section'><p>Menu of a section</p></div>" if i < 6 else "")) for i in range(400)]
+    for most in ({"broadcast_hosts": 20_000}, {"broadcast_hosts": -1}, {"broadcast_nodes": 0}):
+        found = html_text.main_text(pages(spark, rows), **most).collect()
+        assert {r["page_id"]: r["text"] for r in found} == {i: f"story number {i}" for i in range(400)}

@@ -3,9 +3,10 @@
 A seed is a fixed mask over consecutive tokens that ignores some positions; the
 tokens at the others are hashed. Every benchmark item is indexed under several
 masks, every document is looked up under the same masks, and each hit fixes an
-alignment that is then verified token by token: the best run in which a mismatch
-costs as much as ``1 / (1 / share - 1)`` matches are worth, which keeps the share of
-equal tokens in it above ``share``. One substituted token breaks some masks only.
+alignment that is then verified token by token: some run of which at least ``share``
+is equal must hold enough equal tokens. The longest such run decides; reported is the best run in
+which a mismatch costs as much as ``1 / (1 / share - 1)`` matches are worth, if it holds enough by itself, as
+it leaves out loose ends. One substituted token breaks some masks only.
 
 The benchmark is handled in blocks of at most ``block_items`` items, in expectation; each block's
 index is broadcast, so memory is bounded whatever its size. Items with fewer tokens
@@ -17,6 +18,7 @@ each unless they share an id; repeated documents share theirs. Extra columns are
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -51,6 +53,23 @@ def best_run(equal: np.ndarray, share: float) -> tuple[int, int, int]:
     return best[1], best[2] - best[1], int(equal[best[1] : best[2]].sum())
 
 
+def longest_run(equal: np.ndarray, share: float) -> tuple[int, int, int]:
+    """Start, length and matches of the longest run of which at least share is equal, without unequal ends.
+
+    No other such run has more matches: one with more could be made as long as this.
+    """
+    hits = np.concatenate([[0], np.cumsum(equal)])
+    sums = hits - share * np.arange(len(hits))
+    first = np.searchsorted(-np.minimum.accumulate(sums), -sums - 1e-9, "left")  # the earliest start for each end
+    length = np.arange(len(hits)) - first
+    ends = np.flatnonzero(length == length.max())
+    end = int(ends[np.argmax(hits[ends] - hits[first[ends]])])
+    inside = np.flatnonzero(equal[first[end] : end])
+    if not len(inside):
+        return 0, 0, 0
+    return int(first[end] + inside[0]), int(inside[-1] - inside[0] + 1), len(inside)
+
+
 class Index:
     """Seeds of a block of benchmark items."""
 
@@ -113,8 +132,14 @@ class Index:
         for k, shift in sorted(placed):
             item_id, t = self.items[k]
             lo, hi = max(0, -shift), min(len(t), len(ids) - shift)
-            start, length, matched = best_run(ids[lo + shift : hi + shift] == t[lo:hi], self.share)
-            if matched >= min(self.least, len(t)) and (item_id not in best or (matched, length) > best[item_id][:2]):
+            equal = ids[lo + shift : hi + shift] == t[lo:hi]
+            need = self.least if len(t) > self.least else math.ceil(len(t) * self.share - 1e-9)
+            if equal.sum() < need:
+                continue
+            start, length, matched = best_run(equal, self.share)
+            if matched < need:
+                start, length, matched = longest_run(equal, self.share)
+            if matched >= need and (item_id not in best or (matched, length) > best[item_id][:2]):
                 best[item_id] = (matched, length, lo + shift + start)
         return [(i, *found) for i, found in best.items()]
 
@@ -122,7 +147,7 @@ class Index:
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, share: float = 0.75, block_items: int = 20_000) -> DataFrame:
     """A row for each document and benchmark item that it holds.
 
-    least: tokens that must be equal within the run (all of an item that has fewer).
+    least: tokens that must be equal within the run (share of those of an item that has no more).
     Returns doc_id, item_id, matched, overlap, doc_start (a token's number).
     """
     spark = docs.sparkSession

@@ -1,3 +1,7 @@
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import decontaminate, langid, quality, queries
@@ -65,3 +69,25 @@ def test_planted_benchmark_passages(spark, sf):
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     holding = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"] and any(t in r["text"] for t in items)}
     assert holding and holding <= found
+
+
+@pytest.mark.parametrize("n", range(12, 21))
+def test_every_place_of_one_substitution(n):
+    item = [f"w{i}" for i in range(n)]
+    index = decontaminate.Index([(1, " ".join(item))], 13, 0.75)
+    need = 13 if n > 13 else -(-3 * n // 4)
+    for at in range(n):
+        changed = ["x"] * 5 + item[:at] + ["other"] + item[at + 1 :] + ["y"] * 5
+        found = index.look_up(" ".join(changed))
+        assert len(found) == 1 and found[0][0] == 1 and found[0][1] >= need, at
+    assert not index.look_up(" ".join(item[: need - 1]))
+
+
+@pytest.mark.parametrize("share", [0.5, 0.75, 0.8, 0.9])
+def test_longest_runs_by_brute_force(share):
+    draw = random.Random(7)
+    for n in [0, 1, 2, *[draw.randrange(3, 24) for _ in range(300)]]:
+        equal = np.array([draw.random() < 0.75 for _ in range(n)], bool)
+        runs = [(j - i, int(equal[i:j].sum())) for i in range(n) for j in range(i + 1, n + 1) if equal[i:j].sum() >= share * (j - i) - 1e-9]
+        start, length, matched = decontaminate.longest_run(equal, share)
+        assert matched == max((m for _, m in runs), default=0) == equal[start : start + length].sum() and matched >= share * length - 1e-9

@@ -96,10 +96,10 @@ def clique_test(groups: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    """clique_id (its smallest node), members of every maximal clique of at least so many nodes.
+    """clique_id (its smallest node), members of every maximal clique of at least so many nodes, two at least.
 
     In order of degree every node has few later neighbours (Eppstein et al. 2010). Each
-    node's task holds its neighbourhood only and finds the cliques in which it comes first, by
+    node's task holds its later neighbours and the triangles with them only and finds the cliques in which it comes first, by
     Bron and Kerbosch's recursion with pivots.
     """
     pairs = written(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
@@ -108,11 +108,14 @@ def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     known = both.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("d_b")), "b")
     after = (F.col("d_b") > F.col("d")) | ((F.col("d_b") == F.col("d")) & (F.col("b") > F.col("a")))
     near = written(known.select("a", "b", after.alias("later")), "neighbours")
-    # edges among a node's neighbours, at least one of whose ends is later than it
-    wedge = near.filter("later").select(F.col("a").alias("v"), F.col("b").alias("x")).join(both.select(F.col("a").alias("x"), F.col("b").alias("y")), "x")
-    inner = wedge.join(near.select(F.col("a").alias("v"), F.col("b").alias("y")), ["v", "y"]).select("v", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # pairs of a node's later neighbours, which are few for a hub too; a triangle is a link for its first and its second node
+    onward = near.filter("later").select(F.col("a").alias("u"), F.col("b").alias("x"))
+    wedge = onward.join(onward.withColumnRenamed("x", "y"), "u").filter("x < y")
+    order = near.filter("later").select(F.col("a").alias("w"), F.col("b").alias("z"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    triangles = written(wedge.join(order, ["x", "y"]).select("u", "w", "z"), "triangles")
+    inner = triangles.select(F.col("u").alias("v"), F.col("w").alias("x"), F.col("z").alias("y")).unionByName(triangles.select(F.col("w").alias("v"), F.col("u").alias("x"), F.col("z").alias("y")))
     links = inner.groupBy("v").agg(F.collect_list(F.struct("x", "y")).alias("links"))
-    rows = near.groupBy(F.col("a").alias("v")).agg(F.collect_list(F.when(F.col("later"), F.col("b"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("b"))).alias("earlier")).join(links, "v", "left")
+    rows = onward.groupBy(F.col("u").alias("v")).agg(F.collect_list("x").alias("later")).join(links, "v", "left")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,7 +138,8 @@ def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
                         p = p - {u}
                         x = x | {u}
 
-                grow([int(row.v)], {int(u) for u in row.later}, {int(u) for u in row.earlier})
+                later = {int(u) for u in row.later}
+                grow([int(row.v)], later, set(to) - later)  # an earlier neighbour without a link is in no clique of three
             yield pd.DataFrame(out, columns=["clique_id", "members"])
 
     return rows.mapInPandas(search, "clique_id long, members array<long>")

@@ -52,6 +52,18 @@ def supplier_graph(spark: SparkSession, sf_dir: str, shared: int = 2) -> DataFra
     return a.join(b, "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= shared)
 
 
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As edges, of every line item."""
+    return table(spark, sf_dir, "lineitem").select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("twist"))
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src < dst: parts in one order."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    a, b = items.withColumnRenamed("l_partkey", "src"), items.withColumnRenamed("l_partkey", "dst")
+    return a.join(b, "l_orderkey").filter("src < dst").select("src", "dst").distinct()
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations by customer segments: summed order totals in whole units."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, kmers, matrix, piles
 from ..sources import formats
-from .bindings import EDGES, MATRIX, SPANS, SUPPLIERS, dna, edges, families, spans, supplier_graph
+from .bindings import EDGES, MATRIX, SPANS, SUPPLIERS, all_edges, dna, edges, families, part_graph, spans, supplier_graph
 from .bindings import matrix as matrix_view
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -34,7 +34,7 @@ def graph_components(spark, sf_dir):
 
 @query()
 def graph_signed_components(spark, sf_dir):
-    return graphs.signed_components(edges(spark, sf_dir).filter("pmod(dst * 7 + src, 9) = 0").select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
+    return graphs.signed_components(all_edges(spark, sf_dir).select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
 
 
 @query(f"""
@@ -73,18 +73,14 @@ def graph_clique_test(spark, sf_dir):
     return graphs.clique_test(_groups(spark, sf_dir), supplier_graph(spark, sf_dir))
 
 
-def _sparse(spark, sf_dir):
-    return supplier_graph(spark, sf_dir).filter("pmod(src * 31 + dst * 17, 13) < 2").select("src", "dst")
-
-
 @query()
 def graph_maximal_cliques(spark, sf_dir):
-    return graphs.maximal_cliques(_sparse(spark, sf_dir))
+    return graphs.maximal_cliques(part_graph(spark, sf_dir))
 
 
 @query()
 def graph_communities(spark, sf_dir):
-    return graphs.communities(_sparse(spark, sf_dir))
+    return graphs.communities(supplier_graph(spark, sf_dir).select("src", "dst"))
 
 
 @query(f"""

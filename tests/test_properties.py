@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.sequence import reverse_complement, wrapped
 from helixframe.operators import annotation, graphs, intervals, kmers, matrix, ordered, piles, sequences
+from helixframe.plans import graph_queries
 
 
 def test_sequence_functions(spark):
@@ -160,3 +161,31 @@ def test_local_alignment(spark):
     hits = piles.seeds(found, found, k=8, tube=16, least=10, most_hits=50)
     best = max(piles.local_alignments(hits, seqs, 8, band=6, least_length=40, least_identity=0.9).collect(), key=lambda r: r["score"])
     assert best["t_start"] == 4 and best["identity"] > 0.95
+
+
+def test_cliques_around_a_hub_equal_brute_force(spark):
+    edges = random_edges(3, 14, 40) + [(100, x) for x in range(60)]
+    nodes = sorted({x for e in edges for x in e})
+    near = {x: {b if a == x else a for a, b in edges if x in (a, b)} for x in nodes}
+    want = []
+
+    def grow(r, p, x):
+        if not p and not x and len(r) >= 3:
+            want.append(sorted(r))
+        for u in sorted(p):
+            grow([*r, u], p & near[u], x & near[u])
+            p, x = p - {u}, x | {u}
+
+    grow([], set(nodes), set())
+    found = graphs.maximal_cliques(spark.createDataFrame(edges, "src long, dst long"))
+    assert sorted(r["members"] for r in found.collect()) == sorted(want)
+
+
+def test_graph_queries_take_every_row(spark, tmp_path):
+    rows = [(o, p, 1 + p % 3, "R" if p % 3 == 1 else "N", 1.0, 5) for o, parts in enumerate([(1, 2, 3), (1, 2, 3), (3, 4, 5, 6), (7, 8)]) for p in parts]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cliques = graph_queries.graph_maximal_cliques(spark, str(tmp_path)).collect()
+    assert sorted(r["members"] for r in cliques) == [[1, 2, 3], [3, 4, 5, 6]]
+    signed = graph_queries.graph_signed_components(spark, str(tmp_path)).collect()
+    assert {r["node"] for r in signed} == {2_000_000 + p for p in range(1, 9)} | {1_000_000 - 2 - k for k in range(3)}
+    assert {r["node"] for r in graph_queries.graph_communities(spark, str(tmp_path)).collect()} == {1, 2, 3}

@@ -5,10 +5,14 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,12 +92,87 @@ def trimmed(work: Callable[[Iterator], Iterator], own: str = "") -> Callable[[It
     return run
 
 
+def cuts(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Where to cut texts into runs of about so many bytes, one text at least: start and length of each.
+
+    Texts may be very long, so a number of rows bounds nothing.
+    """
+    lengths = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
+    part = (np.cumsum(lengths) // size).astype(np.int64)
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return ((a, b - a) for a, b in itertools.pairwise(at) if b > a)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with a bounded size of a text column."""
+    return (batch.slice(*cut) for batch in batches for cut in cuts(batch.column(column)))
+
+
+def worded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words between ASCII white space; of all words in order, which one each is and whose text it is from.
+
+    Nulls count as empty.
+    """
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
+    coded = lists.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy()
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    empty = pc.index(coded.dictionary, "").as_py()  # stands at the ends of a text
+    if empty >= 0:
+        there = codes != empty
+        codes, owner = codes[there], owner[there]
+    return coded.dictionary, codes, owner
+
+
 def text_size(df: DataFrame, column: str = "text") -> tuple[int, int]:
     """Rows and characters of a table: what partition counts are derived from."""
     row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
     return int(row[0]), int(row[1])
 
 
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Spelling:
+    """The characters of words, each within < and >, as numbers for hashing many words at once."""
+
+    def __init__(self, words: pa.Array) -> None:
+        self.n = len(words)
+        text = f"<{pc.binary_join(pa.ListArray.from_arrays([0, self.n], words), '><')[0].as_py()}>" if self.n else ""
+        self.chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        length = pc.utf8_length(words).to_numpy().astype(np.int64) + 2
+        self.first = np.cumsum(length) - length
+        self.owner = np.repeat(np.arange(self.n), length)
+        self.rest = length[self.owner] - (np.arange(len(self.chars)) - self.first[self.owner])  # characters up to the word's end
+        self.longest = int(length.max(initial=1))
+
+    @staticmethod
+    def settled(hashes: np.ndarray) -> np.ndarray:
+        hashes ^= hashes >> np.uint64(31)
+        return hashes * MIX
+
+    def words(self) -> np.ndarray:
+        """A hash of each whole word."""
+        powers = np.cumprod(np.full(self.longest, MIX))
+        return self.settled(np.add.reduceat(self.chars * powers[self.rest - 1], self.first)) if self.n else np.empty(0, np.uint64)
+
+    def grams(self, size: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of every run of so many characters (single ones without the marks), and its word; of: words that count."""
+        there = self.rest >= size if size > 1 else (self.rest > 1) & np.append(False, self.rest[:-1] > 1)
+        at = np.flatnonzero(there if of is None else there & of[self.owner])
+        found = np.full(len(at), np.uint64(size))
+        for k in range(size):
+            found = found * MIX + self.chars[at + k]
+        return self.settled(found), self.owner[at]
+
+
+def thinned(df: DataFrame, rows: int, chars: int) -> DataFrame:
+    """df, or where it has more a sample of at most so many rows and characters of text, in expectation, by a hash of doc_id."""
+    n, size = text_size(df)
+    share = min(1.0, rows / max(n, 1), chars / max(size, 1))
+    return df if share == 1 else df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * share)))
+
+
 def slices(spark: SparkSession, amount: float, each: float, most: int = 100_000) -> int:
     """Partitions for an amount of work at so much each, the session's setting at least."""
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -108,7 +187,9 @@ def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
     path = scratch_path(spark, tag)
     name = path.rpartition("/")[2].replace("-", "_")
     df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return out
 
 
 def looked_up(table: DataFrame, tag: str, most_rows: int = 100_000) -> DataFrame:

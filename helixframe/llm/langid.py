@@ -5,25 +5,25 @@ scored by its longest character n-grams that were seen (with word boundaries),
 falling back to shorter ones. Scores of all words of the whole text are summed; the
 posterior over the languages gives the prediction and its score.
 
-The model is fitted on at most ``fit_rows`` labelled rows, in expectation, chosen by a hash of
-doc_id (all of them where there are fewer); it keeps at most ``most_words`` words and ``most_grams``
-n-grams and is broadcast, so its size is bounded by these parameters. Spark counts
-the words; predictions use nothing but the text.
+The model is fitted on at most ``fit_rows`` labelled rows and ``fit_chars`` characters, in
+expectation, chosen by a hash of doc_id (all of them where there are fewer). It keeps every word, n-gram and
+language of these rows, as sorted 64-bit hashes beside a table of log frequencies, and is broadcast, so its size is
+bounded by these two parameters. Spark counts; predictions use nothing but the text.
 
 Texts that are null or hold no letter are ``und`` with score 0, as is every text when no labelled
 row has a word. Ties go to the language first in alphabetical order. Repeated rows are
-predicted alike. Other columns of the input are ignored.
+predicted alike. Very long texts are read whole, a bounded size of texts at a time. Other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,107 +32,118 @@ from . import common
 UNKNOWN = "und"
 LONGEST = 5
 _words = re.compile(r"[^\W\d_]+").findall
+_letters = bytes(b if chr(b).isalpha() else 32 for b in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return _words(text.lower()) if text else []
+def letters(text: str | None) -> str:
+    """The words of a text in lower case between spaces."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(_letters).decode("latin-1")
+    except UnicodeEncodeError:
+        return " ".join([w for w in _words(low) if any(map(str.isalpha, w))])
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    marked = f"<{word}>"
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
+def worded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    return common.worded(pa.array([letters(t) for t in texts.to_pylist()], pa.string()))
 
 
 class Model:
-    """Rows of log probabilities by language, and where each word and n-gram has its row."""
-
-    MOST = 50_000
-
-    def __init__(self, langs: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray, floor: np.ndarray) -> None:
-        self.langs, self.words, self.grams, self.table, self.floor = langs, words, grams, table, floor
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def backoff(self, word: str) -> np.ndarray:
-        if (got := self.unseen.get(word)) is None:
-            got = self.floor
-            for n in range(LONGEST, 0, -1):
-                if known := [at for g in grams_of(word, n) if (at := self.grams.get(g)) is not None]:
-                    got = self.table[known].mean(axis=0)
-                    break
-            if len(self.unseen) >= self.MOST:
-                self.unseen.clear()
-            self.unseen[word] = got
-        return got
+    """For words (size 0) and n-grams: sorted hashes and, beside each, log probabilities by language."""
+
+    def __init__(self, langs: list[str], codes: list[np.ndarray], tables: list[np.ndarray]) -> None:
+        self.langs, self.codes, self.tables = langs, codes, tables
+        self.floor = min((t.min() for t in tables if t.size), default=0.0)
+
+    def known(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are known, and their rows."""
+        own = self.codes[size]
+        if not len(own):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        return own[at] == hashes, at
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """Log probabilities of words: their own, or the mean of their longest known n-grams."""
+        spelled = common.Spelling(words)
+        out = np.full((len(words), len(self.langs)), self.floor)
+        hit, at = self.known(0, spelled.words())
+        out[hit] = self.tables[0][at[hit]]
+        rest = ~hit
+        for size in range(LONGEST, 0, -1):
+            hashes, of = spelled.grams(size, rest)
+            hit, at = self.known(size, hashes)
+            at, of = at[hit], of[hit]
+            many = np.bincount(of, minlength=len(words))
+            done = many > 0
+            for k in range(len(self.langs)):
+                out[done, k] = np.bincount(of, self.tables[size][at, k], len(words))[done] / many[done]
+            rest &= ~done
+        return out
+
+    def predicted(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        words, codes, owner = worded(texts)
+        none = np.bincount(owner, minlength=len(texts)) == 0
+        if not self.langs or not len(codes):
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        rows = self.rows(words)
+        total = np.stack([np.bincount(owner, rows[:, k][codes], len(texts)) for k in range(len(self.langs))], axis=1)
+        odds = np.exp(total - total.max(axis=1, keepdims=True))
+        best = total.argmax(axis=1)
+        score = odds[np.arange(len(texts)), best] / odds.sum(axis=1)
+        return [UNKNOWN if n else self.langs[b] for n, b in zip(none, best, strict=True)], np.where(none, 0.0, score)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not self.langs or not (any(map(str.isalpha, words)) or any(c.isalpha() for c in chain.from_iterable(words))):
-            return UNKNOWN, 0.0
-        counts = Counter(words)
-        total = np.zeros(len(self.langs))
-        at, times = [], []
-        get = self.words.get
-        for word, n in counts.items():
-            if (row := get(word)) is not None:
-                at.append(row)
-                times.append(n)
-            else:
-                total += n * self.backoff(word)
-        if at:
-            total += np.array(times, float) @ self.table[at]
-        odds = np.exp(total - total.max())
-        best = int(total.argmax())
-        return self.langs[best], float(odds[best] / odds.sum())
-
-
-def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, most_words: int = 60_000, most_grams: int = 120_000, most_langs: int = 64) -> Model:
+        names, scores = self.predicted(pa.array([text], pa.string()))
+        return names[0], float(scores[0])
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each word occurs in each language, of lang and text."""
+    for batch in common.portions(batches, 1):
+        words, codes, owner = worded(batch.column(1))
+        langs = batch.column(0).dictionary_encode()
+        pairs, n = np.unique(codes.astype(np.int64) * len(langs.dictionary) + langs.indices.to_numpy()[owner], return_counts=True)
+        word, lang = np.divmod(pairs, len(langs.dictionary))
+        yield pa.RecordBatch.from_arrays([words.take(pa.array(word)).cast(pa.string()), langs.dictionary.take(pa.array(lang)).cast(pa.string()), pa.array(n)], ["word", "lang", "n"])
+
+
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of counted words the hashes of words (size 0, by occurrence) and of their n-grams (by word)."""
+    for batch in common.portions(batches, 0):
+        langs = batch.column(1).dictionary_encode()
+        of_word, k = langs.indices.to_numpy(), len(langs.dictionary)
+        spelled = common.Spelling(batch.column(0))
+        for size in range(LONGEST + 1):
+            hashes, of = (spelled.words(), np.arange(batch.num_rows)) if size == 0 else spelled.grams(size)
+            n = batch.column(2).to_numpy() if size == 0 else np.ones(len(of), np.int64)
+            codes, at = np.unique(hashes, return_inverse=True)
+            pairs, back = np.unique(at.astype(np.int64) * k + of_word[of], return_inverse=True)
+            sums = np.bincount(back, n, len(pairs)).astype(np.int64)
+            code, lang = np.divmod(pairs, k)
+            yield pa.RecordBatch.from_arrays([pa.array(codes[code].view(np.int64)), pa.array(np.full(len(code), size, np.int32)), langs.dictionary.take(pa.array(lang)).cast(pa.string()), pa.array(sums)], ["code", "size", "lang", "n"])
+
+
+def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, fit_chars: int = 200_000_000) -> Model:
     """docs has doc_id, text, lang; labelled says which rows may be learned from."""
     usable = common.plain(docs, "doc_id", "text", "lang").filter(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    if n > fit_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * fit_rows / n)))
-
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            by: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                by[lang].update(words_of(text))
-            yield pd.DataFrame([(w, lang, n) for lang, c in by.items() for w, n in c.items()], columns=["word", "lang", "n"])
-
-    counted = usable.select("lang", "text").mapInPandas(common.trimmed(tally), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    words = counted.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    kept = words.orderBy(F.desc("total"), "word").limit(most_words).select("word", "by.lang", "by.n").toPandas()  # bounded by most_words
-    totals: Counter = Counter()
-    for names, n in zip(kept["lang"], kept["n"], strict=True):
-        for x, y in zip(names, n, strict=True):
-            totals[x] += int(y)
-    langs = sorted(x for x, _ in sorted(totals.items(), key=lambda x: (-x[1], x[0]))[:most_langs])
-    if not langs:
-        return Model([], {}, {}, np.zeros((0, 0)), np.zeros(0))
-    of = {x: i for i, x in enumerate(langs)}
-    rows = np.zeros((len(kept), len(langs)))
-    grams: list[Counter] = [Counter() for _ in langs]
-    for i, (word, names, n) in enumerate(zip(kept["word"], kept["lang"], kept["n"], strict=True)):
-        for x, y in zip(names, n, strict=True):
-            if x in of:
-                rows[i, of[x]] = y
-        own = {g for size in range(1, LONGEST + 1) for g in grams_of(word, size)}
-        for k in np.flatnonzero(rows[i]):
-            grams[k].update(own)
-    seen: Counter = Counter()
-    for c in grams:
-        seen.update(c)
-    often = sorted(seen, key=lambda g: (-seen[g], g))[:most_grams]
-    del seen
-    counts = np.concatenate([rows, np.array([[c[g] for c in grams] for g in often], float).reshape(-1, len(langs))])
-    size = np.array([len(g) for g in often])
-    table = np.empty_like(counts)
-    table[: len(kept)] = np.log((rows + 0.5) / (rows.sum(axis=0) + 0.5 * len(kept)))
-    for k in range(1, LONGEST + 1):
-        own = np.flatnonzero(size == k) + len(kept)
-        if len(own):
-            table[own] = np.log((counts[own] + 0.5) / (counts[own].sum(axis=0) + 0.5 * len(own)))
-    return Model(langs, {w: i for i, w in enumerate(kept["word"])}, {g: len(kept) + i for i, g in enumerate(often)}, table, np.full(len(langs), table.min()))
+    usable = common.thinned(usable, fit_rows, fit_chars).select("lang", "text")
+    words = usable.mapInArrow(common.trimmed(tally), "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counted = words.mapInArrow(common.trimmed(spread), "code long, size int, lang string, n long").groupBy("code", "size", "lang").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # bounded by fit_rows and fit_chars
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    langs = sorted(names.dictionary.to_pylist())
+    lang = np.array([langs.index(x) for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    code, size, n = (found.column(c).to_numpy() for c in ("code", "size", "n"))
+    all_codes, tables = [], []
+    for k in range(LONGEST + 1):
+        of = np.flatnonzero(size == k)
+        codes, at = np.unique(code[of].view(np.uint64), return_inverse=True)
+        counts = np.zeros((len(codes), len(langs)), np.float32)
+        counts[at, lang[of]] = n[of]
+        all_codes.append(codes)
+        tables.append(np.log((counts + np.float32(0.5)) / (counts.sum(axis=0) + np.float32(0.5) * len(codes))))
+    return Model(langs, all_codes, tables)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -143,9 +154,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common.forget()
         model = held.value
-        for texts in batches:
-            yield pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
-        model.unseen.clear()
+        for series in batches:
+            texts = pa.array(series, pa.string(), from_pandas=True)
+            parts = [model.predicted(texts.slice(*cut)) for cut in common.cuts(texts)]
+            yield pd.DataFrame({"lang_pred": [x for names, _ in parts for x in names], "score": np.concatenate([np.empty(0), *[s for _, s in parts]])})
         common.give_back()
 
     docs = docs.drop("lang_pred", "score", "_found")

@@ -167,10 +167,16 @@ class Spelling:
 
 
 def thinned(df: DataFrame, rows: int, chars: int) -> DataFrame:
-    """df, or where it has more a sample of at most so many rows and characters of text, in expectation, by a hash of doc_id."""
-    n, size = text_size(df)
-    share = min(1.0, rows / max(n, 1), chars / max(size, 1))
-    return df if share == 1 else df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * share)))
+    """df, or where it has more a sample of at most so many rows and characters of text, in expectation, by a hash of doc_id.
+
+    Rows are counted without their texts, characters only in the sample by rows.
+    """
+    place, span = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), 1 << 20
+    share = min(1.0, rows / max(df.count(), 1))
+    if share < 1:
+        df = df.filter(place < F.lit(int(span * share)))
+    size = text_size(df)[1]
+    return df if size <= chars else df.filter(place < F.lit(int(span * share * chars / size)))
 
 
 def slices(spark: SparkSession, amount: float, each: float, most: int = 100_000) -> int:

@@ -1,43 +1,38 @@
 """Quality classifier: supervised subword embeddings.
 
-Every white-space word gives hashed features: the word itself, its character
+Every word between ASCII white space gives hashed features: the word itself, its character
 n-grams with word boundaries and, of the word pairs, whether it repeats the word before it. A document is the average of its features' learned
 vectors, followed by a softmax over two classes. Vectors and output weights are
 trained by plain stochastic gradient descent in numpy.
 
-The fit takes at most ``fit_rows`` labelled rows, in expectation, chosen by a hash of
+The fit takes at most ``fit_rows`` labelled rows and ``fit_chars`` characters, in expectation, chosen by a hash of
 doc_id; the model has ``buckets`` times ``width`` numbers and is broadcast as one score
 per bucket, which is what averaging and a linear output come to. Scores use nothing
 but the whole text. Null and empty texts get the share of label 1 among the rows
 learned from; without any labelled row every score is 0.5. Rows whose label is null
 are not learned from; repeated labels of a document are all learned from. Extra
-columns are ignored.
+columns are ignored. Very long texts are scored whole, a bounded size of texts at a time; equal texts get equal scores.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-import operator
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
-def features(word: str, buckets: int, shortest: int = 3, longest: int = 5) -> list[int]:
-    """Buckets of the word and of all its n-grams."""
-    mark = f"<{word}>".encode()
-    out = [zlib.crc32(mark) % buckets]
-    for n in range(shortest, longest + 1):
-        out += [zlib.crc32(mark[i : i + n], n) % buckets for i in range(len(mark) - n + 1)]
-    return out
+def features(words: pa.Array, buckets: int, shortest: int = 3, longest: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and of all their n-grams, and which of the words each is of."""
+    spelled = common.Spelling(words)
+    found = [(spelled.words(), np.arange(len(words))), *(spelled.grams(n) for n in range(shortest, longest + 1))]
+    return (np.concatenate([h for h, _ in found]) >> np.uint64(24)).astype(np.int64) % buckets, np.concatenate([of for _, of in found])
 
 
 def repeat_bucket(buckets: int) -> int:
@@ -45,69 +40,48 @@ def repeat_bucket(buckets: int) -> int:
     return zlib.crc32(b"\0again") % buckets
 
 
-def repeats(words: list[str]) -> int:
-    return sum(map(operator.eq, words, itertools.islice(words, 1, None)))
+def repeats(codes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """How many words of each text repeat the one before them."""
+    again = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    return np.bincount(owner[1:][again], minlength=texts)
 
 
 def counted(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct features of a text and their shares."""
-    total: Counter = Counter()
-    words = (text or "").split()
-    for word, n in Counter(words).items():
-        for f in features(word, buckets):
-            total[f] += n
-    if again := repeats(words):
-        total[repeat_bucket(buckets)] += again
-    ids = np.fromiter(total.keys(), np.int64, len(total))
-    n = np.fromiter(total.values(), float, len(total))
-    return ids, n / max(1.0, n.sum())
+    words, codes, owner = common.worded(pa.array([text], pa.string()))
+    found, of = features(words, buckets)
+    times = np.bincount(codes, minlength=len(words))[of]
+    ids, at = np.unique(np.append(found, repeat_bucket(buckets)), return_inverse=True)
+    n = np.bincount(at, np.append(times, repeats(codes, owner, 1)), len(ids))
+    return ids[n > 0], n[n > 0] / max(1.0, n.sum())
 
 
 class Model:
     """A score for each bucket, the output's bias and the share of label 1."""
 
-    MOST = 300_000
-
     def __init__(self, weights: np.ndarray, bias: float, prior: float) -> None:
         self.weights, self.bias, self.prior = weights, bias, prior
-        self.cache: dict[str, complex] = {}
-        self.list: list[float] | None = None
-
-    def __getstate__(self):
-        return self.weights, self.bias, self.prior
-
-    def __setstate__(self, state) -> None:
-        self.__init__(*state)
-
-    def word(self, word: str) -> complex:
-        """Sum of the word's weights, and how many features it has."""
-        if self.list is None:
-            self.list = self.weights.tolist()
-        ids = features(word, len(self.list))
-        got = complex(sum([self.list[i] for i in ids]), len(ids))
-        if len(self.cache) >= self.MOST:
-            self.cache.clear()
-        self.cache[word] = got
-        return got
 
     def score(self, text: str | None) -> float:
-        words = text.split() if text else ()
-        if not words:
-            return self.prior
-        get, word = self.cache.get, self.word
-        total = sum([get(w) or word(w) for w in words], 0j)
-        if again := repeats(words):
-            total += again * complex(self.weights[repeat_bucket(len(self.weights))], 1)
-        x = total.real / total.imag + self.bias
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
-
-
-def fit(labelled: DataFrame, fit_rows: int = 4000, buckets: int = 1 << 17, width: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> Model:
+        return float(self.scores(pa.array([text], pa.string()))[0])
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The distinct words of all texts are looked at once."""
+        words, codes, owner = common.worded(texts)
+        found, of = features(words, len(self.weights))
+        sums = np.bincount(of, self.weights[found], len(words))[codes]
+        sizes = np.bincount(of, minlength=len(words))[codes]
+        again = repeats(codes, owner, len(texts))
+        total = np.bincount(owner, sums, len(texts)) + again * self.weights[repeat_bucket(len(self.weights))]
+        many = np.bincount(owner, sizes, len(texts)) + again
+        x = np.clip(total / np.maximum(many, 1) + self.bias, -40, 40)
+        return np.where(many > 0, 1 / (1 + np.exp(-x)), self.prior)
+
+
+def fit(labelled: DataFrame, fit_rows: int = 4000, fit_chars: int = 40_000_000, buckets: int = 1 << 17, width: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 7) -> Model:
     """labelled has doc_id, text, label (0 or 1)."""
     usable = common.plain(labelled, "doc_id", "text", "label").filter("label is not null and text is not null")
-    n = usable.count()
-    if n > fit_rows:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * fit_rows / n)))
+    usable = common.thinned(usable, fit_rows, fit_chars)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -147,9 +121,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score, the probability of label 1, as a further column."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        return pd.Series([held.value.score(t) for t in texts], dtype=float)
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.forget()
+        for texts in batches:
+            yield pa.array(np.concatenate([np.empty(0), *[held.value.scores(texts.slice(*cut)) for cut in common.cuts(texts)]]))
+        common.give_back()
 
     return docs.withColumn("score", rate(text))
 

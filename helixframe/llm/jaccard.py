@@ -218,7 +218,7 @@ def rarity_classes(sets: DataFrame, buckets: int) -> DataFrame:
         out[order] = np.repeat(level, np.diff(np.append(first, len(order))))
         return pd.DataFrame({"block": rows["block"], "bucket": bucket, "levels": [x.tobytes() for x in np.split(out, np.cumsum(sizes)[:-1])]})
 
-    dealt = sets.mapInPandas(common.trimmed(send), "bucket int, block long, low binary, n binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = sets.mapInPandas(common.trimmed(send), "bucket int, block long, low binary, n binary").repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", count)), "block long, bucket int, levels binary")
 
 
@@ -279,7 +279,7 @@ def candidate_edges(sets: DataFrame, levels: DataFrame, rule: Rule, buckets: int
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         return pd.DataFrame({"a": a[first], "b": b[first], "need": np.minimum.reduceat(need, first), "times": np.minimum(CERTAIN, np.add.reduceat(times, first))})
 
-    dealt = met.mapInPandas(common.trimmed(send), "bucket int, low binary, docs binary, sizes binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = met.mapInPandas(common.trimmed(send), "bucket int, low binary, docs binary, sizes binary").repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     pairs = dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", connect)), "a long, b long, need long, times long")
     return pairs.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("times").alias("times")).filter("times >= need").select("a", "b")
 

@@ -215,7 +215,7 @@ def shared_anchors(messages: DataFrame, buckets: int) -> DataFrame:
         out = [(block, bucket, packed(own)) for block, own in zip(rows["block"], np.split(shared, cuts), strict=True) if own.any()]
         return pd.DataFrame(out, columns=["block", "bucket", "bits"]) if out else None
 
-    dealt = messages.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = messages.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", count)), "block long, bucket int, bits binary")
 
 
@@ -369,15 +369,15 @@ def cleared(blocks: DataFrame, threshold: int, k: int, buckets: int, shared: Dat
         return out
 
     messages = met.mapInPandas(common.trimmed(send), "bucket int, block long, hashes binary, docs binary, places binary, rows binary, ranges binary")
-    dealt = messages.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = messages.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(common.trimmed(lambda batches: by_key(batches, "bucket", sort)), "block long, ranges binary")
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_bytes: int = 1 << 20, bucket_chars: int = 32 << 20, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_bytes: int = 1 << 20, bucket_chars: int = 32 << 20, with_text: bool = False, characters: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Every document without the bytes of its repeated windows.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the bytes
-    that stay) if with_text is set. carry names columns to return as well.
+    that stay) if with_text is set, with characters without those that a cut has broken. carry names columns to return as well.
     """
     spark = docs.sparkSession
     _, chars = common.text_size(docs)
@@ -410,7 +410,10 @@ def remove_repeats(docs: DataFrame, threshold: int = 50, k: int = 24, block_byte
                     n = int(own.sum())
                     kept = data[s:e].tobytes() if not n else data[s:e][~own].tobytes()
                     spans = int(own[0]) + int((own[1:] & ~own[:-1]).sum()) if n else 0
-                    out.append((doc_id, e - s, n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else []), *([other] if carry else [])))
+                    digest = hashlib.sha256(kept).hexdigest()
+                    if n and characters:
+                        kept = kept.decode("utf-8", "ignore").encode()
+                    out.append((doc_id, e - s, n, spans, digest, *([kept] if with_text else []), *([other] if carry else [])))
                 yield pd.DataFrame(out, columns=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *(["rest"] if carry else [])]

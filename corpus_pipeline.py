@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +34,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
 
 
-def whole_characters(kept: pd.Series) -> pd.Series:
-    """UTF-8 without the parts of characters that a cut has left."""
-    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document with a smaller doc_id has; a text of which nothing is left goes."""
-    whole = F.pandas_udf(whole_characters, "string")
-    cut = repeats.remove_repeats(docs, threshold=50, with_text=True, carry=("lang", "source", "n_chars"))
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(whole("kept"))
-    left = cut.withColumn("text", text).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    cut = repeats.remove_repeats(docs, threshold=50, with_text=True, characters=True, carry=("lang", "source", "n_chars"))
+    left = cut.withColumn("text", F.decode("kept", "UTF-8")).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))).select(*COLUMNS)
 
 

@@ -64,26 +64,31 @@ def consistent_edges(seen: DataFrame) -> DataFrame:
     return good.select("src", "dst", F.col("twist").cast("int").alias("twist"))
 
 
-def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, groups: str | None = None) -> DataFrame:
     """node, rank over weighted edges (src, dst, weight); ranks sum to 1, nodes without a way out give to all.
 
-    A fixed number of rounds, or until no rank changes by more than tolerance.
+    Until no rank changes by more than tolerance, or so many rounds. groups: a column of the edges; each
+    of its values is a graph of its own, all are ranked in the same rounds, and the result has that column as well.
     """
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    parts = written(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("part")), "parts")
-    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(out.withColumnRenamed("src", "node"), "node", "left").select("node", F.col("total").isNull().alias("ends")), "nodes")
-    n = nodes.count()
-    ranks = nodes.select("node", "ends", F.lit(1.0 / max(1, n)).alias("rank"))
+    key = "_group" if groups is None else groups
+    own = edges.withColumn(key, F.lit(0)) if groups is None else edges
+    out = own.groupBy(key, "src").agg(F.sum("weight").alias("total"))
+    parts = written(own.join(out, [key, "src"]).select(key, "src", "dst", (F.col("weight") / F.col("total")).alias("part")), "parts")
+    every = own.select(key, F.col("src").alias("node")).union(own.select(key, "dst")).distinct().join(out.withColumnRenamed("src", "node"), [key, "node"], "left")
+    size = every.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("size"))
+    nodes = written(every.select(key, "node", F.col("total").isNull().alias("ends")).join(size, key), "nodes")
+    ranks = nodes.withColumn("rank", 1 / F.col("size"))
     for _ in range(rounds):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0))).first()[0]
-        given = parts.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("part") * F.col("rank")).alias("given"))
-        fresh = ranks.join(given, "node", "left").select("node", "ends", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + F.lit(lost / n))).alias("rank"), F.col("rank").alias("old"))
-        fresh = written(fresh, "ranks")
-        gap = fresh.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] if tolerance is not None else None
+        lost = ranks.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+        given = parts.join(ranks.select(key, F.col("node").alias("src"), "rank"), [key, "src"]).groupBy(key, F.col("dst").alias("node")).agg(F.sum(F.col("part") * F.col("rank")).alias("given"))
+        met = ranks.join(given, [key, "node"], "left").join(lost, key)
+        rank = (1 - damping) / F.col("size") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / F.col("size"))
+        fresh = written(met.select(key, "node", "ends", "size", rank.alias("rank"), F.col("rank").alias("old")), "ranks")
+        gap = fresh.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = fresh.drop("old")
-        if gap is not None and gap <= tolerance:
+        if gap is None or gap <= tolerance:
             break
-    return ranks.select("node", "rank")
+    return ranks.select("node", "rank") if groups is None else ranks.select(groups, "node", "rank")
 
 
 def clique_test(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -145,29 +150,50 @@ def maximal_cliques(edges: DataFrame, least: int = 3) -> DataFrame:
     return rows.mapInPandas(search, "clique_id long, members array<long>")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 10) -> DataFrame:
-    """node, community by local moves that raise modularity (Blondel et al. 2008), all nodes at once.
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 20, weighted: bool = False) -> DataFrame:
+    """node, community (its smallest node): modularity is raised by local moves, then on the graph of communities, and so on (Blondel et al. 2008).
 
     In a round every node of one half (by a hash that changes) moves to the neighbouring community with the largest gain, ties to
-    the smaller one; halves keep neighbours from swapping. Edges count once and unweighted.
+    the smaller one; halves keep neighbours from swapping. A level ends when a round over either half moves none, the whole when a
+    level joins none. Edges count once each, unless weighted, then by the sum of their weight column.
     """
-    pairs = written(edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct(), "pairs")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "pairs")
-    m2 = float(both.count() or 1)
-    state = written(both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("k")).withColumn("community", F.col("node")), "communities")
+    weight = F.sum("weight") if weighted else F.lit(1.0)
+    pairs = edges.filter("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg((weight if weighted else F.max(F.lit(1.0))).cast("double").alias("w"))
+    pairs = written(pairs, "pairs")
+    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "pairs")
+    m2 = both.agg(F.sum("w")).first()[0] or 1.0
+    degrees = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    place = written(degrees.select("node", F.col("node").alias("community")), "communities")
+    state = written(degrees.withColumn("community", F.col("node")), "communities")
+    for _ in range(levels):
+        moved = _local_moves(both, state, m2, resolution, rounds)
+        sizes = moved.agg(F.count(F.lit(1)), F.count_distinct("community")).first()
+        place = written(place.join(moved.select(F.col("node").alias("community"), F.col("community").alias("next")), "community").select("node", F.col("next").alias("community")), "communities")
+        if sizes[0] == sizes[1]:
+            break
+        to = moved.select("node", "community")
+        ends = both.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b").filter("x <> y")
+        both = written(ends.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "pairs")
+        state = written(moved.groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")).withColumn("community", F.col("node")), "communities")
+    name = place.groupBy("community").agg(F.min("node").alias("name"))
+    return place.join(name, "community").select("node", F.col("name").alias("community"))
+
+
+def _local_moves(both: DataFrame, state: DataFrame, m2: float, resolution: float, rounds: int) -> DataFrame:
+    """node, k, community after rounds of moves. both: a, b, w in both directions; state: node, k (with weights inside it), community."""
+    still = 0
     for turn in range(rounds):
         total = state.groupBy("community").agg(F.sum("k").alias("sum_k"))
-        ties = both.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.count(F.lit(1)).alias("links"))
+        ties = both.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("links"))
         own = state.select("node", "k", F.col("community").alias("now"))
-        options = ties.unionByName(state.select("node", "community", F.lit(0).cast("long").alias("links"))).groupBy("node", "community").agg(F.max("links").alias("links")).join(own, "node").join(total, "community")
+        options = ties.unionByName(state.select("node", "community", F.lit(0.0).alias("links"))).groupBy("node", "community").agg(F.max("links").alias("links")).join(own, "node").join(total, "community")
         held = F.col("sum_k") - F.when(F.col("community") == F.col("now"), F.col("k")).otherwise(0)
         gain = F.round(F.col("links") - F.lit(resolution) * F.col("k") * held / m2, 9)
         best = options.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (F.col("community") == F.col("now")).alias("stays"), (-F.col("community")).alias("first")))["first"].alias("first"))
-        moves = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+        moves = F.pmod(F.shiftright(F.xxhash64("node"), turn // 2 % 32) + F.lit(turn), F.lit(2)) == 0
         fresh = written(state.join(best, "node").select("node", "k", F.when(moves, -F.col("first")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")), "communities")
-        moved = fresh.filter("community <> old").count()
+        still = 0 if fresh.filter("community <> old").count() else still + 1
         state = fresh.drop("old")
-        if not moved and turn:
+        if still == 2 and turn % 2:  # both halves of one split
             break
-    name = state.groupBy("community").agg(F.min("node").alias("name"))
-    return state.join(name, "community").select("node", F.col("name").alias("community"))
+    return state

@@ -2,36 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.sequence import indexes, subsequence
+from ..functions.sequence import indexes, kmer_code, subsequence
+from . import letters
 
-CHUNK = 512
 
+def occurrences(seqs: DataFrame, k: int, id_: str = "id", seq: str = "seq") -> DataFrame:
+    """id, kmer, pos of every window without a letter outside ACGT."""
 
-def words(seqs: DataFrame, k: int, *keep: str, seq: str = "seq") -> DataFrame:
-    """keep, pos, word: every window of k letters, in upper case.
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in letters.portions(batches, 1, 1 << 20):
+            found, owner, first = letters.joined(batch.column(1))
+            at = letters.windows(found, owner, k)
+            of = owner[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), letters.words(letters.codes(found, at, k), k), pa.array((at - first[of]).astype(np.int32))], ["id", "kmer", "pos"])
+
+    rows = seqs.select(F.col(id_).alias("id"), seq)
+    return rows.mapInArrow(find, StructType([rows.schema["id"], StructField("kmer", StringType()), StructField("pos", IntegerType())]))
+
+
+#: Letters of a long record that are counted at a time.
+MOST = 4 << 20
+
+
+def tallied(found: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and count of the k-mers of each row."""
+    if len(found) >= MOST + k:
+        parts = [tallied(found[s : s + MOST + k - 1], owner[s : s + MOST + k - 1], k) for s in range(0, len(found), MOST)]
+        of, own, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((own, of))
+        of, own, n = of[order], own[order], n[order]
+        first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1]))) if len(own) else np.empty(0, np.int64)
+        return of[first], own[first], np.add.reduceat(n, first) if len(first) else n
+    at = letters.windows(found, owner, k)
+    own, of = letters.codes(found, at, k), owner[at]
+    rows = int(of[-1]) + 1 if len(of) else 0
+    if rows << 2 * k <= 1 << 22:
+        times = np.bincount((of << 2 * k) + own, minlength=1)
+        both = np.flatnonzero(times)
+        return both >> 2 * k, both & ((1 << 2 * k) - 1), times[both]
+    order = np.lexsort((own, of))
+    own, of = own[order], of[order]
+    first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (of[1:] != of[:-1]))) if len(own) else np.empty(0, np.int64)
+    return of[first], own[first], np.diff(np.append(first, len(own)))
 
-    Sequences are cut into overlapping chunks first, as a substring is found by counting
-    letters from the front.
-    """
-    upper = seqs.select(*keep, F.upper(seq).alias("_s"))
-    chunks = upper.select(*keep, "_s", F.explode(indexes(F.ceil((F.length("_s") - (k - 1)) / F.lit(CHUNK)))).alias("_c"))
-    cut = chunks.select(*keep, "_c", F.substring("_s", F.col("_c") * CHUNK + 1, F.lit(CHUNK + k - 1)).alias("_w"))
-    each = cut.select(*keep, "_c", F.posexplode(F.transform(indexes(F.length("_w") - (k - 1)), lambda i: F.substring("_w", i + 1, F.lit(k)))).alias("_i", "word"))
-    return each.select(*keep, (F.col("_c") * CHUNK + F.col("_i")).cast("int").alias("pos"), "word")
 
+def counts(seqs: DataFrame, k: int, id_: str = "id", seq: str = "seq") -> DataFrame:
+    """id, kmer, n for each record: windows are counted before they become rows, and nothing is shuffled."""
 
-def occurrences(seqs: DataFrame, k: int, id_: str = "id", seq: str = "seq") -> DataFrame:
-    """id, kmer, pos of every window without a letter outside ACGT."""
-    found = words(seqs.withColumn("id", F.col(id_)), k, "id", seq=seq)
-    return found.filter(F.translate("word", "ACGT", "") == "").select("id", F.col("word").alias("kmer"), "pos")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in letters.portions(batches, 1):
+            row, number, n = tallied(*letters.joined(batch.column(1))[:2], k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), letters.words(number, k), pa.array(n.astype(np.int64))], ["id", "kmer", "n"])
 
+    rows = seqs.select(F.col(id_).alias("id"), seq)
+    return rows.mapInArrow(count, StructType([rows.schema["id"], StructField("kmer", StringType()), StructField("n", LongType())]))
 
-def counts(seqs: DataFrame, k: int, id_: str = "id", seq: str = "seq") -> DataFrame:
-    return occurrences(seqs, k, id_, seq).groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n"))
+
+def total_weights(table: DataFrame) -> DataFrame:
+    """kmer, weight: the sum of a k-mer's frequencies over all sequences."""
+    return frequencies(table).groupBy("kmer").agg(F.sum("freq").alias("weight"))
+
+
+def sequence_matrix(table: DataFrame, n_seqs: int, low: int = 1, high: float = 0.5) -> DataFrame:
+    """k-mers by sequences (i, j, v): frequencies of the k-mers that occur in at least low sequences and at most a share of them."""
+    kept = in_band(table, n_seqs, low, high).select("kmer")
+    return frequencies(table).join(kept, "kmer", "left_semi").select(F.col("kmer").alias("i"), F.col("id").alias("j"), F.col("freq").alias("v"))
 
 
 def frequencies(table: DataFrame) -> DataFrame:
@@ -100,7 +144,18 @@ def position_matrix(found: DataFrame, low: int = 1, high: float = 0.9) -> DataFr
     return each.join(kept.select("kmer"), "kmer").filter(F.col("n_docs") >= low).select("kmer", "pos", "n_docs")
 
 
-def chaos_cells(found: DataFrame, k: int) -> DataFrame:
-    """x, y of each k-mer in the square of the chaos game: A lower left, C upper left, G upper right, T lower right."""
+def chaos_cells(found: DataFrame, k: int, diagonal: bool = True) -> DataFrame:
+    """x, y of each k-mer in the square of the chaos game: A lower left, C upper left, G upper right, T lower right.
+
+    Not diagonal: T upper right and G lower right.
+    """
+    right, upper = ("GT", "CG") if diagonal else ("GT", "CT")
     bit = lambda which: F.aggregate(F.split("kmer", ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(acc * 2 + F.when(c.isin(*which), 1).otherwise(0)))
-    return found.select("*", bit("GT").alias("x"), bit("CG").alias("y"))
+    return found.select("*", bit(right).alias("x"), bit(upper).alias("y"))
+
+
+def rainbow(table: DataFrame, k: int) -> DataFrame:
+    """id, x, y, h, s, v: a row of cells in which a k-mer's place gives the hue and its share of the most frequent one's count the value."""
+    most = table.groupBy("id").agg(F.max("n").alias("_most"))
+    x = kmer_code("kmer")
+    return table.join(most, "id").select("id", x.cast("int").alias("x"), F.lit(0).alias("y"), (x / F.lit(float(4**k))).alias("h"), F.lit(1.0).alias("s"), (F.col("n") / F.col("_most")).alias("v"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions.sequence import reverse_complement
-from .kmers import words
+from . import letters
 
 
 def column_counts(alignment: DataFrame, seq: str = "seq") -> DataFrame:
@@ -16,21 +21,31 @@ def column_counts(alignment: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def scan(seqs: DataFrame, matrix: list[list[float]], least: float = 0.9, id_: str = "id", seq: str = "seq") -> DataFrame:
-    """id, start, end, strand, score of windows that reach a share of the matrix's best sum, on both strands.
+    """id, start, end, strand, score, word of windows that reach a share of the matrix's best sum, on both strands.
 
-    matrix: rows of weights for A, C, G, T. Windows with other letters score nothing there.
+    matrix: rows of weights for A, C, G, T. Windows with other letters score nothing there. Only hits become rows.
     """
-    width = len(matrix)
-    top = sum(max(r) for r in matrix)
-
-    def score(window, rows):
-        total = F.lit(0.0)
-        for p, row in enumerate(rows):
-            letter = F.substring(window, p + 1, 1)
-            total = total + F.when(letter == "A", row[0]).when(letter == "C", row[1]).when(letter == "G", row[2]).when(letter == "T", row[3]).otherwise(0.0)
-        return F.round(total / F.lit(top), 9)
-
+    width, top = len(matrix), sum(max(r) for r in matrix)
     backward = [[r[3], r[2], r[1], r[0]] for r in reversed(matrix)]
-    windows = words(seqs.withColumn("id", F.col(id_)), width, "id", seq=seq).withColumnRenamed("pos", "start")
-    both = windows.select("id", F.col("start").cast("long").alias("start"), (F.col("start") + width).cast("long").alias("end"), "word", F.explode(F.array(F.struct(F.lit(1).alias("strand"), score(F.col("word"), matrix).alias("score")), F.struct(F.lit(-1).alias("strand"), score(F.col("word"), backward).alias("score")))).alias("hit"))
-    return both.select("id", "start", "end", "hit.strand", "hit.score", F.when(F.col("hit.strand") == -1, reverse_complement("word")).otherwise(F.col("word")).alias("word")).filter(F.col("score") >= least)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in letters.portions(batches, 1):
+            found, owner, first = letters.joined(batch.column(1))
+            n = len(found) - width + 1
+            if n < 1:
+                continue
+            number, within = letters.NUMBER[found], owner[:n] == owner[width - 1 :]
+            for strand, rows in ((1, matrix), (-1, backward)):
+                score = np.zeros(n)
+                for p, row in enumerate(rows):
+                    score += np.array([*row, 0.0])[number[p : p + n]]
+                at = np.flatnonzero(within & (score >= (least - 1e-6) * top))
+                of = owner[at]
+                word = letters.spelled(found[at[:, None] + np.arange(width)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(at - first[of]), pa.array(np.full(len(at), strand, np.int32)), pa.array(score[at]), word], ["id", "start", "strand", "total", "word"])
+
+    rows = seqs.select(F.col(id_).alias("id"), seq)
+    kinds = StructType([rows.schema["id"], StructField("start", LongType()), StructField("strand", IntegerType()), StructField("total", DoubleType()), StructField("word", StringType())])
+    score = F.round(F.col("total") / F.lit(top), 9)
+    word = F.when(F.col("strand") == -1, reverse_complement("word")).otherwise(F.col("word"))
+    return rows.mapInArrow(find, kinds).select("id", "start", (F.col("start") + width).alias("end"), "strand", score.alias("score"), word.alias("word")).filter(F.col("score") >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,23 +38,58 @@ def pile_measures(over: DataFrame) -> DataFrame:
     return over.groupBy("pile_id").agg(F.count(F.lit(1)).alias("depth"), F.sum(F.col("i_end") - F.col("i_start")).alias("volume"), F.min("i_start").alias("span_start"), F.max("i_end").alias("span_end"))
 
 
-def twists(over: DataFrame, pile_diff: float = 0.05, image_diff: float = 0.05, classic: bool = False) -> DataFrame:
-    """src < dst, twist: piles that the two images of a pair connect. Unless classic, lengths must agree within tolerances."""
+def _sides(over: DataFrame) -> DataFrame:
     side = lambda n, s: over.filter(F.col("side") == n).select("pair_id", "strand", F.col("pile_id").alias(f"{s}_pile"), (F.col("p_end") - F.col("p_start")).alias(f"{s}_plen"), (F.col("i_end") - F.col("i_start")).alias(f"{s}_ilen"))
-    met = side(0, "a").join(side(1, "b").drop("strand"), "pair_id").filter("a_pile <> b_pile")
+    return side(0, "a").join(side(1, "b").drop("strand"), "pair_id")
+
+
+def _alike(pile_diff: float, image_diff: float) -> Column:
+    """Both images nearly fill their piles, and the shorter pile is nearly as long as the other."""
+    return within(pile_diff, F.least("a_plen", "b_plen"), F.greatest("a_plen", "b_plen")) & within(image_diff, F.col("a_ilen"), F.col("a_plen")) & within(image_diff, F.col("b_ilen"), F.col("b_plen"))
+
+
+def filtered_pairs(over: DataFrame, pile_diff: float = 0.05, image_diff: float = 0.05) -> DataFrame:
+    """pair_id of the pairs that classic piling keeps: those whose lengths agree within tolerances."""
+    return _sides(over).filter(_alike(pile_diff, image_diff)).select("pair_id")
+
+
+def twists(over: DataFrame, pile_diff: float = 0.05, image_diff: float = 0.05, classic: bool = False) -> DataFrame:
+    """src < dst, twist: piles that the two images of a pair connect. Lengths must agree within tolerances, unless classic, where pairs have been filtered before."""
+    met = _sides(over).filter("a_pile <> b_pile")
     if not classic:
-        met = met.filter(within(pile_diff, F.least("a_plen", "b_plen"), F.greatest("a_plen", "b_plen")) & within(image_diff, F.col("a_ilen"), F.col("a_plen")) & within(image_diff, F.col("b_ilen"), F.col("b_plen")))
+        met = met.filter(_alike(pile_diff, image_diff))
     return met.select(F.least("a_pile", "b_pile").alias("src"), F.greatest("a_pile", "b_pile").alias("dst"), F.col("strand").alias("twist"))
 
 
+def touching_images(over: DataFrame, width: int, *keys: str) -> DataFrame:
+    """pile_id, a, b: images of one pile that overlap or touch. over: pile_id, image_id, i_start, i_end.
+
+    Bins of the axis keep a deep pile from being compared with itself as a whole.
+    """
+    own = lambda s: over.select("pile_id", F.col("image_id").alias(s), F.col("i_start").alias(f"{s}_start"), (F.col("i_end") + 1).alias(f"{s}_end"))
+    met = overlap_join(own("a"), own("b"), width, ("pile_id", "a_start", "a_end"), ("pile_id", "b_start", "b_end"), F.col("a") < F.col("b"))
+    return met.select("pile_id", "a", "b")
+
+
+def deep_coverage(clusters: DataFrame, least: int = 2) -> DataFrame:
+    """pile_id, covered: letters under accepted clusters whose images are at least so many in sum. clusters: pile_id, start, end, depth, accepted."""
+    kept = clusters.filter("accepted")
+    marks = kept.select("pile_id", F.col("start").alias("pos"), F.col("depth").alias("d")).unionByName(kept.select("pile_id", F.col("end").alias("pos"), (-F.col("depth")).alias("d")))
+    step = marks.groupBy("pile_id", "pos").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy("pile_id").orderBy("pos")
+    runs = step.withColumns({"deep": F.sum("d").over(along), "next": F.lead("pos").over(along)}).filter(F.col("deep") >= least)
+    return runs.groupBy("pile_id").agg(F.sum(F.col("next") - F.col("pos")).alias("covered"))
+
+
 def subpiles(found: DataFrame, share: float = 0.05, strictness: int = 0, overlap_share: float = 0.95, target: float = 0.95) -> DataFrame:
     """Greedy clusters of a pile's images: pile_id, cluster, start, end, depth, accepted.
 
     found: pile_id, p_start, p_end, i_start, i_end. Equal images are one row with a count first, so
     a task holds the distinct intervals of a pile. The deepest interval absorbs those
     whose ends are near its own; ties go by start, then end. Clusters are
-    accepted, deepest first, until they cover the target share of the pile. Strictness 1 drops one that
-    strictly holds an accepted one, 2 one that overlaps an accepted one by more than 1 - overlap_share.
+    accepted, deepest first, until places under two or more accepted images make the target share of the pile. Strictness 1
+    drops one that strictly holds an accepted one and that one too, 2 one that overlaps an accepted one by at least overlap_share
+    of the shorter and that one too; they go on counting as cover, and as what later ones are held against.
     """
     unique = found.groupBy("pile_id", "p_start", "p_end", "i_start", "i_end").agg(F.count(F.lit(1)).alias("n"))
 
@@ -69,39 +104,48 @@ def subpiles(found: DataFrame, share: float = 0.05, strictness: int = 0, overlap
             made.append((int(own["i_start"].min()), int(own["i_end"].max()), int(own["n"].sum())))
             left = left[~near]
         made.sort(key=lambda c: (-c[2], c[0], c[1]))
-        kept: list[tuple[int, int]] = []
+        held: list[int] = []  # clusters that later ones are held against
+        taken: list[int] = []  # clusters that cover
+        dropped: set[int] = set()
         size = int(b["p_end"].iloc[0] - b["p_start"].iloc[0])
-        rows = []
-        for i, (s, e, n) in enumerate(made):
-            covered, last = 0, -(1 << 62)
-            for a, z in sorted(kept):
-                covered += max(0, z - max(a, last))
-                last = max(last, z)
-            ok = covered < target * size
-            for a, z in kept:
-                if strictness >= 1 and s <= a and z <= e and (s, e) != (a, z):
-                    ok = False
-                if strictness >= 2 and max(0, min(e, z) - max(s, a)) >= (1 - overlap_share) * min(e - s, z - a):
-                    ok = False
-            if ok:
-                kept.append((s, e))
-            rows.append((key[0], i, s, e, n, ok))
+        for i, (s, e, _) in enumerate(made):
+            bad = []
+            for j in held:
+                a, z = made[j][:2]
+                if strictness == 1 and s <= a and z <= e and (s, e) != (a, z) or strictness == 2 and max(0, min(e, z) - max(s, a)) >= overlap_share * min(e - s, z - a):
+                    bad.append(j)
+            if bad:
+                dropped |= {i, *bad}
+                continue
+            held.append(i)
+            taken.append(i)
+            ends = sorted([(made[j][0], made[j][2]) for j in taken] + [(made[j][1], -made[j][2]) for j in taken])
+            covered = deep = 0
+            for (pos, d), (after, _) in zip(ends, ends[1:] + ends[-1:], strict=True):
+                deep += d
+                covered += (after - pos) * (deep > 1)
+            if covered >= target * size:
+                break
+        rows = [(key[0], i, s, e, n, i in taken and i not in dropped) for i, (s, e, n) in enumerate(made)]
         return pd.DataFrame(rows, columns=["pile_id", "cluster", "start", "end", "depth", "accepted"])
 
     return unique.groupBy("pile_id").applyInPandas(cluster, "pile_id string, cluster int, start long, end long, depth long, accepted boolean")
 
 
-def landscape(found: DataFrame, levels: int = 8) -> DataFrame:
+def landscape(found: DataFrame, levels: int | None = None) -> DataFrame:
     """pile_id, pos, k, height: the k-th largest tent min(pos - start, end - pos) over the images at each inner position.
 
-    Spark ranks within (pile, position); levels bounds what is kept of a position.
+    Spark ranks within (pile, position). levels: only the largest so many of a position, all of them by default.
     """
     tents = found.filter(F.col("i_end") - F.col("i_start") > 1).select("pile_id", "i_start", "i_end", F.explode(F.sequence(F.col("i_start") + 1, F.col("i_end") - 1)).alias("pos"))
     heights = tents.withColumn("height", F.least(F.col("pos") - F.col("i_start"), F.col("i_end") - F.col("pos"))).groupBy("pile_id", "pos", "height").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("pile_id", "pos").orderBy(F.desc("height"))
     upto = F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = heights.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n") + 1).filter(F.col("from") <= levels)
-    each = ranked.select("pile_id", "pos", F.explode(F.sequence(F.col("from"), F.least("upto", F.lit(levels)))).alias("k"), "height")
+    ranked = heights.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("n") + 1)
+    last = F.col("upto")
+    if levels is not None:
+        ranked, last = ranked.filter(F.col("from") <= levels), F.least("upto", F.lit(levels))
+    each = ranked.select("pile_id", "pos", F.explode(F.sequence(F.col("from"), last)).alias("k"), "height")
     return each.withColumn("k", F.col("k").cast("int"))
 
 
@@ -114,9 +158,9 @@ def landscape_features(levels: DataFrame) -> DataFrame:
     h = F.col("height")
     a = F.when(F.lag("pos").over(along) == F.col("pos") - 1, F.lag("height").over(along)).otherwise(0)
     b = F.when(F.lead("pos").over(along) == F.col("pos") + 1, F.lead("height").over(along)).otherwise(0)
-    span = Window.partitionBy("pile_id")
-    edge = (F.col("pos") == F.min("pos").over(span)) | (F.col("pos") == F.max("pos").over(span))
-    near = levels.withColumns({"a": a, "b": b, "edge": edge})
+    span = levels.groupBy("pile_id").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    edge = (F.col("pos") == F.col("_first")) | (F.col("pos") == F.col("_last"))
+    near = levels.join(span, "pile_id").withColumns({"a": a, "b": b, "edge": edge})
     a, b = F.col("a"), F.col("b")
     trough = ((h == 0) & (a + b > 0)) | (F.col("edge") & (h > 0)) | ((h <= a) & (h < b)) | ((h < a) & (h <= b))
     peak = ((h >= a) & (h > b)) | ((h > a) & (h >= b))
@@ -137,15 +181,31 @@ def kept_families(members: DataFrame) -> DataFrame:
     return known.join(enough.select("family_id"), "family_id", "left_semi")
 
 
+def sized_families(members: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """family_id, size of families with at least and at most so many members, the largest first, then by id."""
+    size = members.groupBy("family_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
+    return (size if most is None else size.filter(F.col("size") <= most)).orderBy(F.desc("size"), "family_id")
+
+
+def member_name(family: Column, member: Column) -> Column:
+    return F.format_string("family%06d_member%04d", family, member)
+
+
 def long_members(members: DataFrame, share: float) -> DataFrame:
-    """Members of at least a share of their family's longest, with n_valid and the member's number before the filter."""
-    n = (F.col("e") - F.col("s")).alias("len")
-    most = members.groupBy("family_id").agg(F.max(F.col("e") - F.col("s")).alias("max_len"))
+    """Members of at least a share of their family's longest, with the member's number before the filter."""
+    n = (F.col("end") - F.col("start")).alias("len")
+    most = members.groupBy("family_id").agg(F.max(F.col("end") - F.col("start")).alias("max_len"))
     rows = members.select("*", n).join(most, "family_id")
     order = Window.partitionBy("family_id").orderBy("ord")
     return rows.withColumn("member", F.row_number().over(order) - 1).filter(F.col("len") >= F.floor(F.col("max_len") * share))
 
 
+def sampled_members(members: DataFrame, most: int, share: float, seed: int) -> DataFrame:
+    """At most so many of a family's long members, in the order of a seeded hash, with that order's n."""
+    order = Window.partitionBy("family_id").orderBy(F.md5(F.concat(F.lit(f"{seed}-"), F.col("ord").cast("string"))), "ord")
+    return long_members(members, share).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
+
+
 def stitch(members: DataFrame, epsilon: float, width: int) -> DataFrame:
     """fam_a, fam_b, twist, n_bad: families of different files whose members lie at almost the same place.
 

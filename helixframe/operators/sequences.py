@@ -81,3 +81,17 @@ def consensus(alignment: DataFrame, key: str = "family_id", seq: str = "seq", le
     votes = best.select(key, "pos", F.col("best.letter").alias("letter"), quality.cast("int").alias("quality"), "depth")
     shown = F.when(F.col("quality") >= least_quality, F.col("letter")).otherwise(F.lower("letter"))
     return votes.withColumn("shown", shown)
+
+
+def first_record(seqs: DataFrame, order: str) -> DataFrame:
+    """The record that comes first in an order; one number reaches the rows that are compared."""
+    first = seqs.agg(F.min(order).alias(order))
+    return seqs.join(F.broadcast(first), order)  # one row
+
+
+def runs_of_equal(rows: DataFrame, value: str, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with run: a number that rises within keys whenever value differs from the row before."""
+    along = Window.partitionBy(*keys).orderBy(*order)
+    fresh = F.when(F.lag(value).over(along) == F.col(value), 0).otherwise(1)
+    numbered = rows.withColumn("_fresh", fresh)
+    return numbered.withColumn("run", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh")

@@ -41,8 +41,8 @@ def families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts are joined to the suppliers of their large line items; suppliers are numbered from -1 down."""
-    return table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 and l_linenumber <= 2").select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("twist"))
+    """Parts are joined to the suppliers of their line items; suppliers are numbered from -1 down."""
+    return table(spark, sf_dir, "lineitem").select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("twist"))
 
 
 def supplier_graph(spark: SparkSession, sf_dir: str, shared: int = 2) -> DataFrame:
@@ -52,11 +52,6 @@ def supplier_graph(spark: SparkSession, sf_dir: str, shared: int = 2) -> DataFra
     return a.join(b, "l_orderkey").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")).filter(F.col("weight") >= shared)
 
 
-def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As edges, of every line item."""
-    return table(spark, sf_dir, "lineitem").select((-1 - F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("twist"))
-
-
 def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src < dst: parts in one order."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
@@ -75,6 +70,6 @@ DNA = f"dna AS (SELECT doc_id AS id, translate(regexp_replace(lower(text), '[^a-
 SPANS = "spans AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS contig, l_partkey AS start, l_partkey + CAST(l_quantity AS BIGINT) AS \"end\", CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN -1 ELSE 0 END AS strand, l_orderkey AS \"order\", l_linenumber AS line FROM lineitem)"
 MARKS = "marks AS (SELECT event_id, user_id AS contig, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS start, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) + 1 + CAST(floor(abs(value)) AS BIGINT) AS \"end\" FROM events)"
 FAMILIES = "families AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS family_id, p_partkey AS ord, p_type AS contig, p_partkey AS start, p_partkey + p_size + 1 AS \"end\", CASE p_size % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS strand, p_partkey % 3 AS file_id FROM part)"
-EDGES = "edges AS (SELECT -1 - l_suppkey AS src, l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS twist FROM lineitem WHERE l_quantity >= 49 AND l_linenumber <= 2)"
+EDGES = "edges AS (SELECT -1 - l_suppkey AS src, l_partkey AS dst, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS twist FROM lineitem)"
 SUPPLIERS = "items AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), graph AS (SELECT a.l_suppkey AS src, b.l_suppkey AS dst, count(*) AS weight FROM items a JOIN items b USING (l_orderkey) WHERE a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2)"
 MATRIX = "matrix AS (SELECT CAST(c_nationkey AS BIGINT) AS i, c_mktsegment || '/' || o_orderpriority AS j, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS DOUBLE) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"

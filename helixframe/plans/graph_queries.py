@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, kmers, matrix, piles
 from ..sources import formats
-from .bindings import EDGES, MATRIX, SPANS, SUPPLIERS, all_edges, dna, edges, families, part_graph, spans, supplier_graph
+from .bindings import EDGES, FAMILIES, MATRIX, SPANS, SUPPLIERS, dna, edges, families, part_graph, spans, supplier_graph, table
 from .bindings import matrix as matrix_view
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -22,19 +22,50 @@ def query(sql: str | None = None):
     return add
 
 
+# every node takes the smallest label around it, round by round, until none changes
 LABELS = """both_ AS (SELECT src AS u, dst AS v FROM {edges} UNION SELECT dst, src FROM {edges}),
-walk(u, root) AS (SELECT u, u FROM both_ UNION SELECT b.v, w.root FROM walk w JOIN both_ b ON b.u = w.u WHERE w.root < b.v),
-label AS (SELECT u AS node, min(root) AS component FROM walk GROUP BY u)"""
+step(turn, u, root) AS (SELECT 0, u, u FROM (SELECT DISTINCT u FROM both_) UNION ALL
+  SELECT turn + 1, u, root FROM (SELECT any_value(s.turn) AS turn, s.u, least(any_value(s.root), min(n.root)) AS root, any_value(s.root) AS old, sum(0) AS zero FROM step s JOIN both_ b ON b.u = s.u JOIN step n ON n.u = b.v GROUP BY s.u) WHERE turn < {rounds}),
+label AS (SELECT u AS node, min(root) AS component FROM step GROUP BY u)"""
 
 
-@query(f"WITH RECURSIVE {EDGES}, sparse AS (SELECT src, dst FROM edges WHERE (dst * 7 + src) % 5 = 0), {LABELS.format(edges='sparse')} SELECT node, component FROM label")
+@query(f"WITH RECURSIVE {EDGES}, {LABELS.format(edges='edges', rounds=12)} SELECT node, component FROM label")
 def graph_components(spark, sf_dir):
-    return graphs.components(edges(spark, sf_dir).filter("pmod(dst * 7 + src, 5) = 0").select("src", "dst"))
+    return graphs.components(edges(spark, sf_dir).select("src", "dst"))
 
 
-@query()
+def _doubled(twisted: str) -> str:
+    """SQL of the doubled graph: an even number is a node's plus side, an odd one its minus side."""
+    return f"""doubled AS (SELECT src * 2 AS src, dst * 2 + CASE twist WHEN 1 THEN 0 ELSE 1 END AS dst FROM {twisted} UNION SELECT src * 2 + 1, dst * 2 + CASE twist WHEN 1 THEN 1 ELSE 0 END FROM {twisted}),
+{LABELS.format(edges='doubled', rounds=12)},
+side AS (SELECT node // 2 AS node, node % 2 AS own, component // 2 AS component, component % 2 AS mark FROM label),
+plus AS (SELECT node, component, count(*) AS n, min(own) AS own FROM side WHERE mark = 0 GROUP BY 1, 2)
+SELECT node, component, CASE own WHEN 0 THEN 1 ELSE -1 END AS strand FROM plus WHERE component NOT IN (SELECT component FROM plus WHERE n > 1)"""
+
+
+@query(f"WITH RECURSIVE {EDGES}, twisted AS (SELECT DISTINCT src + 1000000 AS src, dst + 2000000 AS dst, twist FROM edges), {_doubled('twisted')}")
 def graph_signed_components(spark, sf_dir):
-    return graphs.signed_components(all_edges(spark, sf_dir).select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
+    return graphs.signed_components(edges(spark, sf_dir).select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
+
+
+@query(f"""
+WITH RECURSIVE twisted AS (SELECT CAST(r_regionkey AS BIGINT) AS src, CAST(100 + n_nationkey AS BIGINT) AS dst, 1 AS twist FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT 100 + c_nationkey, 10000000 + c_custkey, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END FROM customer
+  UNION ALL SELECT 100 + s_nationkey, 1000 + s_suppkey, CASE WHEN s_acctbal < 0 THEN -1 ELSE 1 END FROM supplier
+  UNION ALL SELECT n_regionkey, 1000 + s_suppkey, 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < -800 OR s_acctbal > 5000), {_doubled('twisted')}""")
+def graph_signed_regions(spark, sf_dir):
+    """Regions, nations, customers and suppliers, whose signs are those of their accounts; a supplier far in debt contradicts its region."""
+    t = lambda name: table(spark, sf_dir, name)
+    sign = lambda c: F.when(F.col(c) < 0, -1).otherwise(1)
+    far = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey")).filter("s_acctbal < -800 or s_acctbal > 5000")
+    parts = [
+        t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_regionkey"), 100 + F.col("n_nationkey"), F.lit(1)),
+        t("customer").select(100 + F.col("c_nationkey"), 10_000_000 + F.col("c_custkey"), sign("c_acctbal")),
+        t("supplier").select(100 + F.col("s_nationkey"), 1000 + F.col("s_suppkey"), sign("s_acctbal")),
+        far.select(F.col("n_regionkey"), 1000 + F.col("s_suppkey"), F.lit(1)),
+    ]
+    edges = [p.toDF("src", "dst", "twist").select(F.col("src").cast("long"), F.col("dst").cast("long"), "twist") for p in parts]
+    return graphs.signed_components(edges[0].unionByName(edges[1]).unionByName(edges[2]).unionByName(edges[3]))
 
 
 @query(f"""
@@ -46,18 +77,18 @@ def graph_consistent_edges(spark, sf_dir):
 
 
 def _rank_sql(rounds: int) -> str:
-    steps = ["r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
+    steps = ["r0 AS MATERIALIZED (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"]
     for i in range(rounds):
-        steps.append(f"g{i} AS (SELECT dst AS node, sum(part * rank) AS given FROM parts JOIN r{i} ON src = node GROUP BY 1), l{i} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM parts))")
-        steps.append(f"r{i + 1} AS (SELECT node, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85 * (coalesce(given, 0) + (SELECT lost FROM l{i}) / (SELECT count(*) FROM nodes)) AS rank FROM nodes LEFT JOIN g{i} USING (node))")
+        steps.append(f"g{i} AS MATERIALIZED (SELECT dst AS node, sum(part * rank) AS given FROM parts JOIN r{i} ON src = node GROUP BY 1), l{i} AS MATERIALIZED (SELECT coalesce(sum(rank), 0) AS lost FROM r{i} WHERE node NOT IN (SELECT src FROM parts))")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / (SELECT count(*) FROM nodes) + 0.85 * (coalesce(given, 0) + (SELECT lost FROM l{i}) / (SELECT count(*) FROM nodes)) AS rank FROM nodes LEFT JOIN g{i} USING (node))")
     return ", ".join(steps)
 
 
 @query(f"""
-WITH {SUPPLIERS}, parts AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS part FROM graph), nodes AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph), {_rank_sql(5)}
-SELECT node, round(rank, 9) AS rank FROM r5""")
+WITH {SUPPLIERS}, parts AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS part FROM graph), nodes AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph), {_rank_sql(40)}
+SELECT node, round(rank, 6) AS rank FROM r40""")
 def graph_pagerank(spark, sf_dir):
-    return graphs.pagerank(supplier_graph(spark, sf_dir), rounds=5).withColumn("rank", F.round("rank", 9))
+    return graphs.pagerank(supplier_graph(spark, sf_dir), tolerance=1e-8).withColumn("rank", F.round("rank", 6))
 
 
 def _groups(spark, sf_dir):
@@ -147,17 +178,28 @@ def pile_subclusters(spark, sf_dir):
 WITH f AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) || '/' || p_type AS pile_id, p_partkey AS s, p_partkey + p_size + 1 AS e FROM part),
 t AS (SELECT pile_id, s, e, unnest(range(s + 1, e)) AS pos FROM f WHERE e - s > 1),
 h AS (SELECT pile_id, pos, least(pos - s, e - pos) AS height, row_number() OVER (PARTITION BY pile_id, pos ORDER BY least(pos - s, e - pos) DESC) AS k FROM t)
-SELECT pile_id, pos, CAST(k AS INTEGER) AS k, height FROM h WHERE k <= 8""")
+SELECT pile_id, pos, CAST(k AS INTEGER) AS k, height FROM h""")
 def pile_landscape(spark, sf_dir):
     return piles.landscape(_small_piles(spark, sf_dir))
 
 
-@query()
+@query("""
+WITH f AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) || '/' || p_type AS pile_id, p_partkey AS s, p_partkey + p_size + 1 AS e FROM part),
+t AS (SELECT pile_id, s, e, unnest(range(s + 1, e)) AS pos FROM f WHERE e - s > 1),
+h AS (SELECT pile_id, pos, least(pos - s, e - pos) AS height, row_number() OVER (PARTITION BY pile_id, pos ORDER BY least(pos - s, e - pos) DESC) AS k FROM t),
+n AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 THEN lag(height) OVER w ELSE 0 END AS a, CASE WHEN lead(pos) OVER w = pos + 1 THEN lead(height) OVER w ELSE 0 END AS b,
+  pos = min(pos) OVER (PARTITION BY pile_id) OR pos = max(pos) OVER (PARTITION BY pile_id) AS edge FROM h WINDOW w AS (PARTITION BY pile_id, k ORDER BY pos))
+SELECT pile_id, pos, CAST(k AS INTEGER) AS k, height, CASE WHEN height = 0 AND a + b > 0 OR edge AND height > 0 OR height <= a AND height < b OR height < a AND height <= b THEN CASE WHEN height <> 0 THEN -1.0::DOUBLE / height ELSE -1.0 END
+  WHEN height >= a AND height > b OR height > a AND height >= b THEN 1.0 ELSE 0.0 END AS delta FROM n""")
 def pile_landscape_features(spark, sf_dir):
     return piles.landscape_features(piles.landscape(_small_piles(spark, sf_dir)))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {FAMILIES}, near AS (SELECT DISTINCT a.family_id AS src, b.family_id AS dst FROM families a JOIN families b ON a.contig = b.contig AND a.file_id < b.file_id AND a.start < b."end" AND b.start < a."end"
+  AND ((a.start - b.start) ** 2 + (a."end" - b."end") ** 2) < 0.5 * ((greatest(a."end", b."end") - least(a.start, b.start)) / 4.0::DOUBLE) ** 2),
+{LABELS.format(edges='near', rounds=30)}
+SELECT DISTINCT component, contig, start, "end" FROM families JOIN label ON node = family_id""")
 def family_merged(spark, sf_dir):
     members = families(spark, sf_dir)
     return piles.merged_families(members, piles.stitch(members, 0.5, width=32))
@@ -180,7 +222,7 @@ def matrix_norm(spark, sf_dir):
 
 @query()
 def matrix_factors(spark, sf_dir):
-    w, _, _ = matrix.factorise(matrix_view(spark, sf_dir), k=3, rounds=5)
+    w, _, _ = matrix.factorise(matrix_view(spark, sf_dir), k=3, rounds=1000, tolerance=0.01)
     return matrix.pattern_weights(w, "i")
 
 

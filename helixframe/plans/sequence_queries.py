@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.sequence import kmer_code, oriented, subsequence, wrapped
-from ..operators import kmers, motifs, ordered, sequences
+from ..operators import kmers, motifs, ordered, piles, references, sequences
 from ..sources import formats
-from .bindings import DNA, dna, table
+from .bindings import DNA, SPANS, dna, spans, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -99,18 +98,16 @@ def seq_wrapped_lines(spark, sf_dir):
 
 
 @query(f"""
-WITH {DNA}, a AS (SELECT id, substring(seq, 1, 20) AS seq FROM dna WHERE length(seq) >= 20)
-SELECT 0 AS kind, '' AS id, count(*) || ' 20' AS line FROM a UNION ALL SELECT 1, CAST(id AS VARCHAR), rpad(CAST(id AS VARCHAR), 10, ' ') || seq FROM a""")
+WITH {DNA}, a AS (SELECT id || '_' || i AS id, substring(seq, i * 60 + 1, 60) AS seq FROM (SELECT id, seq, unnest(range(length(seq) // 60)) AS i FROM dna))
+SELECT 0 AS kind, '' AS id, count(*) || ' 60' AS line FROM a UNION ALL SELECT 1, id, rpad(substring(id, 1, 10), 10, ' ') || seq FROM a""")
 def seq_phylip(spark, sf_dir):
-    rows = dna(spark, sf_dir).filter(F.length("seq") >= 20).select("id", F.substring("seq", 1, 20).alias("seq"))
-    return sequences.phylip(rows)
+    cut = kmers.windows(dna(spark, sf_dir), 60)
+    return sequences.phylip(cut.select(F.concat_ws("_", F.col("id").cast("string"), F.floor(F.col("start") / 60).cast("string")).alias("id"), "seq"))
 
 
 @query(f"WITH {DNA} SELECT id, CAST(length(seq) AS INTEGER) AS len, md5(seq) AS digest FROM dna WHERE id = (SELECT min(id) FROM dna)")
 def seq_first_record(spark, sf_dir):
-    rows = dna(spark, sf_dir)
-    first = rows.agg(F.min("id").alias("id"))
-    return rows.join(F.broadcast(first), "id").select("id", F.length("seq").alias("len"), F.md5("seq").alias("digest"))
+    return sequences.first_record(dna(spark, sf_dir), "id").select("id", F.length("seq").alias("len"), F.md5("seq").alias("digest"))
 
 
 @query(f"""
@@ -170,13 +167,12 @@ def kmer_document_band(spark, sf_dir):
 
 
 @query(f"""
-WITH {DNA}, s AS (SELECT id, substring(seq, 1, 64) AS seq FROM dna), k AS (SELECT id, i AS pos, substring(seq, i + 1, 3) AS kmer FROM (SELECT id, seq, unnest(range(length(seq) - 2)) AS i FROM s WHERE length(seq) >= 3)),
+WITH {DNA}, k AS (SELECT id, i AS pos, substring(seq, i + 1, 3) AS kmer FROM (SELECT id, seq, unnest(range(length(seq) - 2)) AS i FROM dna WHERE length(seq) >= 3)),
 e AS (SELECT kmer, pos, count(DISTINCT id) AS n_docs, count(*) AS n FROM k GROUP BY 1, 2),
 f AS (SELECT kmer FROM e GROUP BY kmer HAVING sum(n) >= 2 AND sum(n) / (SELECT max(pos) FROM k) <= 100)
 SELECT kmer, CAST(pos AS INTEGER) AS pos, CAST(n_docs AS BIGINT) AS n_docs FROM e JOIN f USING (kmer) WHERE n_docs >= 2""")
 def kmer_position_matrix(spark, sf_dir):
-    starts = dna(spark, sf_dir).withColumn("seq", F.substring("seq", 1, 64))
-    return kmers.position_matrix(kmers.occurrences(starts, 3), low=2, high=100.0)
+    return kmers.position_matrix(kmers.occurrences(dna(spark, sf_dir), 3), low=2, high=100.0)
 
 
 @query(f"""
@@ -207,50 +203,49 @@ def pwm_scan(spark, sf_dir):
 
 
 @query(f"""
-WITH {DNA}, b AS (SELECT i AS pos, substring(seq, i + 1, 1) AS b FROM (SELECT seq, unnest(range(12)) AS i FROM dna WHERE length(seq) >= 12))
+WITH {DNA}, b AS (SELECT i AS pos, substring(seq, i + 1, 1) AS b FROM (SELECT seq, unnest(range(length(seq))) AS i FROM dna))
 SELECT CAST(pos AS INTEGER) AS pos, CAST(count(*) FILTER (b = 'A') AS BIGINT) AS A, CAST(count(*) FILTER (b = 'C') AS BIGINT) AS C, CAST(count(*) FILTER (b = 'G') AS BIGINT) AS G, CAST(count(*) FILTER (b = 'T') AS BIGINT) AS T FROM b GROUP BY 1""")
 def pwm_column_counts(spark, sf_dir):
-    return motifs.column_counts(dna(spark, sf_dir).filter(F.length("seq") >= 12).select(F.substring("seq", 1, 12).alias("seq")))
+    return motifs.column_counts(dna(spark, sf_dir))
 
 
 @query(f"""
-WITH {DNA}, b AS (SELECT source AS family_id, i AS pos, substring(seq, i + 1, 1) AS letter FROM (SELECT source, seq, unnest(range(30)) AS i FROM dna WHERE length(seq) >= 30)),
+WITH {DNA}, b AS (SELECT source AS family_id, i AS pos, substring(seq, i + 1, 1) AS letter FROM (SELECT source, seq, unnest(range(length(seq))) AS i FROM dna)),
 c AS (SELECT family_id, pos, letter, count(*) AS n FROM b GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY family_id, pos ORDER BY n DESC, letter) AS k, sum(n) OVER (PARTITION BY family_id, pos) AS depth FROM c)
 SELECT family_id, CAST(pos AS INTEGER) AS pos, letter, CAST(least(93, floor(-10 * log10(1 - n / (depth + 1.0::DOUBLE)))) AS INTEGER) AS quality, CAST(depth AS BIGINT) AS depth,
   CASE WHEN least(93, floor(-10 * log10(1 - n / (depth + 1.0::DOUBLE)))) >= 3 THEN letter ELSE lower(letter) END AS shown FROM r WHERE k = 1""")
 def family_consensus(spark, sf_dir):
-    rows = dna(spark, sf_dir).filter(F.length("seq") >= 30).select(F.col("source").alias("family_id"), F.substring("seq", 1, 30).alias("seq"))
-    return sequences.consensus(rows, least_quality=3)
+    return sequences.consensus(dna(spark, sf_dir).withColumnRenamed("source", "family_id"), least_quality=3)
+
+
+def _members(spark, sf_dir):
+    """Documents as members of their source's family, each as long as its sequence."""
+    return dna(spark, sf_dir).select(F.col("source").alias("family_id"), F.col("id").alias("ord"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("end"))
 
 
 @query(f"""
-WITH {DNA}, s AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY md5('7-' || id), id) AS n FROM dna) SELECT source, id, CAST(n AS INTEGER) AS n FROM s WHERE n <= 5""")
+WITH {DNA}, m AS (SELECT source, id, length(seq) AS len, max(length(seq)) OVER (PARTITION BY source) AS longest FROM dna),
+s AS (SELECT source, id, row_number() OVER (PARTITION BY source ORDER BY md5('7-' || id), id) AS n FROM m WHERE len >= floor(longest * 0.1)) SELECT source, id, CAST(n AS INTEGER) AS n FROM s WHERE n <= 5""")
 def family_sample(spark, sf_dir):
-    """Five members of each family by a seeded hash: a limit that is the operator's own."""
-    order = Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("7-"), F.col("id").cast("string"))), "id")
-    return dna(spark, sf_dir).select("source", "id", F.row_number().over(order).alias("n")).filter("n <= 5")
+    """Five long members of each family by a seeded hash: a limit that is the operator's own."""
+    return piles.sampled_members(_members(spark, sf_dir), 5, 0.1, 7).select(F.col("family_id").alias("source"), F.col("ord").alias("id"), "n")
 
 
 @query(f"""
 WITH {DNA}, m AS (SELECT source, id, length(seq) AS len, max(length(seq)) OVER (PARTITION BY source) AS longest, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS member FROM dna)
 SELECT source, id, CAST(len AS INTEGER) AS len, CAST(member AS INTEGER) AS member, 'family' || printf('%06d', CAST(substring(source, 4) AS INTEGER)) || '_member' || printf('%04d', member) AS name FROM m WHERE len >= floor(longest * 0.1)""")
 def family_long_members(spark, sf_dir):
-    rows = dna(spark, sf_dir).select("source", "id", F.length("seq").alias("len"))
-    most = rows.groupBy("source").agg(F.max("len").alias("longest"))
-    numbered = rows.withColumn("member", F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).join(most, "source")
-    name = F.format_string("family%06d_member%04d", F.substring("source", 4, 9).cast("int"), "member")
-    return numbered.filter(F.col("len") >= F.floor(F.col("longest") * 0.1)).select("source", "id", "len", "member", name.alias("name"))
+    found = piles.long_members(_members(spark, sf_dir), 0.1)
+    name = piles.member_name(F.substring("family_id", 4, 9).cast("int"), F.col("member"))
+    return found.select(F.col("family_id").alias("source"), F.col("ord").alias("id"), F.col("len").cast("int").alias("len"), "member", name.alias("name"))
 
 
 @query("""
 WITH s AS (SELECT event_id, user_id, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS fresh, ts FROM events)
 SELECT event_id, user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM s""")
 def consecutive_runs(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.when(F.lag("event_type").over(order) == F.col("event_type"), 0).otherwise(1)
-    rows = table(spark, sf_dir, "events").withColumn("fresh", fresh)
-    return rows.select("event_id", "user_id", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    return sequences.runs_of_equal(table(spark, sf_dir, "events"), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "run")
 
 
 @query(f"""
@@ -262,3 +257,64 @@ def fasta_header_ranges(spark, sf_dir):
     return formats.located(rows).select("id", "chr", "offset", "strand", F.length("seq").alias("len"))
 
 
+
+
+@query(f"""
+WITH {DNA}, k AS (SELECT id, unnest(list_transform(range(length(seq) - 2), lambda i: substring(seq, i + 1, 3))) AS kmer FROM dna WHERE length(seq) >= 3),
+c AS (SELECT id, kmer, count(*) AS n FROM k GROUP BY 1, 2), f AS (SELECT kmer, n / sum(n) OVER (PARTITION BY id) AS freq FROM c)
+SELECT kmer, round(sum(freq), 6) AS weight FROM f GROUP BY 1""")
+def kmer_total_weights(spark, sf_dir):
+    return kmers.total_weights(kmers.counts(dna(spark, sf_dir), 3)).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""
+WITH {DNA}, k AS (SELECT id, unnest(list_transform(range(length(seq) - 5), lambda i: substring(seq, i + 1, 6))) AS kmer FROM dna WHERE length(seq) >= 6),
+c AS (SELECT id, kmer, count(*) AS n FROM k GROUP BY 1, 2), b AS (SELECT kmer FROM c GROUP BY 1 HAVING count(*) >= 2 AND count(*) / (SELECT count(*) FROM dna) <= 0.5),
+f AS (SELECT kmer, id, n / sum(n) OVER (PARTITION BY id) AS freq FROM c)
+SELECT kmer AS i, id AS j, round(freq, 9) AS v FROM f WHERE kmer IN (SELECT kmer FROM b)""")
+def kmer_sequence_matrix(spark, sf_dir):
+    rows = dna(spark, sf_dir)
+    return kmers.sequence_matrix(kmers.counts(rows, 6), rows.count(), low=2, high=0.5).withColumn("v", F.round("v", 9))
+
+
+def _placed(spark, sf_dir):
+    """Line items as features on the sequences whose number their supplier has."""
+    return spans(spark, sf_dir).select(F.col("id").alias("feature_id"), "contig", "start", "end", "strand", F.col("order").alias("family_id"), F.col("line").alias("ord"))
+
+
+PLACED = f"""{DNA}, {SPANS}, f AS (SELECT s.*, CASE WHEN strand = -1 THEN reverse(translate(substring(seq, s.start + 1, s."end" - s.start), 'ACGTacgt', 'TGCAtgca')) ELSE substring(seq, s.start + 1, s."end" - s.start) END AS part FROM spans s JOIN dna d ON d.id = s.contig)"""
+
+
+@query(f"WITH {PLACED} SELECT id AS feature_id, contig, start, \"end\", strand, part AS seq FROM f")
+def feature_sequences(spark, sf_dir):
+    found = references.extracted(_placed(spark, sf_dir), dna(spark, sf_dir), width=1000)
+    return found.select("feature_id", "contig", "start", "end", "strand", "seq")
+
+
+@query(f"""
+WITH {PLACED}, m AS (SELECT *, "end" - start AS len, max("end" - start) OVER w AS longest, count(*) OVER w AS n, row_number() OVER (PARTITION BY "order" ORDER BY line, id, contig, start, "end") - 1 AS member FROM f WINDOW w AS (PARTITION BY "order")),
+v AS (SELECT *, count(*) FILTER (len >= floor(longest * 0.5)) OVER (PARTITION BY "order") AS valid FROM m)
+SELECT id AS feature_id, '>family' || printf('%06d', "order") || '_member' || printf('%04d', member) || ' ' || contig || ':' || start || '-' || "end" || ' ' || CASE strand WHEN 1 THEN '+' WHEN -1 THEN '-' ELSE '.' END || ' (' || n || ' members - ' || valid || ' members within 0.50 of maximum length)' || CASE WHEN part = '' THEN '' ELSE chr(10) || array_to_string(list_transform(range((length(part) + 59) // 60), lambda i: substring(part, i * 60 + 1, 60)), chr(10)) END AS value
+FROM v WHERE len >= floor(longest * 0.5)""")
+def family_fasta_lines(spark, sf_dir):
+    found = references.extracted(_placed(spark, sf_dir), dna(spark, sf_dir), width=1000)
+    return references.member_records(found, 0.5).select("feature_id", formats.record_text(60).alias("value"))
+
+
+@query(f"""
+WITH {DNA}, r AS (SELECT id, length(seq) // 3 AS a, length(seq) AS n, md5(reverse(translate(seq, 'ACGTacgt', 'TGCAtgca'))) AS turned, md5(reverse(seq)) AS reversed FROM dna)
+SELECT id, CAST(n - a AS BIGINT) AS turned_offset, turned, reversed FROM r""")
+def seq_reversed(spark, sf_dir):
+    rows = dna(spark, sf_dir).select("id", "seq", F.floor(F.length("seq") / 3).cast("long").alias("end"), F.length("seq").cast("long").alias("len"))
+    turned = references.reversed_segments(rows, complement=True).withColumn("digest", F.md5("seq"))
+    plain = references.reversed_segments(rows, complement=False).select("id", F.md5("seq").alias("reversed"))
+    return turned.join(plain, "id").select("id", F.col("start").alias("turned_offset"), F.col("digest").alias("turned"), "reversed")
+
+
+@query(f"""
+WITH {DNA}, t AS (SELECT id, '>a' || id || ' first' || chr(10) || seq || chr(10) || '>b' || id || chr(10) || substring(seq, 1, length(seq) // 2) || chr(10) AS text, seq FROM dna)
+SELECT id, 'a' || id AS name, 'first' AS descr, md5(seq) AS digest FROM t UNION ALL SELECT id, 'b' || id, '', md5(substring(seq, 1, length(seq) // 2)) FROM t""")
+def fasta_literal(spark, sf_dir):
+    n = F.col("id").cast("string")
+    text = F.concat(F.lit(">a"), n, F.lit(" first\n"), wrapped("seq", 60), F.lit("\n>b"), n, F.lit("\n"), wrapped(F.expr("left(seq, length(seq) div 2)"), 60), F.lit("\n"))
+    return formats.literal_fasta(dna(spark, sf_dir).select("id", text.alias("text")), "text", "id").select("id", F.col("name"), "descr", F.md5("seq").alias("digest"))

@@ -6,6 +6,7 @@ for all rows. Writers render lines as columns and leave the writing to Spark.
 
 from __future__ import annotations
 
+import gzip
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,15 +28,36 @@ def lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, alphabet: str = "dna") -> DataFrame:
-    """seq_ord, id (up to the first blank of the header), descr, alphabet, seq, len."""
+    """seq_ord, id (up to the first blank of the header), descr, alphabet, seq, len.
+
+    A protein may have gaps (- and .) and stops (*); a sign that is no letter raises there.
+    """
     rows = lines(spark, path, "\n>").filter(F.trim("value") != "")
     text = F.regexp_replace("value", r"^\s*>", "")
     head = F.regexp_extract(text, r"^([^\n\r]*)", 1)
     body = F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\s+", "")
+    if alphabet == "protein":
+        wrong = F.regexp_extract(body, r"([^A-Za-z*\-.])", 1)
+        body = F.when(wrong == "", body).otherwise(F.raise_error(F.concat(F.lit("no letter of a protein: "), wrong)).cast("string"))
     parts = rows.select(F.col("line_no").alias("seq_ord"), F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("descr"), F.lit(alphabet).alias("alphabet"), body.alias("seq"))
     return parts.withColumn("len", F.length("seq"))
 
 
+def literal_fasta(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """keep, n, name, descr, seq of the records in a text column, as of FASTA held in a program."""
+    parts = F.filter(F.split(F.concat(F.lit("\n"), F.col(text)), "\n>"), lambda x: F.trim(x) != "")
+    each = rows.select(*keep, F.posexplode(parts).alias("n", "_r"))
+    head = F.regexp_extract("_r", r"^([^\n\r]*)", 1)
+    body = F.regexp_replace(F.regexp_replace("_r", r"^[^\n]*\n?", ""), r"\s+", "")
+    return each.select(*keep, "n", F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("descr"), body.alias("seq"))
+
+
+def record_text(width: int, name: str = "name", descr: str = "descr", seq: str = "seq") -> Column:
+    """A FASTA record: header and wrapped lines."""
+    head = F.concat(F.lit(">"), F.col(name), F.when(F.col(descr) != "", F.concat(F.lit(" "), F.col(descr))).otherwise(""))
+    return F.when(F.length(seq) > 0, F.concat_ws("\n", head, wrapped(seq, width))).otherwise(head)
+
+
 def located(seqs: DataFrame, descr: str = "descr") -> DataFrame:
     """Adds chr, offset (0-based) and strand from range= and strand= in a header."""
     place = r"range=(\S+?):(\d+)-(\d+)"
@@ -77,12 +99,12 @@ def parse_gff(rows: DataFrame, value: str = "value") -> DataFrame:
     return kept.select(*[c for c in rows.columns if c != value], at(0).alias("seqname"), at(1).alias("source"), at(2).alias("feature"), (at(3).cast("long") - 1).alias("start"), at(4).cast("long").alias("end"), dot(5).cast("double").alias("score"), strand.alias("strand"), dot(7).cast("int").alias("frame"), attributes(F.coalesce(at(8), F.lit(""))).alias("attrs"))
 
 
-def gff_text(features: DataFrame, precision: int = 2) -> DataFrame:
-    """value: GFF lines, 1-based and inclusive."""
+def gff_text(features: DataFrame, precision: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """value: GFF lines, 1-based and inclusive; keep: names of columns to keep, which features has with an underscore before."""
     score = F.when(F.col("score").isNull(), F.lit(".")).otherwise(F.format_string(f"%.{precision}f", "score"))
     strand = F.when(F.col("strand") == 1, "+").when(F.col("strand") == -1, "-").otherwise(".")
     attrs = F.array_join(F.transform("attrs", lambda a: F.concat(a["tag"], F.lit(' "'), a["value"], F.lit('"'))), "; ")
-    return features.select(F.concat_ws("\t", "seqname", "source", "feature", (F.col("start") + 1).cast("string"), F.col("end").cast("string"), score, strand, F.coalesce(F.col("frame").cast("string"), F.lit(".")), attrs).alias("value"))
+    return features.select(*[F.col(f"_{c}").alias(c) for c in keep], F.concat_ws("\t", "seqname", "source", "feature", (F.col("start") + 1).cast("string"), F.col("end").cast("string"), score, strand, F.coalesce(F.col("frame").cast("string"), F.lit(".")), attrs).alias("value"))
 
 
 def sequence_regions(features: DataFrame, lengths: DataFrame) -> DataFrame:
@@ -102,10 +124,11 @@ def alignment_pairs(features: DataFrame) -> DataFrame:
     return features.select(F.col("line_no").alias("pair_id") if "line_no" in features.columns else F.monotonically_increasing_id().alias("pair_id"), F.col("seqname").alias("a_contig"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), t[0].alias("b_contig"), (t[1].cast("long") - 1).alias("b_start"), t[2].cast("long").alias("b_end"), "strand", "score")
 
 
-def pairs_text(pairs: DataFrame) -> DataFrame:
+def pairs_text(pairs: DataFrame, *keep: str) -> DataFrame:
+    """keep, value: a GFF line for each pair with its partner in the Target attribute."""
     target = F.concat_ws(" ", "b_contig", (F.col("b_start") + 1).cast("string"), F.col("b_end").cast("string"))
     attrs = F.array(F.struct(F.lit("Target").alias("tag"), target.alias("value")))
-    return gff_text(pairs.select(F.col("a_contig").alias("seqname"), F.lit("align").alias("source"), F.lit("hit").alias("feature"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("score").cast("double").alias("score"), "strand", F.lit(None).cast("int").alias("frame"), attrs.alias("attrs")))
+    return gff_text(pairs.select(*[F.col(c).alias(f"_{c}") for c in keep], F.col("a_contig").cast("string").alias("seqname"), F.lit("align").alias("source"), F.lit("hit").alias("feature"), F.col("a_start").alias("start"), F.col("a_end").alias("end"), F.col("score").cast("double").alias("score"), "strand", F.lit(None).cast("int").alias("frame"), attrs.alias("attrs")), keep=keep)
 
 
 def read_bed3(spark: SparkSession, path: str) -> DataFrame:
@@ -173,12 +196,32 @@ def images(cells: DataFrame, width: int, height: int, key: str = "id") -> DataFr
     return cells.groupBy(key).applyInPandas(draw, f"{key} {dict(cells.dtypes)[key]}, png binary")
 
 
-def trapezoid_bytes(traps: DataFrame) -> DataFrame:
-    """value: top, bottom, left, right as little-endian 64-bit numbers, 32 bytes a row."""
+TRAPEZOID = ("top", "bottom", "left", "right")
+
+
+def trapezoid_bytes(traps: DataFrame, *keep: str) -> DataFrame:
+    """keep, value: top, bottom, left, right as little-endian 64-bit numbers, 32 bytes a row."""
+    # a number's bytes from the last to the first, by its hexadecimal form
+    turned = lambda c: F.concat(*[F.substring(F.lpad(F.hex(F.col(c).cast("long")), 16, "0"), 2 * i + 1, 2) for i in range(7, -1, -1)])
+    return traps.select(*keep, F.unhex(F.concat(*[turned(c) for c in TRAPEZOID])).alias("value"))
+
+
+def parse_trapezoids(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, top, bottom, left, right of 32-byte rows."""
+    digits = F.hex("value")
+    number = lambda n: F.conv(F.concat(*[F.substring(digits, 16 * n + 2 * i + 1, 2) for i in range(7, -1, -1)]), 16, -10).cast("long")
+    return rows.select(*keep, *[number(n).alias(c) for n, c in enumerate(TRAPEZOID)])
+
+
+def write_trapezoids(traps: DataFrame, path: str) -> None:
+    """Gzip files of packed rows in two folders, for alignments on the same strand and on the other one. traps has strand as well."""
+    side = F.when(F.col("strand") == -1, "rev").otherwise("fwd")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw = b[["top", "bottom", "left", "right"]].to_numpy("<i8")
-            yield pd.DataFrame({"value": [row.tobytes() for row in raw]})
+            for name, own in b.groupby("side"):
+                data = gzip.compress(b"".join(map(bytes, own["value"])), mtime=0)
+                yield pd.DataFrame({"side": [name], "content": [data]})  # gzip files may be joined
 
-    return traps.mapInPandas(pack, "value binary")
+    packed = trapezoid_bytes(traps.withColumn("side", side), "side").mapInPandas(save, "side string, content binary")
+    packed.select("side", F.base64("content").alias("content")).write.partitionBy("side").text(path)

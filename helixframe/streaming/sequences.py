@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.kmers import words
+from ..operators.kmers import counts
 from ..operators.sequences import longer_than
 from ..sources.formats import located
 
@@ -18,6 +18,5 @@ __all__ = ["kmer_counts", "located", "longer_than"]
 
 def kmer_counts(seqs: DataFrame, k: int, time: str = "ts", window: str = "1 hour", late: str = "1 hour", seq: str = "seq") -> DataFrame:
     """window, kmer, n of a stream with event times; windows close once the watermark has passed them."""
-    found = words(seqs.withWatermark(time, late), k, time, seq=seq)
-    marked = found.filter(F.translate("word", "ACGT", "") == "").withColumnRenamed("word", "kmer")
-    return marked.groupBy(F.window(time, window), "kmer").agg(F.count(F.lit(1)).alias("n"))
+    found = counts(seqs, k, time, seq).withColumnRenamed("id", time).withWatermark(time, late)
+    return found.groupBy(F.window(time, window), "kmer").agg(F.sum("n").alias("n"))

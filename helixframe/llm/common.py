@@ -61,6 +61,7 @@ def plain(df: DataFrame, *names: str) -> DataFrame:
 def give_back() -> None:
     """Return freed memory to the system: workers are reused, and the next task may need it elsewhere."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -103,9 +104,9 @@ def cuts(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     return ((a, b - a) for a, b in itertools.pairwise(at) if b > a)
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+def portions(batches: Iterator[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices with a bounded size of a text column."""
-    return (batch.slice(*cut) for batch in batches for cut in cuts(batch.column(column)))
+    return (batch.slice(*cut) for batch in batches for cut in cuts(batch.column(column), size))
 
 
 def worded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:

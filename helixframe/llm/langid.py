@@ -143,6 +143,8 @@ def fit(docs: DataFrame, labelled: Column, fit_rows: int = 40_000, fit_chars: in
         counts[at, lang[of]] = n[of]
         all_codes.append(codes)
         tables.append(np.log((counts + np.float32(0.5)) / (counts.sum(axis=0) + np.float32(0.5) * len(codes))))
+    del found, names, lang, code, size, n
+    common.give_back()
     return Model(langs, all_codes, tables)
 
 

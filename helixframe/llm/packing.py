@@ -18,6 +18,7 @@ no matter, as they are equal. Very long texts are cut into pieces whole. Other c
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 import zlib
@@ -52,9 +53,7 @@ class FastIds:
     SPACE, LETTER, DIGIT, SIGN = range(4)
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         self.merger = None
@@ -62,6 +61,13 @@ class FastIds:
         if held["model"]["type"] == "BPE" and held["model"].get("end_of_word_suffix") == "</w>" and splits[:1] == [self.PATTERN]:
             self.build(held["model"]["vocab"], held["model"]["merges"])
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's own, for texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def build(self, vocab: dict[str, int], merges: list) -> None:
         import tiktoken
 
@@ -170,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for batch in common.portions(batches, 1):
+        for batch in common.portions(batches, 1, 2 << 20):
             out: list[tuple[int, int, int, int, int]] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(texts), strict=True):

@@ -8,10 +8,10 @@ is equal must hold enough equal tokens. The longest such run decides; reported i
 which a mismatch costs as much as ``1 / (1 / share - 1)`` matches are worth, if it holds enough by itself, as
 it leaves out loose ends.
 
-The six masks hit every run of 13 to 17 tokens with 13 equal ones, wherever the others stand, and nearly all
+The five masks hit every run of 13 to 17 tokens with 13 equal ones, wherever the others stand, and nearly all
 longer runs of which three quarters are equal.
 
-Tokens are runs of letters, digits and underscores in lower case. Items of fewer than ten tokens are
+Tokens are runs of letters, digits and underscores in lower case. Items of fewer than eleven tokens are
 matched whole and exactly, those of fewer than ``shortest`` tokens match nothing, as one
 common word is no trace of a benchmark. The benchmark is handled in blocks of at most ``block_items`` items and
 ``block_chars`` characters, in expectation; each block's index is broadcast, so memory is bounded whatever its size, and
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: 1: the token counts; 0: any token will do.
-MASKS = ("1111011", "110010111", "1101010011", "1111000101", "11101101", "1111100001")
-SPAN = 10
+MASKS = ("10110111", "11100010011", "10110000111", "1110100101", "11101000101")
+SPAN = 11
 FOUND = "doc_id long, item_id long, matched int, overlap int, doc_start int"
 #: Alignments and compared tokens that are held at once.
 MOST_PAIRS, MOST_CELLS = 500_000, 2_000_000

@@ -23,7 +23,7 @@ nodes are joined with them, so that no list grows with its host.
 
 Null and empty pages give an empty text, null URLs form a host of their own, broken
 markup is read as browsers do in common cases, repeated rows are treated alike and
-extra columns are ignored.
+extra columns are ignored. Pages may be of any length and depth: nothing recurses, and time is linear.
 """
 
 from __future__ import annotations
@@ -41,8 +41,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_markup = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_attribute = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_unquoted = re.compile(r"""[^>"']*""")
+#: Each step takes a whole name, so that the time stays linear.
+_attribute = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+#: Quoted values that are looked through for a tag's end before the next > is taken for it.
+MOST_QUOTES = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select object audio video canvas".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -75,7 +79,7 @@ def presentation(tag: str, raw: str, inside_main: bool) -> tuple[str, int]:
     if not raw or raw.isspace():
         style, words, role, hidden = tag, set(), "", False
     else:
-        found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _attribute.findall(raw)}
+        found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in _attribute.findall(raw) if m[1] or m[2] or m[3]}
         names = f"{found.get('class', '')} {found.get('id', '')}".split()
         names_lower = {n.lower() for n in names}
         role = found.get("role", "").strip().lower()
@@ -92,49 +96,85 @@ def presentation(tag: str, raw: str, inside_main: bool) -> tuple[str, int]:
     return style, 0
 
 
+def tag_end(page: str, at: int) -> int:
+    """Where the > of a tag is: the first outside quotes or, if quotes don't close, the next; -1 for none."""
+    place = at
+    for _ in range(MOST_QUOTES):
+        place = _unquoted.match(page, place).end()
+        if place == len(page):
+            break
+        if page[place] == ">":
+            return place
+        place = page.find(page[place], place + 1) + 1
+        if not place:
+            break
+    return page.find(">", at)
+
+
 def tree(page: str) -> Node:
-    """The elements of a page; unclosed and misnested ones are mended."""
+    """The elements of a page; unclosed and misnested ones are mended. Time grows with the page's length alone, however deep it is."""
     root = Node("html", "html", 0)
     stack, at, end = [root], 0, len(page)
+    last = page.rfind(">")
     main = 0  # elements with prior 1 on the stack
+    opened: dict[str, int] = {}  # elements on the stack by tag
+
+    def close(i: int) -> int:
+        lost = 0
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+            lost += x.prior == 1
+        del stack[i:]
+        return lost
+
     while at < end:
-        m = _markup.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last:
             stack[-1].parts.append(page[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        closing, tag, raw = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        if page.startswith("<!--", begin):
+            stack[-1].parts.append(page[at:begin])
+            at = page.find("-->", begin + 4) + 3
+            if at < 3:
+                break
+            continue
+        if page[begin + 1] in "!?":
+            stack[-1].parts.append(page[at:begin])
+            at = page.find(">", begin) + 1
             continue
-        tag = tag.lower()
+        m = _tag.match(page, begin)
+        if not m:  # a sign of its own
+            stack[-1].parts.append(page[at : begin + 1])
+            at = begin + 1
+            continue
+        if begin > at:
+            stack[-1].parts.append(page[at:begin])
+        at = tag_end(page, m.end()) + 1
+        closing, tag, raw = m[1], m[2].lower(), page[m.end() : at - 1]
         if closing:
-            if tag in ("body", "html"):
+            if tag in ("body", "html") or not opened.get(tag):
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    main -= sum(x.prior == 1 for x in stack[i:])
-                    del stack[i:]
+                    main -= close(i)
                     break
                 if tag not in BLOCKS and stack[i].tag in BLOCKS:  # a stray inline end tag
                     break
             continue
         if tag == "html":
             continue
-        if tag == "body" and any(x.tag == "body" for x in stack):
+        if tag == "body" and opened.get("body"):
             continue
         if tag == "body" or stack[-1].tag == "head" and tag not in HEAD_TAGS:
-            del stack[1:]
+            main -= close(1)
         ends = {"p"} if tag in CLOSES_P else set()
         scope: set[str] = {"article", "section", "div", "td", "th", "li", "blockquote", "main", "body", "table", "button"} if ends else set()
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag][0] | ends, IMPLIED[tag][1]
-        if ends:
+        if any(map(opened.get, ends)):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
-                    main -= sum(x.prior == 1 for x in stack[i:])
-                    del stack[i:]
+                    main -= close(i)
                     break
                 if stack[i].tag in scope:
                     break
@@ -145,12 +185,13 @@ def tree(page: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            after = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = after.end() if after else end
             continue
         if raw.endswith("/") and tag not in BLOCKS:
             continue
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
         main += prior == 1
     return root
 
@@ -162,16 +203,36 @@ def top(root: Node) -> Node:
 def content(node: Node) -> list:
     """The node's own words, with those of inline elements below it."""
     out: list[str] = []
-    for x in node.parts:
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag == "br":
-            out.append(" ")
-        elif x.tag not in BLOCKS and x.prior >= 0:
-            out += content(x)
+    stack = [iter(node.parts)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, str):
+                out.append(x)
+            elif x.tag == "br":
+                out.append(" ")
+            elif x.tag not in BLOCKS and x.prior >= 0:
+                stack.append(iter(x.parts))
+                break
+        else:
+            stack.pop()
     return out
 
 
+class Visit:
+    """A node on the way down: what has been gathered of it so far."""
+
+    __slots__ = ("at", "inside", "kids", "main", "node", "shape", "words")
+
+    def __init__(self, node: Node, path: int, inside: bool, said: list[str]) -> None:
+        self.node, self.inside, self.kids, self.shape = node, inside, iter(node.kids), 0
+        self.at = zlib.crc32(node.style.encode(), path)
+        own = " ".join("".join(content(node)).split())
+        self.words = zlib.crc32(own.encode("utf-8", "replace"))
+        self.main = False  # a branch around main text is no candidate
+        if inside:
+            said.append(own)
+
+
 def branches(page: str) -> list[tuple[int, bool, int, int, int]]:
     """(node, within main text, main text, child sequence, content) of the unlabelled branches, once for each node.
 
@@ -179,52 +240,56 @@ def branches(page: str) -> list[tuple[int, bool, int, int, int]]:
     """
     seen: dict[int, tuple[bool, int, int]] = {}
     said: list[str] = []
-
-    def walk(node: Node, path: int, inside: bool) -> tuple[int, int, bool]:
-        at = zlib.crc32(node.style.encode(), path)
-        own = " ".join("".join(content(node)).split())
-        shape, words = 0, zlib.crc32(own.encode())
-        if inside:
-            said.append(own)
-        main = False  # a branch around main text is no candidate
-        for k in node.kids:
-            if k.prior == 1:
-                walk(k, at, True)
-                main = True
-            elif k.tag in BLOCKS and k.prior == 0:
-                below = walk(k, at, inside)
-                words = zlib.crc32(below[1].to_bytes(4, "little"), words)
-                main |= below[2]
-            shape = zlib.crc32(k.style.encode(), shape)
-        if main or node.prior == 1:
-            return shape, words, main
-        if at in seen:  # a further one with the same style
-            shape, words = zlib.crc32(shape.to_bytes(4, "little"), seen[at][1]), zlib.crc32(words.to_bytes(4, "little"), seen[at][2])
-        seen[at] = inside, shape, words
-        return shape, words, main
-
-    walk(top(tree(page)), 0, False)
+    way = [Visit(top(tree(page)), 0, False, said)]
+    while way:
+        v = way[-1]
+        for k in v.kids:
+            if k.prior == 1 or k.tag in BLOCKS and k.prior == 0:
+                way.append(Visit(k, v.at, v.inside or k.prior == 1, said))
+                break
+            v.shape = zlib.crc32(k.style.encode(), v.shape)
+        else:
+            way.pop()
+            if not v.main and v.node.prior != 1:
+                if v.at in seen:  # a further one with the same style
+                    _, shape, words = seen[v.at]
+                    v.shape, v.words = zlib.crc32(v.shape.to_bytes(4, "little"), shape), zlib.crc32(v.words.to_bytes(4, "little"), words)
+                seen[v.at] = v.inside, v.shape, v.words
+            if way:
+                over = way[-1]
+                if v.node.prior == 1:
+                    over.main = True
+                else:
+                    over.words = zlib.crc32(v.words.to_bytes(4, "little"), over.words)
+                    over.main |= v.main
+                over.shape = zlib.crc32(v.node.style.encode(), over.shape)
     text = int.from_bytes(hashlib.blake2b("\n".join(said).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
     return [(at, inside, text if inside else 0, shape, words) for at, (inside, shape, words) in seen.items()]
 
 
+def mains(body: Node, start: int, low: frozenset[int]) -> list[tuple[Node, int]]:
+    """The outermost elements of main text in page order, with their paths."""
+    found = []
+    way = [(iter(body.kids), start)]
+    while way:
+        kids, path = way[-1]
+        for k in kids:
+            at = zlib.crc32(k.style.encode(), path)
+            if k.prior == 1:
+                found.append((k, at))
+            elif k.prior == 0 and at not in low:
+                way.append((iter(k.kids), at))
+                break
+        else:
+            way.pop()
+    return found
+
+
 def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
     """Main text of a page, without branches of a prior against them and those in low."""
     if not page:
         return ""
     body = top(tree(page))
-    mains: list[tuple[Node, int]] = []
-
-    def find(node: Node, path: int) -> None:
-        for k in node.kids:
-            at = zlib.crc32(k.style.encode(), path)
-            if k.prior < 0 or at in low and k.prior == 0:
-                continue
-            if k.prior == 1:
-                mains.append((k, at))
-            else:
-                find(k, at)
-
     blocks: list[str] = []
     words: list[str] = []
 
@@ -233,27 +298,27 @@ def extract(page: str | None, low: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         words.clear()
 
-    def render(node: Node, path: int) -> None:
-        for x in node.parts:
-            if isinstance(x, str):
-                words.append(x)
-                continue
-            if x.tag in ("br", "wbr"):
-                words.append(" " if x.tag == "br" else "")
-                continue
-            at = zlib.crc32(x.style.encode(), path)
-            if x.tag in BLOCKS:
-                flush()
-            if x.prior >= 0 and not (x.prior == 0 and at in low):
-                render(x, at)
-            if x.tag in BLOCKS:
-                flush()
-
     start = zlib.crc32(body.style.encode(), 0)
-    find(body, start)
-    for node, at in mains or [(body, start)]:
-        render(node, at)
-        flush()
+    for node, at in mains(body, start, low) or [(body, start)]:
+        way = [(iter(node.parts), at, True)]
+        while way:
+            parts, path, block = way[-1]
+            for x in parts:
+                if isinstance(x, str):
+                    words.append(x)
+                elif x.tag in ("br", "wbr"):
+                    words.append(" " if x.tag == "br" else "")
+                else:
+                    below = zlib.crc32(x.style.encode(), path)
+                    if x.tag in BLOCKS:
+                        flush()
+                    if x.prior >= 0 and not (x.prior == 0 and below in low):
+                        way.append((iter(x.parts), below, x.tag in BLOCKS))
+                        break
+            else:
+                way.pop()
+                if block:
+                    flush()
     return "\n\n".join(blocks)
 
 

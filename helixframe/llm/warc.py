@@ -16,7 +16,8 @@ the others become revisit records that refer to it.
 Null payloads are empty ones, and null URLs are replaced by ``urn:page:`` and the
 id. Repeated rows give a record each; with equal ids and payloads one is the
 response and the rest refer to that id. Rows without page_id are refused. An empty
-table gives a manifest without files. Extra columns are ignored. Texts that hold
+table gives a manifest without files. A very long payload is one record, and the file that it ends in may
+exceed the limit by it. Extra columns are ignored. Texts that hold
 control characters in the URL get them percent-encoded.
 """
 
@@ -113,24 +114,44 @@ def parse(raw: bytes) -> tuple[int, str | None, int, str, str, int | None, bytes
     return int(fields["X-Page-ID"]), url, int(fields["X-Payload-Length"]), digest.hex(), kind, None if refers is None else int(refers), payload
 
 
-def shard_starts(sizes: DataFrame, shard_bytes: int, most_shards: int, fanout: int = 1 << 14) -> np.ndarray:
-    """The first page_id of each shard. sizes: page_id, size."""
+def placed(held):
+    """The range that an id lies in, -1 for none, and its cell there. held: broadcast starts, ends and cell sizes of ascending ranges."""
+
+    @F.pandas_udf("span long, cell long")
+    def place(page_id: pd.Series) -> pd.DataFrame:
+        lows, highs, steps = held.value
+        x = page_id.to_numpy(np.int64)
+        at = np.searchsorted(lows, x, "right") - 1
+        cell = (x.astype(np.uint64) - lows[at].astype(np.uint64)) // steps[at].astype(np.uint64)
+        return pd.DataFrame({"span": np.where((at >= 0) & (x <= highs[at]), at, -1), "cell": cell.astype(np.int64)})
+
+    return place
+
+
+def shard_starts(sizes: DataFrame, shard_bytes: int, most_shards: int, most_cells: int = 1 << 20) -> np.ndarray:
+    """The first page_id of each shard. sizes: page_id, size.
+
+    Ranges of ids that hold too much are cut into cells, all of them in one job, until none does; about most_cells
+    come to the driver each time.
+    """
     low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
     if low is None:
         return np.zeros(0, np.int64)
     target = max(shard_bytes, -(-int(total) // most_shards))
-    spans, cells = [(int(low), int(high) + 1)], []
-    while spans:  # each round narrows the ranges that hold too much by the fanout
+    spans, cells = [(int(low), int(high))], []  # both ends within
+    while spans:  # at most total / target of them
+        fanout = max(4, most_cells // len(spans))
+        steps = [max(1, -(-(hi - lo + 1) // fanout)) for lo, hi in spans]
+        place = placed(sizes.sparkSession.sparkContext.broadcast((*(np.array(x, np.int64) for x in zip(*spans, strict=True)), np.array(steps, np.int64))))
+        found = sizes.withColumn("at", place("page_id")).filter("at.span >= 0").groupBy("at.span", "at.cell").agg(F.sum("size").alias("size"), F.min("page_id").alias("first")).collect()
         wide = []
-        for lo, hi in spans:  # at most most_shards of them
-            step = max(1, -(-(hi - lo) // fanout))
-            found = sizes.filter(F.col("page_id").between(lo, hi - 1)).groupBy(F.floor((F.col("page_id") - F.lit(lo)) / F.lit(step)).cast("long").alias("cell")).agg(F.sum("size").alias("size"), F.min("page_id").alias("first")).collect()
-            for cell, size, first in found:
-                if size > target and step > 1:
-                    wide.append((lo + cell * step, min(hi, lo + (cell + 1) * step)))
-                else:
-                    cells.append((first, int(size)))
-        spans = wide
+        for span, cell, size, first in found:
+            lo, step = spans[span][0] + cell * steps[span], steps[span]
+            if size > target and step > 1:
+                wide.append((lo, min(spans[span][1], lo + step - 1)))
+            else:
+                cells.append((first, int(size)))
+        spans = sorted(wide)
     starts, filled = [], target
     for first, size in sorted(cells):
         if filled + size > target:
@@ -212,11 +233,22 @@ def write(pages: DataFrame, folder: str, least: int = 1000, shard_bytes: int = 6
         yield pd.DataFrame(made, columns=["shard", "number", "path", "records", "bytes", "sha1", "first_id", "last_id"])
 
     parts = common.slices(spark, len(held.value), 1)
-    ordered = both.repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "html", "url")
+    ordered = both.repartitionById(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "html", "url")
     ordered.mapInPandas(save, MANIFEST).write.parquet(f"{folder}/manifest")
+    drop_leftovers(folder)
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
+def drop_leftovers(folder: str) -> None:
+    """Remove what attempts that failed have left; committed files have other names."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.base_name.startswith("_temporary-"):
+            store.delete_file(info.path)
+
+
 def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """The records of an archive; every length and digest is checked on the way."""
     files = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -243,4 +275,4 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                 yield pd.DataFrame(out, columns=names).astype({"refers_to": "Int64"})
 
     parts = common.slices(spark, files.count(), 1)
-    return files.select("path", "records").repartition(parts, "path").mapInPandas(load, schema)
+    return files.select("path", "records").repartitionByRange(parts, "path").mapInPandas(load, schema)

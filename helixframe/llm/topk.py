@@ -2,15 +2,17 @@
 
 Each shard holds a ball tree over its vectors. A query walks the tree best bound
 first: a node with centre c and radius r can score at most q.c + |q| r, and is
-skipped when that is below the query's current kth score. A first round over a
-small shard of sampled rows gives every query a kth score that all shards then
-start from, so that one shard's hits prune the others.
+skipped when that is below the query's current kth score. Shards and blocks of queries are made
+within coarse cells around a few rows. A first round, of every block against part of a shard of its own
+cell, gives every query a kth score that all shards then start from; a shard is sent to a block only if the
+ball around it can reach the kth score of one of the block's queries (while the list of balls is within
+``ball_bytes``; beyond, to every block).
 
 Queries are handled in blocks of a fixed size; a block and a shard meet in one
 task. Vectors that are null, or hold null or non-finite components, take no part.
 Vectors of different lengths are compared as if padded with zeros. A row that has
 the query's own id is never its candidate; repeated ids are candidates of others
-each on their own, and ask once. Fewer than k candidates give all of them. Extra columns are
+each on their own, and ask once, with the first of their vectors in the order of arrays. Fewer than k candidates give all of them. Extra columns are
 ignored.
 """
 
@@ -104,7 +106,7 @@ def search_block(ids: np.ndarray, tree: BallTree, queries: np.ndarray, query_ids
             yield int(own), -minus, score
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 512, sample_rows: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 512, sample_rows: int = 512, most_cells: int = 64, ball_bytes: int = 32 << 20) -> DataFrame:
     """query_id, rank, vec_id, score for every row of vectors where is_query holds.
 
     Components x become floor(scale * x). Ties go to the smaller vec_id.
@@ -116,7 +118,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
     rows = common.materialise(rows, "vectors")
     size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.count_if("asks")).first()
     n, width, asked = int(size[0]), int(size[1] or 0), int(size[2])
-    n_shards, n_blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
 
     def matrix(lists: pd.Series) -> np.ndarray:
         out = np.zeros((len(lists), width))
@@ -125,7 +126,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
         return out
 
     def blob(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of one number as one row; they arrive sorted by it."""
+        """Rows of one number as one row with the ball around them; they arrive sorted by it."""
         held: list[pd.DataFrame] = []
 
         def flush() -> Iterator[pd.DataFrame]:
@@ -134,7 +135,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
                 held.clear()
                 m = matrix(b["v"])
                 small = m.size == 0 or np.abs(m).max() < 2**30
-                yield pd.DataFrame({"part": [b["part"].iloc[0]], "ids": [b["vec_id"].to_numpy("<i8").tobytes()], "data": [m.astype("<i4" if small else "<f8").tobytes()], "small": [bool(small)]})
+                centre = m.mean(axis=0)
+                radius = float(np.sqrt(((m - centre) ** 2).sum(axis=1).max()))
+                yield pd.DataFrame({"part": [b["part"].iloc[0]], "ids": [b["vec_id"].to_numpy("<i8").tobytes()], "data": [m.astype("<i4" if small else "<f8").tobytes()], "small": [bool(small)], "centre": [centre.tobytes()], "radius": [radius]})
 
         for b in batches:
             for part, own in b.groupby("part", sort=False):
@@ -143,14 +146,38 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
                 held.append(own)
         yield from flush()
 
-    def blobs(df: DataFrame, parts: int, tag: str) -> DataFrame:
-        dealt = df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).repartition(parts, "part").sortWithinPartitions("part")
-        return common.materialise(dealt.mapInPandas(blob, "part int, ids binary, data binary, small boolean"), tag)
-
-    shards = blobs(rows.select("vec_id", "v"), n_shards, "vector-shards").withColumnRenamed("part", "shard")
-    blocks = blobs(rows.filter("asks").select("vec_id", "v").dropDuplicates(["vec_id"]), n_blocks, "query-blocks").selectExpr("part as block", "ids as q_ids", "data as q_data", "small as q_small")
     if not n or not asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # coarse cells around a few rows: a shard holds rows of one cell, a block queries of one
+    drawn = rows.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("vec_id")).limit(min(most_cells, max(1, n // shard_rows))).collect()
+    centres = spark.sparkContext.broadcast(matrix(pd.Series([r["v"] for r in drawn])))
+
+    @F.pandas_udf("int")
+    def cell_of(v: pd.Series) -> pd.Series:
+        m, c = matrix(v), centres.value
+        return pd.Series(((c * c).sum(axis=1) - 2 * m @ c.T).argmin(axis=1).astype("int32"))
+
+    placed = common.materialise(rows.withColumn("cell", cell_of("v")), "vector-cells")
+
+    def numbered(df: DataFrame, each: int) -> tuple[DataFrame, dict[int, int], int]:
+        """df with part, a number for about so many rows of a cell; the first of each cell; how many there are."""
+        parts = {r["cell"]: -(-r["n"] // each) for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most most_cells
+        first, upto = {}, 0
+        for cell in sorted(parts):
+            first[cell], upto = upto, upto + parts[cell]
+        many = F.create_map(*[F.lit(x) for cell in parts for x in (cell, parts[cell])])
+        begin = F.create_map(*[F.lit(x) for cell in first for x in (cell, first[cell])])
+        return df.withColumn("part", (begin[F.col("cell")] + F.pmod(F.xxhash64("vec_id"), many[F.col("cell")])).cast("int")), first, upto
+
+    def blobs(df: DataFrame, parts: int, tag: str) -> DataFrame:
+        dealt = df.select("vec_id", "v", "part").repartitionById(parts, "part").sortWithinPartitions("part")
+        return common.materialise(dealt.mapInPandas(blob, "part int, ids binary, data binary, small boolean, centre binary, radius double"), tag)
+
+    dealt, first_shard, n_shards = numbered(placed, shard_rows)
+    ones = placed.filter("asks").groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("x")).select("vec_id", "x.v", "x.cell")
+    asking, first_block, n_blocks = numbered(ones, query_rows)
+    shards = blobs(dealt, n_shards, "vector-shards").withColumnRenamed("part", "shard")
+    blocks = blobs(asking, n_blocks, "query-blocks").selectExpr("part as block", "ids as q_ids", "data as q_data", "small as q_small")
 
     def opened(ids: bytes, data: bytes, small: bool) -> tuple[np.ndarray, np.ndarray]:
         own = np.frombuffer(ids, "<i8")
@@ -176,11 +203,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
         return work
 
     common.arrow_rows(spark, 16)
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    probe = shards.filter(F.col("shard") == shards.agg(F.min("shard")).first()[0]).withColumn("block", every_block)
-    seen = probe.join(blocks, "block").mapInPandas(search(True), FOUND)
+    # every block first looks at a part of a shard of its own cell
+    last = sorted(first_block.items(), key=lambda x: x[1])
+    nearest = spark.createDataFrame([(block, first_shard[cell]) for (cell, start), (_, end) in zip(last, [*last[1:], (0, n_blocks)], strict=True) for block in range(start, end)], "block int, shard int")
+    seen = shards.drop("centre", "radius").join(nearest, "shard").join(blocks, "block").mapInPandas(search(True), FOUND)
     kth = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("score")).filter(F.col("n") >= k)
-    kth = kth.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
+    where = asking.select(F.col("vec_id").alias("query_id"), F.col("part").alias("block"))
+    kth = kth.join(where, "query_id").groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("known"))
 
     def with_floors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -191,7 +220,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
             yield b.drop(columns="known").assign(floors=floors)
 
     armed = common.materialise(blocks.join(kth, "block", "left").mapInPandas(with_floors, "block int, q_ids binary, q_data binary, q_small boolean, floors binary"), "query-floors")
-    met = shards.withColumn("block", every_block).join(armed, "block").repartition(max(1, min(n_shards * n_blocks, 100_000)), "shard", "block")
+    if n_shards * (width + 2) * 8 <= ball_bytes:
+        balls = shards.select("shard", "centre", "radius").orderBy("shard").toPandas()  # bounded by ball_bytes
+        around = spark.sparkContext.broadcast((balls["shard"].to_numpy(), np.array([np.frombuffer(c) for c in balls["centre"]]), balls["radius"].to_numpy()))
+
+        def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """block, shard: where some query's bound reaches its floor."""
+            numbers, middles, radii = around.value
+            for b in batches:
+                for row in b.itertuples():
+                    ids, queries = opened(row.q_ids, row.q_data, row.q_small)
+                    bound = queries @ middles.T + np.sqrt((queries**2).sum(axis=1))[:, None] * radii
+                    bound += 1e-9 * np.abs(bound) + 1e-6
+                    hit = (bound >= np.frombuffer(row.floors, "<f8")[:, None]).any(axis=0)
+                    yield pd.DataFrame({"block": np.int32(row.block), "shard": numbers[hit]})
+
+        pairs = armed.mapInPandas(reachable, "block int, shard int")
+    else:
+        pairs = armed.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
+    met = shards.drop("centre", "radius").join(pairs, "shard").join(armed, "block").repartition(max(1, min(n_shards * n_blocks, 100_000)), "shard", "block")
     found = met.mapInPandas(search(False), FOUND)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

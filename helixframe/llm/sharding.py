@@ -8,10 +8,12 @@ The packing has two levels, so that no step holds all groups. Groups are hashed
 to cells; each cell streams its groups, largest first, into one bin per shard.
 Then the bins of all cells (at most ``most_cells`` times the shards) are placed into the
 shards by the same rule. A group beyond a set part of a shard in any resource is
-split by a hash of doc_id first, so copies of one text can't outgrow a shard.
+split by a hash of doc_id and the row's number first, so copies of one text can't outgrow a shard, whatever their ids.
 
 A null text counts as no bytes and falls into the group of empty texts. Repeated
-rows are rows of their own. An empty table gives no rows. Extra columns are ignored.
+rows are rows of their own. Of bins with the same dot product the first is taken; slots of equal rows are
+interchangeable. A very long text is one item: where it outweighs a shard, that shard holds it and little else.
+An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +57,8 @@ def shard(docs: DataFrame, shards: int = 40, split_at: float = 0.5, most_cells:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.regexp_count(text, F.lit(r"\S+")).cast("long").alias("n_tokens"),
     )
-    rows = common.materialise(rows, "shard-rows")
+    # rows are numbered as written, so that rows which share a doc_id can part
+    rows = common.materialise(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows")
     sums = (F.sum("size").alias("bytes"), F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     groups = rows.groupBy("key").agg(*sums)
     total = groups.agg(*[F.sum(r).alias(r) for r in RESOURCES], F.count(F.lit(1)).alias("n")).first()
@@ -64,7 +67,7 @@ def shard(docs: DataFrame, shards: int = 40, split_at: float = 0.5, most_cells:
     # at most shards / split_at groups exceed each limit: that bounds what is broadcast
     parts = F.greatest(*[F.ceil(F.col(r) / F.lit(limit[r])) for r in RESOURCES])
     heavy = groups.filter(" or ".join(f"{r} > {limit[r]}" for r in RESOURCES)).select("key", parts.cast("int").alias("parts"))
-    items = rows.join(F.broadcast(heavy), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("parts")
+    items = rows.join(F.broadcast(heavy), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "row"), F.col("parts"))).cast("int")).drop("parts")
     cells = max(1, min(most_cells, (total["n"] or 0) // groups_per_cell))
     each = [per_shard[r] / cells for r in RESOURCES]
 
@@ -93,6 +96,6 @@ def shard(docs: DataFrame, shards: int = 40, split_at: float = 0.5, most_cells:
     bins["first"] = bins.groupby("shard")["rows"].cumsum() - bins["rows"] if len(bins) else pd.Series(dtype="int64")
     where = spark.createDataFrame(bins[["cell", "bin", "shard", "first"]].astype({"cell": "int32", "bin": "int32", "shard": "int32", "first": "int64"}), "cell int, bin int, shard int, first long")
 
-    nth = F.row_number().over(Window.partitionBy("cell", "bin").orderBy("doc_id", "text_crc32", "size")) - 1
+    nth = F.row_number().over(Window.partitionBy("cell", "bin").orderBy("doc_id", "text_crc32", "size", "row")) - 1
     out = items.join(packed.select("key", "part", "cell", "bin"), ["key", "part"]).withColumn("nth", nth)
     return out.join(F.broadcast(where), ["cell", "bin"]).select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"))

@@ -7,6 +7,8 @@ bin where its overlap begins, so no duplicate needs removing.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,36 +81,70 @@ def backwards(regions: DataFrame) -> DataFrame:
     return regions.filter("r_start > r_end")
 
 
-def union(df: DataFrame, *keys: str, gap: int = 0) -> DataFrame:
-    """Merged runs per key: keys, start, end, n. Intervals that touch are merged; gap: so much overlap is needed beyond touching.
+#: Length of the tiles of an axis that windows run within.
+TILE = 1 << 16
 
-    Two steps, so that a hot key is not one window: intervals are first merged within tiles of a key's
-    axis, then the runs, which are far fewer, across tiles.
-    """
 
-    def islands(rows: DataFrame, by: list[str]) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("start", "end")
-        reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        fresh = F.when(reach.isNull() | (F.col("start") > reach - gap), 1).otherwise(0)
-        run = rows.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        return run.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_run")
+def _with_tiles(rows: DataFrame, tiles: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what tiles says of their tile; keys may be null."""
+    own = [c for c in tiles.columns if c not in keys]
+    named = tiles.select(*[F.col(k).alias(f"_key{k}") for k in keys], *own)
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key{k}")) for k in keys])
+    return rows.join(named, same).select(*rows.columns, *own)
 
-    rows = df.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(1).cast("long").alias("n"))
-    tiles = rows.withColumn("_tile", F.floor(F.col("start") / F.lit(1 << 16)))
-    return islands(islands(tiles, [*keys, "_tile"]).drop("_tile"), list(keys))
+
+def union(df: DataFrame, *keys: str, gap: int = 0) -> DataFrame:
+    """Merged runs per key: keys, start, end, n. Intervals that touch are merged; with gap they must overlap by at least so much.
+
+    A hot key is no window of its own: intervals are merged within tiles of its axis, and from tile to tile only goes
+    how far the earlier ones reach.
+    """
+    by = [*keys, "_tile"]
+    rows = df.select(*keys, F.floor(F.col("start") / TILE).alias("_tile"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    order = Window.partitionBy(*by).orderBy("start", "end")
+    before, upto = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+
+    reach = F.max("end").over(before)
+    run = rows.withColumn("_fresh", F.when(reach.isNull() | (F.col("start") > reach - gap), 1).otherwise(0)).withColumn("_run", F.sum("_fresh").over(upto))
+    runs = run.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_run")
+
+    far = runs.groupBy(*by).agg(F.max("end").alias("_most")).withColumn("_reach", F.max("_most").over(along)).drop("_most")
+    met = _with_tiles(runs, far, by)
+    reach = F.greatest(F.max("end").over(before), F.col("_reach"))
+    met = met.withColumn("_fresh", F.when(reach.isNull() | (F.col("start") > reach - gap), 1).otherwise(0)).withColumn("_run", F.sum("_fresh").over(upto))
+    # a run that is not fresh and has none before it in its tile goes with the last fresh one of an earlier tile
+    made = met.groupBy(*by).agg(F.sum("_fresh").alias("_made")).withColumn("_last", F.last(F.when(F.col("_made") > 0, F.struct("_tile", F.col("_made").alias("_run"))), ignorenulls=True).over(along)).drop("_made")
+    found = _with_tiles(met, made, by)
+    island = F.when(F.col("_run") > 0, F.struct("_tile", "_run")).otherwise(F.col("_last"))
+    return found.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_island")
 
 
 def covered_length(df: DataFrame, *keys: str) -> DataFrame:
     return union(df, *keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered"))
 
 
+def _followed(steps: DataFrame, keys: list[str], *sums: str) -> DataFrame:
+    """steps (keys, pos and others, a row for each place) with next, the place after, and the running sums of columns in their place.
+
+    Windows run within tiles; between tiles go their first places and sums.
+    """
+    by = [*keys, "_tile"]
+    rows = steps.withColumn("_tile", F.floor(F.col("pos") / TILE))
+    along = Window.partitionBy(*keys).orderBy("_tile")
+    tiles = rows.groupBy(*by).agg(F.min("pos").alias("_first"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    tiles = tiles.withColumns({"_then": F.lead("_first").over(along)} | {f"_{c}": F.sum(f"_{c}").over(along.rowsBetween(Window.unboundedPreceding, -1)) for c in sums}).drop("_first")
+    order = Window.partitionBy(*by).orderBy("pos")
+    met = _with_tiles(rows, tiles, by)
+    totals = {c: F.sum(c).over(order) + F.coalesce(f"_{c}", F.lit(0)) for c in sums}
+    return met.withColumns({"next": F.coalesce(F.lead("pos").over(order), F.col("_then"))} | totals).select(*steps.columns, "next")
+
+
 def depth(df: DataFrame, *keys: str) -> DataFrame:
     """Step function of how many intervals cover each place: keys, start, end, depth > 0."""
-    marks = df.select(*keys, F.col("start").alias("pos"), F.lit(1).alias("d")).unionByName(df.select(*keys, F.col("end").alias("pos"), F.lit(-1).alias("d")))
-    step = marks.groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("pos")
-    runs = step.withColumns({"depth": F.sum("d").over(order), "end": F.lead("pos").over(order)})
-    return runs.filter("depth > 0").select(*keys, F.col("pos").alias("start"), "end", "depth")
+    marks = df.select(*keys, F.col("start").alias("pos"), F.lit(1).alias("depth")).unionByName(df.select(*keys, F.col("end").alias("pos"), F.lit(-1).alias("depth")))
+    steps = marks.groupBy(*keys, "pos").agg(F.sum("depth").alias("depth"))
+    return _followed(steps, list(keys), "depth").filter("depth > 0").select(*keys, F.col("pos").alias("start"), F.col("next").alias("end"), "depth")
 
 
 def intersections(families: DataFrame, width: int) -> DataFrame:
@@ -139,8 +175,7 @@ def family_edges(families: DataFrame, width: int, least: float = 0.05) -> DataFr
 def overlay(segments: DataFrame, width: int, *keys: str) -> DataFrame:
     """Where segments (keys, seg_id, ord, start, end) overlap the one with the larger ord shows: keys, start, end, seg_id."""
     ends = segments.select(*keys, F.col("start").alias("pos")).union(segments.select(*keys, F.col("end").alias("pos"))).distinct()
-    order = Window.partitionBy(*keys).orderBy("pos")
-    pieces = ends.withColumn("stop", F.lead("pos").over(order)).filter("stop is not null")
+    pieces = _followed(ends, list(keys)).withColumnRenamed("next", "stop").filter("stop is not null")
     a = pieces.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("pos") / width), F.floor((F.col("stop") - 1) / width))))
     b = binned(segments, "start", "end", width)
     met = a.join(b, [*keys, "_bin"]).filter((F.col("start") < F.col("stop")) & (F.col("pos") < F.col("end")))

@@ -66,7 +66,7 @@ def greedy_bundles(df: DataFrame, size: str, limit: int, *order: str) -> DataFra
     """df with bundle: a row opens a new one if the open one holds something and would exceed the limit with it.
 
     What a range of rows does to the open bundle is a step function of that bundle's size
-    on entry. Ranges give their steps (those within the first ``limit`` of size), the
+    on entry. Ranges give their steps (those within the first ``limit`` of size, one for each different size), the
     driver follows one path through them, and the ranges then number their rows.
     """
     parts = ranged(df.withColumn("_size", F.col(size).cast("long")), *order)
@@ -82,7 +82,9 @@ def greedy_bundles(df: DataFrame, size: str, limit: int, *order: str) -> DataFra
             for i in range(n - 1, -1, -1):
                 left[i], begun[i] = (cum[n] - cum[i], 1) if after[i] >= n else (left[after[i]], begun[after[i]] + 1)
             last = min(n, int(np.searchsorted(cum, limit, "right")))
-            yield pd.DataFrame({"_part": part, "above": limit - cum[1 : last + 1], "left": left[:last], "begun": begun[:last], "total": cum[n]})
+            # of rows without a size only the first can open a bundle, so a range has at most limit steps
+            at = np.flatnonzero(np.append(True, np.diff(cum[1 : last + 1]) > 0)) if last else np.empty(0, np.int64)
+            yield pd.DataFrame({"_part": part, "above": limit - cum[at + 1], "left": left[at], "begun": begun[at], "total": cum[n]})
 
     held, number, entry = 0, 0, {}
     found = dealt.select("_part", "_size", *order).mapInPandas(steps, "_part int, above long, left long, begun long, total long").toPandas()

@@ -230,12 +230,15 @@ def merged_families(members: DataFrame, edges: DataFrame) -> DataFrame:
 def seeds(targets: DataFrame, queries: DataFrame, k: int, tube: int, least: int, most_hits: int) -> DataFrame:
     """Seed filter of local alignment: pairs, diagonal tubes and how many k-mers of both lie in them.
 
-    targets, queries: id, pos, kmer. k-mers are counted first, and one with more than most_hits target
-    places is left out, as in the q-gram filter for repeats (Rasmussen et al. 2006).
+    targets, queries: id, pos, kmer. All places of a k-mer meet each other, as in the q-gram filter for repeats
+    (Rasmussen et al. 2006), while there are at most most_hits of them among the targets. The places of a more frequent
+    one meet its first place only, so a class of n costs n rows, not n squared: its members are all
+    paired with the sequence of the first, and through it with each other.
     """
-    usual = targets.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most_hits).select("kmer")
-    t = targets.join(usual, "kmer", "left_semi").select("kmer", F.col("id").alias("t_id"), F.col("pos").alias("t_pos"))
-    met = t.join(queries.select("kmer", F.col("id").alias("q_id"), F.col("pos").alias("q_pos")), "kmer").filter("t_id < q_id or t_id = q_id and t_pos < q_pos")
+    places = targets.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first"))
+    usual = targets.join(places.filter(F.col("n") <= most_hits).select("kmer"), "kmer", "left_semi").select("kmer", F.col("id").alias("t_id"), F.col("pos").alias("t_pos"))
+    firsts = places.filter(F.col("n") > most_hits).select("kmer", F.col("first.id").alias("t_id"), F.col("first.pos").alias("t_pos"))
+    met = usual.unionByName(firsts).join(queries.select("kmer", F.col("id").alias("q_id"), F.col("pos").alias("q_pos")), "kmer").filter("t_id < q_id or t_id = q_id and t_pos < q_pos")
     tubes = met.withColumn("tube", F.floor((F.col("t_pos") - F.col("q_pos")) / F.lit(tube)))
     return tubes.groupBy("t_id", "q_id", "tube").agg(F.count_distinct("q_pos").alias("n_seeds"), F.min("t_pos").alias("t_start"), F.max("t_pos").alias("t_last"), F.min("q_pos").alias("q_start"), F.max("q_pos").alias("q_last")).filter(F.col("n_seeds") >= least)
 

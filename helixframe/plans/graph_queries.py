@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graphs, kmers, matrix, piles
 from ..sources import formats
-from .bindings import EDGES, FAMILIES, MATRIX, SPANS, SUPPLIERS, dna, edges, families, part_graph, spans, supplier_graph, table
+from .bindings import DNA, EDGES, FAMILIES, MATRIX, SPANS, SUPPLIERS, dna, edges, families, part_graph, spans, supplier_graph, table
 from .bindings import matrix as matrix_view
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -226,7 +226,13 @@ def matrix_factors(spark, sf_dir):
     return matrix.pattern_weights(w, "i")
 
 
-@query()
+@query(f"""
+WITH {DNA}, k AS (SELECT id, i AS pos, substring(seq, i + 1, 16) AS kmer FROM (SELECT id, seq, unnest(range(length(seq) - 15)) AS i FROM dna WHERE length(seq) >= 16)),
+p AS (SELECT kmer, count(*) AS n, min(id * 1000000000 + pos) AS first FROM k GROUP BY 1),
+t AS (SELECT kmer, id AS t_id, pos AS t_pos FROM k JOIN p USING (kmer) WHERE n <= 8 UNION ALL SELECT kmer, first // 1000000000, first % 1000000000 FROM p WHERE n > 8),
+m AS (SELECT t_id, t_pos, q.id AS q_id, q.pos AS q_pos FROM t JOIN k q USING (kmer) WHERE t_id < q.id OR t_id = q.id AND t_pos < q.pos)
+SELECT t_id, q_id, CAST(floor((t_pos - q_pos) / 64.0) AS BIGINT) AS tube, count(DISTINCT q_pos) AS n_seeds, CAST(min(t_pos) AS INTEGER) AS t_start, CAST(max(t_pos) AS INTEGER) AS t_last, CAST(min(q_pos) AS INTEGER) AS q_start, CAST(max(q_pos) AS INTEGER) AS q_last
+FROM m GROUP BY 1, 2, 3 HAVING count(DISTINCT q_pos) >= 24""")
 def alignment_seeds(spark, sf_dir):
     found = kmers.occurrences(dna(spark, sf_dir), 16)
     return piles.seeds(found, found, k=16, tube=64, least=24, most_hits=8)

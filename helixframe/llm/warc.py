@@ -128,7 +128,7 @@ def placed(held):
     return place
 
 
-def shard_starts(sizes: DataFrame, shard_bytes: int, most_shards: int, most_cells: int = 1 << 20) -> np.ndarray:
+def shard_starts(sizes: DataFrame, shard_bytes: int, most_shards: int, most_cells: int = 1 << 16) -> np.ndarray:
     """The first page_id of each shard. sizes: page_id, size.
 
     Ranges of ids that hold too much are cut into cells, all of them in one job, until none does; about most_cells

@@ -104,6 +104,39 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM g
 """
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+near AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e),
+step(turn, u, root) AS (SELECT 0, u, u FROM (SELECT DISTINCT u FROM near) UNION ALL
+  SELECT turn + 1, u, root FROM (SELECT any_value(m.turn) AS turn, near.u AS u, min(m.root) AS root FROM near JOIN step m ON m.u = near.v GROUP BY near.u) WHERE turn < 40),
+label AS (SELECT u AS doc_id, min(root) AS root FROM step GROUP BY u)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(root, doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN label USING (doc_id)
+"""
+
+REPEATS_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+t AS (SELECT doc_id, c, substring(x, 1000 * c + 1, 1098) AS y FROM (SELECT doc_id, x, unnest(range((length(x) + 999) // 1000)) AS c FROM h)),
+w AS (SELECT doc_id, 500 * c + j AS i, substring(y, 2 * j + 1, 100) AS s FROM (SELECT doc_id, c, y, unnest(range(length(y) // 2 - 49)) AS j FROM t WHERE length(y) >= 100)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > first),
+r AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+u AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY 1, 2),
+k AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS kept_from FROM u),
+c AS (SELECT k.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substring(x, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY run) AS kept FROM k JOIN h USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substring(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN c USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_shards": op2_vector_shards,
@@ -116,4 +149,4 @@ QUERIES: dict[str, Query] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_round_trip": WARC_SQL, "op10_ball_tree_top_k": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc_round_trip": WARC_SQL, "op4_jaccard_join": JACCARD_SQL, "op6_radix_repeats": REPEATS_SQL, "op10_ball_tree_top_k": TOP_K_SQL}

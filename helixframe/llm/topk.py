@@ -106,7 +106,7 @@ def search_block(ids: np.ndarray, tree: BallTree, queries: np.ndarray, query_ids
             yield int(own), -minus, score
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 512, sample_rows: int = 512, most_cells: int = 64, ball_bytes: int = 32 << 20) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, shard_rows: int = 4096, query_rows: int = 512, sample_rows: int = 512, most_cells: int = 64, ball_bytes: int = 32 << 20, blocks_per_tree: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score for every row of vectors where is_query holds.
 
     Components x become floor(scale * x). Ties go to the smaller vec_id.
@@ -238,7 +238,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, sh
         pairs = armed.mapInPandas(reachable, "block int, shard int")
     else:
         pairs = armed.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("shard"))
-    met = shards.drop("centre", "radius").join(pairs, "shard").join(armed, "block").repartition(max(1, min(n_shards * n_blocks, 100_000)), "shard", "block")
+    # a task makes a shard's tree once for some blocks
+    met = shards.drop("centre", "radius").join(pairs, "shard").join(armed, "block").withColumn("turn", F.floor(F.col("block") / blocks_per_tree))
+    met = met.repartition(max(1, min(n_shards * -(-n_blocks // blocks_per_tree), 100_000)), "shard", "turn").sortWithinPartitions("shard", "turn").drop("turn")
     found = met.mapInPandas(search(False), FOUND)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -33,8 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Folders for intermediate tables in the order in which they were named.
+MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def drop_scratch(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Remove the intermediate tables that this process has named, but for some; what is still to be read from them is lost."""
+    for path in [p for p in MADE if p not in keep]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        MADE.remove(path)
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:

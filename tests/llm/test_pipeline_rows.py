@@ -25,3 +25,10 @@ def test_rows_that_share_an_id_share_their_fate(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert [r["doc_id"] for r in kept] == [1, 1]
+
+
+def test_a_run_leaves_only_its_result(spark, sf):
+    before = set(common.MADE)
+    packed = corpus_pipeline.run(spark, sf)
+    assert len(set(common.MADE) - before) == 1
+    assert packed.count() > 100 and packed.agg({"length": "max"}).first()[0] <= 2048

@@ -70,7 +70,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of documents. Intermediate tables go once the stage that made them has been written."""
+    before = set(common.MADE)  # of other operators, which may still be read
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.drop_scratch(spark, before | {common.MADE[-1]})
     return docs

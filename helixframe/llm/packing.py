@@ -272,7 +272,7 @@ def pack(
     totals = np.zeros(capacity + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():  # bounded by capacity
         totals[length] = n
-    salts = 1 + totals // group  # a hot length is ranked in several tasks
+    salts = 16 + totals // group  # a hot length is ranked in several tasks, whatever its size
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(F.lit(salts.tolist()), F.col("length").cast("int") + 1)).cast("int"))
     first = np.cumsum(salts) - salts
     tally = np.zeros(salts.sum(), np.int64)  # a number for each group of rows and each length

@@ -49,14 +49,14 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, substitutions allowed; without a benchmark all stay."""
-    common.arrow_rows(spark, 1000)
+    common.arrow_rows(spark, 250)  # a batch of very long texts takes memory twice in an executor that has run for long
     hits = decontaminate.overlaps(docs, queries.table(spark, sf_dir, "benchmark"))
     return docs.select(*COLUMNS).join(common.looked_up(hits.select("doc_id").distinct(), "contaminated"), "doc_id", "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens; repeated rows are packed as often as they occur."""
-    common.arrow_rows(spark, 1000)
+    common.arrow_rows(spark, 250)  # a batch of very long texts takes memory twice in an executor that has run for long
     return packing.pack(docs, queries.tokenizer_path(), capacity=2048)
 
 

@@ -33,42 +33,44 @@ def _draw(index: str, k: int, seed: int) -> Column:
     return F.array(*[F.abs(F.sqrt(-2 * F.log(unit(2 * p))) * F.cos(2 * 3.141592653589793 * unit(2 * p + 1))) + F.lit(1e-6) for p in range(k)])
 
 
-def _gram(t: DataFrame, k: int) -> list[list[float]]:
-    """k by k products of the columns of a factor: bounded by the number of patterns."""
-    sums = t.agg(*[F.sum(F.col("w")[a] * F.col("w")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)]).first()
-    return [[sums[f"g{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)]
+def _gram(t: DataFrame, k: int) -> tuple[list[list[float]], float]:
+    """k by k products of the columns of a factor, and the product of the factor with its numerators: bounded by the number of patterns."""
+    dot = F.sum(sum((F.col("w")[p] * F.col("top")[p] for p in range(k)), F.lit(0.0))) if "top" in t.columns else F.lit(0.0)
+    sums = t.agg(dot.alias("dot"), *[F.sum(F.col("w")[a] * F.col("w")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(a, k)]).first()
+    return [[sums[f"g{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)], sums["dot"] or 0.0
 
 
-def _update(v: DataFrame, own: DataFrame, other: DataFrame, index: str, across: str, k: int) -> DataFrame:
-    """One multiplicative step for a factor, with the other held."""
-    gram = _gram(other, k)
+def _update(v: DataFrame, own: DataFrame, other: DataFrame, gram: list[list[float]], index: str, across: str, k: int) -> DataFrame:
+    """One multiplicative step for a factor, with the other held. top: the step's numerators."""
     met = v.join(other.select(F.col(across), F.col("w").alias("o")), across)
     top = met.groupBy(index).agg(*[F.sum(F.col("v") * F.col("o")[p]).alias(f"t{p}") for p in range(k)])
-    joined = own.join(top, index, "left")
+    joined = own.select(index, "w").join(top, index, "left")
+    tops = [F.coalesce(f"t{p}", F.lit(0.0)) for p in range(k)]
     below = [sum((F.col("w")[q] * F.lit(gram[q][p]) for q in range(k)), F.lit(1e-12)) for p in range(k)]
-    return joined.select(index, F.array(*[F.col("w")[p] * F.coalesce(f"t{p}", F.lit(0.0)) / below[p] for p in range(k)]).alias("w"))
+    return joined.select(index, F.array(*[F.col("w")[p] * tops[p] / below[p] for p in range(k)]).alias("w"), F.array(*tops).alias("top"))
 
 
 def factorise(m: DataFrame, k: int = 5, rounds: int = 20, tolerance: float = 0.001, seed: int = 1) -> tuple[DataFrame, DataFrame, list[float]]:
     """W (i, w), H (j, w) and the squared error after each round, by multiplicative updates (Lee and Seung 2001).
 
-    Factors are tables with an array of k weights; only k by k products and the error reach the driver.
+    Factors are tables with an array of k weights; only k by k products and the error reach the driver. The error
+    comes from what a round has at hand: the numerators of W's step are the matrix times H.
     """
     v = written(m.filter("v <> 0").select("i", "j", F.col("v").cast("double").alias("v")), "matrix")
     w = written(v.select("i").distinct().select("i", _draw("i", k, seed).alias("w")), "factor")
     h = written(v.select("j").distinct().select("j", _draw("j", k, seed + 1).alias("w")), "factor")
     square = v.agg(F.sum(F.col("v") * F.col("v"))).first()[0] or 0.0
     errors: list[float] = []
+    gw, _ = _gram(w, k)
     for _ in range(rounds):
-        h = written(_update(v, h, w, "j", "i", k), "factor")
-        w = written(_update(v, w, h, "i", "j", k), "factor")
-        met = v.join(w.withColumnRenamed("w", "a"), "i").join(h.withColumnRenamed("w", "b"), "j")
-        dot = met.agg(F.sum(F.col("v") * sum((F.col("a")[p] * F.col("b")[p] for p in range(k)), F.lit(0.0)))).first()[0] or 0.0
-        gw, gh = _gram(w, k), _gram(h, k)
+        h = written(_update(v, h, w, gw, "j", "i", k), "factor")
+        gh, _ = _gram(h, k)
+        w = written(_update(v, w, h, gh, "i", "j", k), "factor")
+        gw, dot = _gram(w, k)
         errors.append(square - 2 * dot + sum(gw[a][b] * gh[a][b] for a in range(k) for b in range(k)))
         if len(errors) > 1 and errors[-2] - errors[-1] <= tolerance * max(errors[-2], 1e-12):
             break
-    return w, h, errors
+    return w.select("i", "w"), h.select("j", "w"), errors
 
 
 def best_runs(m: DataFrame, k: int, runs: int, rounds: int, seed: int = 1) -> tuple[DataFrame, DataFrame, int]:

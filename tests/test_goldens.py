@@ -195,3 +195,13 @@ def test_kmers_of_odd_sequences(spark, monkeypatch):
 def test_landscape_files_name_their_place(spark):
     found = report_queries.pile_landscape_files(spark, "/root/testdata/sf0.001").collect()
     assert found and all(r["value"].startswith('{"Chromosome":"' + r["contig"]) for r in found)
+
+
+def test_error_of_a_factorisation_equals_its_definition(spark):
+    from helixframe.operators import matrix
+
+    v = {(i, j): float((i % 3 + 1) * (j % 2 + 1) + (i + j) % 2) for i in range(7) for j in range(5)}
+    w, h, errors = matrix.factorise(spark.createDataFrame([(*k, x) for k, x in v.items()], "i long, j long, v double"), k=2, rounds=3, tolerance=-1.0)
+    w, h = {r["i"]: r["w"] for r in w.collect()}, {r["j"]: r["w"] for r in h.collect()}
+    error = sum((x - sum(a * b for a, b in zip(w[i], h[j]))) ** 2 for (i, j), x in v.items())
+    assert len(errors) == 3 and abs(errors[-1] - error) < 1e-6 * sum(x * x for x in v.values())

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -220,3 +221,19 @@ def looked_up(table: DataFrame, tag: str, most_rows: int = 100_000) -> DataFrame
     """
     written = materialise(table, tag)
     return F.broadcast(written) if written.count() <= most_rows else written
+
+
+def ranked(df: DataFrame, order: list[Column], tag: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with rank, from 1, in an order of its rows (or of those that share ``within``, which must hold no null).
+
+    Rows are written in ranges of the order; a row's rank is its place in its range and the sizes of the ranges
+    before, so no group is brought to one task. A further column of unlike values breaks ties, so that equal rows part.
+    """
+    own = [*map(F.col, within), *order, F.col("_row")]
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    parts = materialise(numbered.repartitionByRange(*own).withColumn("_part", F.spark_partition_id()), tag)
+    sizes = parts.groupBy(*within, "_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range and group
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = sizes.select(*within, "_part", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*within, "_part").orderBy(*order, "_row"))
+    return parts.withColumn("_place", place).join(first, [*within, "_part"]).withColumn("rank", F.col("_before") + F.col("_place")).select(*df.columns, "rank")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_text, jaccard, langid, packing, quality, repeats, sharding, topk, warc
+from . import collocations, common, decontaminate, html_text, jaccard, langid, mixing, packing, quality, repeats, resampling, sharding, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,20 @@ def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_rollup_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 1000)
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=5, least=100, covered=100, first=2000)
+
+
+def op12_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=150, most=2)
+
+
+def op13_prefix_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.arrow_rows(spark, 1000)
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, shortest=20, seed=2024)
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -137,6 +151,92 @@ SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM h LEFT JOIN c USING (doc_id)
 """
 
+COLLOCATIONS_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+c AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+a AS (SELECT lang, k, string_split(phrase, ' ') AS ws, phrase, f AS a FROM c WHERE k > 1 AND f >= 100),
+s AS (
+  SELECT a.lang, a.phrase, a.a, l.f AS l, r.f AS r, CAST(n.n AS HUGEINT) AS n, j,
+         (1000 * CAST(a.a AS HUGEINT) * CAST(n.n AS HUGEINT)) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM a) a
+  JOIN c l ON l.lang = a.lang AND l.phrase = array_to_string(ws[1:j], ' ')
+  JOIN c r ON r.lang = a.lang AND r.phrase = array_to_string(ws[j + 1:], ' ')
+  JOIN n ON n.lang = a.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k + 1)) AS i FROM a), (SELECT unnest(range(2, 5)) AS m)
+  WHERE m < k AND i + m - 1 <= k GROUP BY ALL)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a)
+WHERE rank <= 2000
+"""
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size, md5('12:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents),
+s AS (SELECT source, sum(size) AS source_size, count(*) AS many, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS number FROM d GROUP BY source),
+t AS (SELECT *, CAST([5, 2, 1][1 + (number - 1) % 3] AS DOUBLE) AS weight, 2 * source_size AS most FROM s),
+u AS (
+  SELECT *, (sum(source_size) OVER () * 150 / 100.0 - coalesce(sum(most) OVER (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM t),
+v AS (SELECT *, least(CAST(most AS DOUBLE), weight * coalesce(min(CASE WHEN level * weight <= most THEN level END) OVER (), CAST('inf' AS DOUBLE))) AS target FROM u),
+seats AS (SELECT *, floor(sum(target) OVER () / 16 + 0.5) AS seats, greatest(1, CAST(ceil((source_size + many) / 1000000.0) AS BIGINT)) AS shards FROM v),
+q AS (
+  SELECT number, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, number, k) AS place, seats
+  FROM (SELECT *, unnest(range(0, CAST(ceil(target / 16 + 2) AS BIGINT))) AS k FROM seats)),
+blocks AS (SELECT number, count(*) AS blocks FROM q WHERE place <= seats GROUP BY number),
+e AS (SELECT d.*, number, source_size, target, coalesce(blocks, 0) AS blocks, CAST('0x' || key[1:8] AS BIGINT) % shards AS shard
+  FROM d JOIN seats ON d.source IS NOT DISTINCT FROM seats.source LEFT JOIN blocks USING (number)),
+h AS (SELECT number, shard, blocks, sum(size) AS words FROM e GROUP BY ALL),
+g AS (
+  SELECT number, shard, row_number() OVER (PARTITION BY number ORDER BY words / (2 * k + 1) DESC, shard, k) AS place, blocks
+  FROM (SELECT *, unnest(range(0, CAST(ceil(words / 8 + 2) AS BIGINT))) AS k FROM h)),
+quota AS (SELECT number, shard, count(*) AS quota FROM g WHERE place <= blocks GROUP BY ALL),
+m AS (
+  SELECT e.*, words, least(16 * coalesce(quota, 0), 2 * words) AS out, sum(size) OVER (PARTITION BY number, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM e JOIN h USING (number, shard) LEFT JOIN quota USING (number, shard))
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE (out // words) * size + greatest(0, least(size, out % words - before)) END AS BIGINT) AS taken
+FROM m
+"""
+
+RESAMPLING_SQL = r"""
+WITH byte AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS no, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT no, word, count(*) AS n FROM (SELECT no, unnest(w) AS word FROM d) GROUP BY ALL),
+bw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM b) GROUP BY ALL),
+spelled AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+bucket AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), lambda c, v: xor(t[1 + (xor(c, v) & 255)], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM spelled, byte),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN bucket USING (word) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS t FROM bw JOIN bucket USING (word) GROUP BY 1),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM dw) + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM bw) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)),
+g AS (SELECT no, sum(n * gain) AS weight FROM dw JOIN bucket USING (word) JOIN gain USING (bucket) GROUP BY no),
+c AS (
+  SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h
+  FROM d LEFT JOIN g USING (no)),
+f AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY n_features < 20, score DESC, doc_id, n_features) AS rank FROM f)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND rank <= (SELECT 10 * count(*) // 100 FROM f WHERE n_features >= 20) THEN rank END AS rank
+FROM r
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_warc_round_trip": op1_warc_round_trip,
     "op2_vector_shards": op2_vector_shards,
@@ -148,5 +248,16 @@ QUERIES: dict[str, Query] = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
+    "op11_rollup_collocations": op11_rollup_collocations,
+    "op12_apportioned_mix": op12_apportioned_mix,
+    "op13_prefix_crc_resampling": op13_prefix_crc_resampling,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_round_trip": WARC_SQL,
+    "op4_jaccard_join": JACCARD_SQL,
+    "op6_radix_repeats": REPEATS_SQL,
+    "op10_ball_tree_top_k": TOP_K_SQL,
+    "op11_rollup_collocations": COLLOCATIONS_SQL,
+    "op12_apportioned_mix": MIX_SQL,
+    "op13_prefix_crc_resampling": RESAMPLING_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc_round_trip": WARC_SQL, "op4_jaccard_join": JACCARD_SQL, "op6_radix_repeats": REPEATS_SQL, "op10_ball_tree_top_k": TOP_K_SQL}

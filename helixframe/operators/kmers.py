@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.sequence import indexes, kmer_code, subsequence
+from ..functions.sequence import kmer_code
 from . import letters
+from .tiles import pieces
 
 
 def occurrences(seqs: DataFrame, k: int, id_: str = "id", seq: str = "seq") -> DataFrame:
@@ -108,12 +109,12 @@ def count_statistics(table: DataFrame, k: int, p: float = 0.95, fill: bool = Fal
 
 
 def windows(seqs: DataFrame, chunk: int, compat: bool = False, id_: str = "id", seq: str = "seq") -> DataFrame:
-    """Full windows of chunk letters; compat leaves out a window's first letter and a window that ends with the sequence."""
-    n = F.length(seq)
-    many = F.floor((n - 1) / chunk) if compat else F.floor(n / chunk)
-    cut = seqs.withColumn("_i", F.explode(indexes(F.greatest(many, F.lit(0)))))
-    start = F.col("_i") * chunk
-    return cut.select(F.col(id_).alias("id"), start.cast("long").alias("start"), subsequence(seq, start + (1 if compat else 0), start + chunk).alias("seq"))
+    """Full windows of chunk letters, in one pass; compat leaves out a window's first letter and a window that ends with the sequence."""
+    full = F.filter(pieces(F.col(seq), chunk), lambda x: F.length(x) == chunk)
+    if compat:
+        full = F.when(F.length(seq) % chunk == 0, F.slice(full, F.lit(1), F.greatest(F.size(full) - 1, F.lit(0)))).otherwise(full)
+    cut = seqs.select(F.col(id_).alias("id"), F.posexplode(full).alias("_i", "seq"))
+    return cut.select("id", (F.col("_i").cast("long") * chunk).alias("start"), F.substr(F.col("seq"), F.lit(2)).alias("seq") if compat else "seq")
 
 
 def euclidean(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:

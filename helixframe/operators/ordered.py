@@ -35,19 +35,26 @@ def ranged(df: DataFrame, *order: str) -> DataFrame:
     return written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
-def running_total(df: DataFrame, value: str, *order: str, name: str = "before") -> DataFrame:
-    """df with the sum of value over all rows that come earlier in the order.
+def running_totals(df: DataFrame, sums: dict[str, str], *order: str) -> DataFrame:
+    """df with, for each name in sums, the sum of that column over all rows that come earlier in the order.
 
     Sums within ranges by a window, plus the totals of earlier ranges (one row per
     partition).
     """
     parts = ranged(df, *order)
-    totals = parts.groupBy("_part").agg(F.sum(value).alias("_sum")).toPandas().sort_values("_part")  # a row per partition
-    totals["_base"] = totals["_sum"].fillna(0).cumsum() - totals["_sum"].fillna(0)
-    base = df.sparkSession.createDataFrame(totals[["_part", "_base"]].astype({"_part": "int32", "_base": "int64"}), "_part int, _base long")
+    totals = parts.groupBy("_part").agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(f"_base{i}") for i, v in enumerate(sums.values())]).toPandas().sort_values("_part")  # a row per partition
+    bases = [f"_base{i}" for i in range(len(sums))]
+    totals[bases] = totals[bases].cumsum() - totals[bases]
+    base = df.sparkSession.createDataFrame(totals.astype({"_part": "int32"}), ", ".join(["_part int", *(f"{b} long" for b in bases)]))
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = parts.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0)))
-    return inside.join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + F.col("_own")).cast("long")).drop("_part", "_base", "_own")
+    inside = parts.withColumns({f"_own{i}": F.coalesce(F.sum(v).over(own), F.lit(0)) for i, v in enumerate(sums.values())})
+    named = {name: (F.col(f"_base{i}") + F.col(f"_own{i}")).cast("long") for i, name in enumerate(sums)}
+    return inside.join(F.broadcast(base), "_part").withColumns(named).drop("_part", *bases, *[f"_own{i}" for i in range(len(sums))])
+
+
+def running_total(df: DataFrame, value: str, *order: str, name: str = "before") -> DataFrame:
+    """df with the sum of value over all rows that come earlier in the order."""
+    return running_totals(df, {name: value}, *order)
 
 
 def _by_part(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.sequence import col, indexes, letters, subsequence
+from ..functions.sequence import col, letters
+from .tiles import pieces
 
 
 def statistics(seqs: DataFrame, seq: str = "seq") -> DataFrame:
@@ -42,25 +43,26 @@ def longer_than(seqs: DataFrame, least: int = 2500, strict: bool = True, seq: st
 
 
 def split_windows(seqs: DataFrame, window: int = 5000, least: int = 2500, id_: str = "id", seq: str = "seq") -> DataFrame:
-    """Windows of a fixed length, the last one with what remains; sequences under two windows stay whole."""
+    """Windows of a fixed length, the last one with what remains; sequences under two windows stay whole.
+
+    One pass over a sequence, whatever its length; ``tiles.split_windows`` takes sequences that are no single rows.
+    """
     n = F.length(seq)
-    q = F.floor(n / window)
-    cut = seqs.filter(n >= least).withColumn("_i", F.explode(F.when(n < 2 * window, F.array(F.lit(-1))).otherwise(indexes(q))))
-    i = F.col("_i")
-    start = F.when(i < 0, F.lit(0)).otherwise(i * window)
-    end = F.when((i < 0) | (i == q - 1), n).otherwise((i + 1) * window)
-    name = F.when(i < 0, F.col(id_).cast("string")).otherwise(F.concat_ws("", F.col(id_).cast("string"), F.lit("_"), start.cast("string"), F.lit("-"), end.cast("string")))
-    return cut.select(name.alias("id"), start.cast("long").alias("start"), end.cast("long").alias("end"), subsequence(seq, start, end).alias("seq"))
+    # the last window is the one behind which nothing but less than a window is left
+    runs = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{{window}}}(?:.{{0,{window - 1}}}\\z)?"), F.lit(0))
+    each = seqs.filter(n >= least).select(F.col(id_), F.posexplode(F.when(n < 2 * window, F.array(F.col(seq))).otherwise(runs)).alias("_i", "_part"), (n < 2 * window).alias("_whole"))
+    start = F.col("_i").cast("long") * window
+    end = start + F.length("_part")
+    name = F.when(F.col("_whole"), F.col(id_).cast("string")).otherwise(F.concat_ws("", F.col(id_).cast("string"), F.lit("_"), start.cast("string"), F.lit("-"), end.cast("string")))
+    return each.select(name.alias("id"), start.alias("start"), end.cast("long").alias("end"), F.col("_part").alias("seq"))
 
 
 def fragments(seqs: DataFrame, size: int = 40, id_: str = "id", seq: str = "seq") -> DataFrame:
     """Under 20 letters nothing, up to 85 the sequence without its first five, above that full pieces of ``size``."""
     n = F.length(seq)
-    cut = seqs.filter(n >= 20).withColumn("_i", F.explode(F.when(n <= 85, F.array(F.lit(-1))).otherwise(indexes(F.floor(n / size)))))
-    i = F.col("_i")
-    start = F.when(i < 0, F.lit(5)).otherwise(i * size)
-    end = F.when(i < 0, n).otherwise((i + 1) * size)
-    return cut.select(F.col(id_).alias("id"), start.cast("long").alias("start"), subsequence(seq, start, end).alias("seq"))
+    full = F.filter(pieces(F.col(seq), size), lambda x: F.length(x) == size)
+    each = seqs.filter(n >= 20).select(F.col(id_).alias("id"), F.posexplode(F.when(n <= 85, F.array(F.substr(F.col(seq), F.lit(6)))).otherwise(full)).alias("_i", "seq"), (n <= 85).alias("_short"))
+    return each.select("id", F.when(F.col("_short"), F.lit(5)).otherwise(F.col("_i").cast("long") * size).cast("long").alias("start"), "seq")
 
 
 def phylip(alignment: DataFrame, id_: str = "id", seq: str = "seq") -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import wrapped
 from ..operators.annotation import parsed_repeat
-from ..operators.ordered import running_total
+from ..operators import tiles
+from ..operators.ordered import running_total, running_totals
 
 
 def lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -43,6 +44,23 @@ def read_fasta(spark: SparkSession, path: str, alphabet: str = "dna") -> DataFra
     return parts.withColumn("len", F.length("seq"))
 
 
+def read_fasta_tiles(spark: SparkSession, path: str, width: int = 1 << 16) -> DataFrame:
+    """seq_ord, id, descr, tile, start, part: FASTA records as tiles, read by lines.
+
+    Partitions are byte ranges of the files, so a record may span many of them and no row is longer than a tile. What
+    stands before the first header is no record. Lines know how many headers and letters come before them.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    head = F.col("value").startswith(">")
+    rows = read.withColumn("part", F.when(head, F.lit("")).otherwise(F.regexp_replace("value", r"\s+", "")))
+    rows = running_totals(rows.withColumns({"_head": head.cast("int"), "_n": F.length("part")}), {"_heads": "_head", "_at": "_n"}, "_file", "_id")
+    named = rows.filter("_head = 1").select(F.col("_heads").alias("seq_ord"), F.col("_at").alias("_from"), F.substr(F.col("value"), F.lit(2)).alias("_text"))
+    parts = rows.filter("_head = 0 and _heads > 0 and _n > 0").select((F.col("_heads") - 1).alias("seq_ord"), "_at", "part")
+    placed = parts.join(named, "seq_ord").select(F.col("seq_ord").alias("id"), (F.col("_at") - F.col("_from")).alias("start"), "part")
+    names = named.select("seq_ord", F.regexp_extract("_text", r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace("_text", r"^\S*", "")).alias("descr"))
+    return tiles.recut(placed, width).withColumnRenamed("id", "seq_ord").join(names, "seq_ord").select("seq_ord", "id", "descr", "tile", "start", "part")
+
+
 def literal_fasta(rows: DataFrame, text: str, *keep: str) -> DataFrame:
     """keep, n, name, descr, seq of the records in a text column, as of FASTA held in a program."""
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.col(text)), "\n>"), lambda x: F.trim(x) != "")

@@ -5,9 +5,10 @@ ended. Only these padded windows are counted. ROLLUP over the columns then sums
 counts of phrases of every length, of single words and of all words come out of one table, and no shorter n-gram is
 ever made a row of its own.
 
-A phrase with ``least`` occurrences holds no pair of neighbours with fewer, so a window may be padded after the first word of a rarer
-pair without touching any count that matters. Pairs are counted beforehand as 64-bit hashes; a bitmap of ``filter_bits`` bits, whatever
-the input's size, tells tasks which pairs may be frequent. Pairs that share a bit with a frequent one only make windows longer.
+A phrase with ``least`` occurrences holds no shorter run of words with fewer, so a window may be padded before a rarer word and where a
+rarer pair or triple of words ends without touching any count that matters. Words, then pairs of words that may be frequent, then such triples, are
+counted beforehand by 44-bit hashes; for each a bitmap of ``filter_bits`` bits, whatever the input's size, tells tasks which may be
+frequent. What shares a hash or a bit with a frequent one only makes windows longer.
 
 A phrase of 2 to ``longest`` words that occurs ``least`` times is cut after each of its words; with a, l and r occurrences of it and of
 the two parts among n words a cut scores floor(1000 * a * n / (l * r)), in exact decimals, and the lowest score counts, of equal ones that of the
@@ -33,7 +34,9 @@ from . import common
 
 #: Breaks between pieces become line feeds, tabs spaces, capitals small.
 FOLDED = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b | 32 if 65 <= b <= 90 else b for b in range(256))
-#: Pairs or windows that a task sums before it hands them on.
+#: Bits of the hashes by which runs of words are counted, and the length of the longest of these runs.
+BITS, LEVELS = 44, 3
+#: Hashes that a task sums before it hands them on.
 HELD = 3_000_000
 PORTION = 2 << 20
 
@@ -62,29 +65,43 @@ class Words:
         self.words, self.codes, self.piece = words, codes[there], np.cumsum(breaks, dtype=np.int32)[there]
         kinds = langs.fill_null("und").dictionary_encode()
         self.langs, self.lang = kinds.dictionary, kinds.indices.to_numpy()[owner[there]]
+        self.known: dict[int, np.ndarray] = {}
         self.word_hash, self.lang_hash = (common.Spelling(x.cast(pa.string())).words() for x in (words, self.langs))
 
-    def leads(self, by: int) -> np.ndarray:
-        """Which words have so many further ones in their piece."""
-        n = max(0, len(self.piece) - by)
-        return np.append(self.piece[:n] == self.piece[len(self.piece) - n :], np.zeros(len(self.piece) - n, bool))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The places of words with a next one, and hashes of the two and their lang."""
-        at = np.flatnonzero(self.leads(1))
-        both = self.word_hash[self.codes[at]] * common.MIX + self.word_hash[self.codes[at + 1]]
-        return at, common.Spelling.settled(both * common.MIX + self.lang_hash[self.lang[at]])
-
-    def windows(self, longest: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, size: int, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places where so many words follow one another of which all shorter runs may be frequent, and hashes of the words and their lang."""
+        if size == 1:
+            at = np.arange(len(self.codes))
+        else:
+            there = self.may(size - 1, filters)
+            there = there & np.append(there[1:], False)
+            at = np.flatnonzero(there & np.append(self.piece[1:] == self.piece[:-1], False) if size == 2 else there)
+        found = self.lang_hash[self.lang[at]]
+        for k in range(size):
+            found = found * common.MIX + self.word_hash[self.codes[at + k]]
+        return at, common.Spelling.settled(found) >> np.uint64(64 - BITS)
+
+    def may(self, size: int, filters: list[np.ndarray]) -> np.ndarray:
+        """Where something frequent of this size may begin."""
+        if size not in self.known:
+            at, hashes = self.runs(size, filters)
+            cells = filters[size - 1]
+            self.known[size] = np.zeros(len(self.codes), bool)
+            self.known[size][at] = cells[(hashes >> np.uint64(6)) % np.uint64(len(cells))] >> (hashes & np.uint64(63)) & np.uint64(1) > 0
+        return self.known[size]
+
+    def windows(self, longest: int, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct padded windows as rows of lang and codes (-1 where padded), and how often each occurs."""
-        at, pairs = self.pairs()
-        n = len(self.codes)
-        on = np.zeros(n, bool)
-        on[at] = frequent[(pairs >> np.uint64(6)) % np.uint64(len(frequent))] >> (pairs & np.uint64(63)) & np.uint64(1) > 0
-        columns = [self.lang.astype(np.int64), self.codes.astype(np.int64)]
-        for k in range(1, longest):  # the next word's column one further on, where this word leads on to it
+        n, on = len(self.codes), self.may(1, filters)
+        columns = [self.lang.astype(np.int64), np.where(on, self.codes, -1).astype(np.int64)]
+        for k in range(1, longest):
+            size = min(k + 1, len(filters))  # the run of words that must be frequent for the window to go on to its k-th next word
+            further = np.zeros(n, bool)
+            further[: max(0, n - (k + 1 - size))] = self.may(size, filters)[k + 1 - size :]
+            on = on & further
             column = np.full(n, -1, np.int64)
-            column[: n - 1] = np.where(on[:-1], columns[-1][1:], -1) if n else 0
+            at = np.flatnonzero(on)
+            column[at] = self.codes[at + k]
             columns.append(column)
         wide, key = len(self.words) + 1, columns[0]
         for column in columns[1:]:  # numbers of the rows so far, and what follows
@@ -93,39 +110,59 @@ class Words:
         return np.stack([c[first] for c in columns], axis=1), many
 
 
-def pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of text and lang the hashes of neighbouring words, summed over portions."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def frequent(docs: DataFrame, size: int, least: int, filter_bits: int, filters: list[np.ndarray]) -> np.ndarray:
+    """A bitmap in which the runs of so many words that occur so often have their bits set."""
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    cells = filter_bits // 64
 
-    def summed() -> pa.RecordBatch:
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         codes, at = np.unique(np.concatenate([np.empty(0, np.uint64), *[c for c, _ in held]]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([np.empty(0, np.int64), *[n for _, n in held]]), len(codes)).astype(np.int64)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], ["pair", "n"])
+        return codes, np.bincount(at, np.concatenate([np.empty(0), *[n for _, n in held]]), len(codes)).astype(np.uint64)
 
-    for b in common.portions(batches, 0, PORTION):
-        held.append(np.unique(Words(b.column(0), b.column(1)).pairs()[1], return_counts=True))
-        if sum(len(c) for c, _ in held) > HELD:
-            yield summed()
-    yield summed()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's hashes in buckets by their first bits: the others, and how often each occurs."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def dealt() -> pa.RecordBatch:
+            codes, n = summed(held)
+            held.clear()
+            ends = np.searchsorted(codes >> np.uint64(32), np.arange((1 << BITS - 32) + 1, dtype=np.uint64))
+            of = np.flatnonzero(np.diff(ends))
+            cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends[of], ends[of + 1], strict=True)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(of), cut(codes.astype(np.uint32)), cut(n.astype(np.uint32))], ["bucket", "codes", "n"])
 
-def frequent_pairs(docs: DataFrame, least: int, filter_bits: int) -> np.ndarray:
-    """A bitmap in which the pairs that occur so often have their bits set."""
-    counted = docs.mapInArrow(common.trimmed(pair_counts), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    cells = filter_bits // 64
-    # the hash is unsigned: its upper 58 bits modulo the number of cells, and its lowest six
-    cell = F.pmod(F.shiftrightunsigned("pair", 6), F.lit(cells))
-    bits = counted.groupBy(cell.alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pair & 63 as int))")).alias("bits"))
-    found = bits.toArrow()  # one row for each cell at most
+        for b in common.portions(batches, 0, PORTION):
+            held.append(np.unique(Words(b.column(0), b.column(1)).runs(size, sent.value)[1], return_counts=True))
+            if sum(len(c) for c, _ in held) > HELD:
+                yield dealt()
+        yield dealt()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells and bits of what occurs often enough over all tasks."""
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for bucket, codes, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(bucket, []).append((np.frombuffer(codes, np.uint32).astype(np.uint64), np.frombuffer(n, np.uint32)))
+        often = [np.empty(0, np.uint64)]
+        for bucket in list(held):
+            codes, n = summed(held.pop(bucket))
+            often.append(codes[n >= least] + np.uint64(bucket << 32))
+        hashes = np.concatenate(often)
+        cell, at = np.unique((hashes >> np.uint64(6)) % np.uint64(cells), return_inverse=True)
+        bits = np.zeros(len(cell), np.uint64)
+        np.bitwise_or.at(bits, at, np.uint64(1) << (hashes & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(bits.view(np.int64))], ["cell", "bits"])
+
+    buckets = docs.mapInArrow(common.trimmed(count), "bucket long, codes binary, n binary").repartition("bucket")
+    found = buckets.mapInArrow(common.trimmed(gather), "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow()  # a row for each cell at most
     out = np.zeros(cells, np.uint64)
     out[found.column("cell").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def window_counts(docs: DataFrame, longest: int, frequent: np.ndarray) -> DataFrame:
+def window_counts(docs: DataFrame, longest: int, filters: list[np.ndarray]) -> DataFrame:
     """lang, w1 .. w<longest>, n: the padded windows, counted."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast(filters)
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +189,10 @@ def phrase_counts(windows: DataFrame, longest: int, least: int) -> DataFrame:
 def collocations(docs: DataFrame, longest: int = 5, least: int = 100, covered: int = 100, first: int = 2000, filter_bits: int = 1 << 25) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score."""
     docs = common.plain(docs, "text", "lang")
-    windows = window_counts(docs, longest, frequent_pairs(docs, least, filter_bits))
+    filters: list[np.ndarray] = []
+    for size in range(1, min(longest, LEVELS) + 1):
+        filters.append(frequent(docs, size, least, filter_bits, filters))
+    windows = window_counts(docs, longest, filters)
     counts = common.materialise(phrase_counts(windows, longest, least), "phrase-counts")
     phrases = counts.filter(F.size("words") > 1).withColumnRenamed("f", "a")
     part = counts.filter(F.size("words") > 0)

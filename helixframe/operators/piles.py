@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.interval import elliptically_close, within
-from .graphs import components
+from .graphs import components, consistent_edges, signed_components
 from .intervals import overlap_join, union
+from .ordered import running_total, written
 
 
 def images(pairs: DataFrame) -> DataFrame:
@@ -81,55 +81,122 @@ def deep_coverage(clusters: DataFrame, least: int = 2) -> DataFrame:
     return runs.groupBy("pile_id").agg(F.sum(F.col("next") - F.col("pos")).alias("covered"))
 
 
-def subpiles(found: DataFrame, share: float = 0.05, strictness: int = 0, overlap_share: float = 0.95, target: float = 0.95) -> DataFrame:
-    """Greedy clusters of a pile's images: pile_id, cluster, start, end, depth, accepted.
+def _reached(unique: DataFrame, share: float) -> DataFrame:
+    """pile_id, a_start, a_end, b_start, b_end: intervals a that come before b and whose ends b's are near enough to.
 
-    found: pile_id, p_start, p_end, i_start, i_end. Equal images are one row with a count first, so
-    a task holds the distinct intervals of a pile. The deepest interval absorbs those
-    whose ends are near its own; ties go by start, then end. Clusters are
+    Reaches are graded by powers of two, and starts meet in bins of the grade's width, so an interval's reach is two or three bins.
+    """
+    grade = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("reach") + 1.0))).cast("long")
+    a = unique.withColumn("reach", F.floor((F.col("i_end") - F.col("i_start")) * share)).withColumn("width", grade)
+    bins = F.sequence(F.floor((F.col("i_start") - F.col("reach")) / F.col("width")), F.floor((F.col("i_start") + F.col("reach")) / F.col("width")))
+    a = a.select("pile_id", "width", F.explode(bins).alias("bin"), "reach", F.col("n").alias("a_n"), F.col("i_start").alias("a_start"), F.col("i_end").alias("a_end"))
+    b = unique.join(a.select("pile_id", "width").distinct(), "pile_id").select("pile_id", "width", F.floor(F.col("i_start") / F.col("width")).alias("bin"), F.col("n").alias("b_n"), F.col("i_start").alias("b_start"), F.col("i_end").alias("b_end"))
+    near = (F.abs(F.col("a_start") - F.col("b_start")) <= F.col("reach")) & (F.abs(F.col("a_end") - F.col("b_end")) <= F.col("reach"))
+    before = F.struct(-F.col("a_n"), "a_start", "a_end") < F.struct(-F.col("b_n"), "b_start", "b_end")
+    return a.join(b, ["pile_id", "width", "bin"]).filter(near & before).select("pile_id", "a_n", "a_start", "a_end", "b_start", "b_end")
+
+
+def seeded(found: DataFrame, share: float, rounds: int = 1000) -> DataFrame:
+    """pile_id, i_start, i_end, n, s_start, s_end: the distinct intervals of piles, each with the seed that absorbs it.
+
+    The deepest interval left is a seed and absorbs those whose ends are near its own; ties go by start, then end. All piles
+    go on together, in rounds over the table of who reaches whom: an interval is a seed once none that comes before it and reaches it
+    is left, and those that a seed reaches are out. A round settles every interval whose turn doesn't wait for another's, so there
+    are as many as the longest chain of such waits.
+    """
+    unique = written(found.groupBy("pile_id", "i_start", "i_end").agg(F.count(F.lit(1)).alias("n")), "intervals")
+    reached = written(_reached(unique, share), "reached")
+    left, open_, seeds = unique.select("pile_id", F.col("i_start").alias("s_start"), F.col("i_end").alias("s_end")), reached, None
+    one = lambda df, side: df.select("pile_id", F.col(f"{side}_start").alias("s_start"), F.col(f"{side}_end").alias("s_end"))
+    key = ["pile_id", "s_start", "s_end"]
+    for _ in range(rounds):
+        fresh = written(left.join(one(open_, "b"), key, "left_anti"), "seeds")
+        seeds = fresh if seeds is None else seeds.unionByName(fresh)
+        lost = written(open_.join(fresh.toDF("pile_id", "a_start", "a_end"), ["pile_id", "a_start", "a_end"], "left_semi").select("pile_id", "b_start", "b_end").distinct().toDF(*key), "absorbed")
+        gone = fresh.unionByName(lost)
+        left = written(left.join(gone, key, "left_anti"), "left")
+        if left.isEmpty():
+            break
+        for side in ("a", "b"):
+            open_ = open_.join(gone.toDF("pile_id", f"{side}_start", f"{side}_end"), ["pile_id", f"{side}_start", f"{side}_end"], "left_anti")
+        open_ = written(open_, "open")
+    else:
+        raise RuntimeError(f"seeds did not settle in {rounds} rounds")
+    first = F.min(F.struct(-F.col("a_n"), "a_start", "a_end")).alias("s")
+    taken = reached.join(seeds.toDF("pile_id", "a_start", "a_end"), ["pile_id", "a_start", "a_end"]).groupBy("pile_id", F.col("b_start").alias("i_start"), F.col("b_end").alias("i_end")).agg(first)
+    at = lambda c, own: F.coalesce(F.col(f"s.{c}"), F.col(own))
+    return unique.join(taken, ["pile_id", "i_start", "i_end"], "left").select("pile_id", "i_start", "i_end", "n", at("a_start", "i_start").alias("s_start"), at("a_end", "i_end").alias("s_end"))
+
+
+def subpiles(found: DataFrame, share: float = 0.05, strictness: int = 0, overlap_tolerance: float = 0.95, target: float = 0.95, members: DataFrame | None = None) -> DataFrame:
+    """Clusters of a pile's images: pile_id, cluster, start, end, depth, accepted, s_start, s_end (their seed).
+
+    found: pile_id, p_start, p_end, i_start, i_end; members: ``seeded`` of it, if there already. Clusters are
     accepted, deepest first, until places under two or more accepted images make the target share of the pile. Strictness 1
-    drops one that strictly holds an accepted one and that one too, 2 one that overlaps an accepted one by at least overlap_share
-    of the shorter and that one too; they go on counting as cover, and as what later ones are held against.
+    drops one that strictly holds an accepted one and that one too, 2 one whose overlap with an accepted one is within the tolerance
+    of the shorter's length (0.95: at least a twentieth of it) and that one too; they go on counting as cover, and as what later ones are held against.
+    A task accepts among the clusters of a pile, which no longer hold images.
     """
-    unique = found.groupBy("pile_id", "p_start", "p_end", "i_start", "i_end").agg(F.count(F.lit(1)).alias("n"))
-
-    def cluster(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        left = b.sort_values(["n", "i_start", "i_end"], ascending=[False, True, True])
-        made = []
-        while len(left):
-            s, e = int(left["i_start"].iloc[0]), int(left["i_end"].iloc[0])
-            reach = int(share * (e - s))
-            near = ((left["i_start"] - s).abs() <= reach) & ((left["i_end"] - e).abs() <= reach)
-            own = left[near]
-            made.append((int(own["i_start"].min()), int(own["i_end"].max()), int(own["n"].sum())))
-            left = left[~near]
-        made.sort(key=lambda c: (-c[2], c[0], c[1]))
-        held: list[int] = []  # clusters that later ones are held against
-        taken: list[int] = []  # clusters that cover
-        dropped: set[int] = set()
-        size = int(b["p_end"].iloc[0] - b["p_start"].iloc[0])
-        for i, (s, e, _) in enumerate(made):
-            bad = []
-            for j in held:
-                a, z = made[j][:2]
-                if strictness == 1 and s <= a and z <= e and (s, e) != (a, z) or strictness == 2 and max(0, min(e, z) - max(s, a)) >= overlap_share * min(e - s, z - a):
-                    bad.append(j)
-            if bad:
-                dropped |= {i, *bad}
+    members = seeded(found, share) if members is None else members
+    made = members.groupBy("pile_id", "s_start", "s_end").agg(F.min("i_start").alias("start"), F.max("i_end").alias("end"), F.sum("n").alias("depth"))
+    sizes = found.groupBy("pile_id").agg(F.max(F.col("p_end") - F.col("p_start")).alias("size"))
+
+    def accept(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["depth", "start", "end", "s_start", "s_end"], ascending=[False, True, True, True, True])
+        s, e, depth = (b[c].to_numpy() for c in ("start", "end", "depth"))
+        held = np.zeros(len(b), bool)  # clusters that later ones are held against, and that cover
+        dropped = np.zeros(len(b), bool)
+        for i in range(len(b)):
+            both = np.minimum(e, e[i]) - np.maximum(s, s[i])
+            if strictness == 1:
+                bad = held & (s[i] <= s) & (e <= e[i]) & ((s != s[i]) | (e != e[i]))
+            elif strictness == 2:
+                bad = held & (both > 0) & (both >= (1 - overlap_tolerance) * np.minimum(e - s, e[i] - s[i]))
+            else:
+                bad = np.zeros(len(b), bool)
+            if bad.any():
+                dropped |= bad
+                dropped[i] = True
                 continue
-            held.append(i)
-            taken.append(i)
-            ends = sorted([(made[j][0], made[j][2]) for j in taken] + [(made[j][1], -made[j][2]) for j in taken])
-            covered = deep = 0
-            for (pos, d), (after, _) in zip(ends, ends[1:] + ends[-1:], strict=True):
-                deep += d
-                covered += (after - pos) * (deep > 1)
-            if covered >= target * size:
+            held[i] = True
+            at = np.concatenate([s[held], e[held]])
+            order = np.argsort(at, kind="stable")
+            deep = np.cumsum(np.concatenate([depth[held], -depth[held]])[order])[:-1]
+            if np.diff(at[order])[deep > 1].sum() >= target * b["size"].iloc[0]:
                 break
-        rows = [(key[0], i, s, e, n, i in taken and i not in dropped) for i, (s, e, n) in enumerate(made)]
-        return pd.DataFrame(rows, columns=["pile_id", "cluster", "start", "end", "depth", "accepted"])
+        return b.assign(cluster=np.arange(len(b), dtype=np.int32), accepted=held & ~dropped)[["pile_id", "cluster", "start", "end", "depth", "accepted", "s_start", "s_end"]]
 
-    return unique.groupBy("pile_id").applyInPandas(cluster, "pile_id string, cluster int, start long, end long, depth long, accepted boolean")
+    return made.join(sizes, "pile_id").groupBy("pile_id").applyInPandas(accept, "pile_id string, cluster int, start long, end long, depth long, accepted boolean, s_start long, s_end long")
+
+
+def subpile_twists(over: DataFrame, members: DataFrame, clusters: DataFrame, pile_diff: float = 0.05, image_diff: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """The twist graph of accepted sub-piles: nodes (node, contig, start, end, kind) and edges (src < dst, twist).
+
+    over: placed images with pile_id, contig, p_start, p_end; members and clusters: ``seeded`` and ``subpiles`` of them. A sub-pile's image links it to the
+    pile in which the pair's other image lies, if the two piles' lengths are within pile_diff and each image's within image_diff of its
+    pile's; never to itself or to a pile at the same place. Nodes at the same place are joined by an edge of twist 1.
+    """
+    kept = clusters.filter("accepted").select("pile_id", "s_start", "s_end", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    own = over.join(members.select("pile_id", "i_start", "i_end", "s_start", "s_end"), ["pile_id", "i_start", "i_end"]).join(kept, ["pile_id", "s_start", "s_end"])
+    a = own.select("pair_id", "side", "strand", F.col("contig").alias("a_contig"), F.col("c_start").alias("a_from"), F.col("c_end").alias("a_to"), (F.col("c_end") - F.col("c_start")).alias("a_plen"), (F.col("i_end") - F.col("i_start")).alias("a_ilen"))
+    b = over.select("pair_id", (1 - F.col("side")).alias("side"), F.col("contig").alias("b_contig"), F.col("p_start").alias("b_from"), F.col("p_end").alias("b_to"), (F.col("p_end") - F.col("p_start")).alias("b_plen"), (F.col("i_end") - F.col("i_start")).alias("b_ilen"))
+    met = written(a.join(b, ["pair_id", "side"]).filter(_alike(pile_diff, image_diff)), "sub-twists")
+    place = lambda s, kind: met.select(F.col(f"{s}_contig").cast("string").alias("contig"), F.col(f"{s}_from").alias("start"), F.col(f"{s}_to").alias("end"), F.lit(kind).alias("kind"))
+    found = place("a", "sub").unionByName(place("b", "pile")).distinct().withColumn("_one", F.lit(1))
+    nodes = written(running_total(found, "_one", "contig", "start", "end", "kind", name="node").drop("_one"), "nodes")
+    name = lambda s, kind: nodes.filter(F.col("kind") == kind).select(F.col("contig").alias(f"{s}_contig"), F.col("start").alias(f"{s}_from"), F.col("end").alias(f"{s}_to"), F.col("node").alias(f"{s}_node"))
+    apart = (F.col("a_contig") != F.col("b_contig")) | (F.col("a_from") != F.col("b_from")) | (F.col("a_to") != F.col("b_to"))
+    joined = met.withColumns({"a_contig": F.col("a_contig").cast("string"), "b_contig": F.col("b_contig").cast("string")}).filter(apart)
+    joined = joined.join(name("a", "sub"), ["a_contig", "a_from", "a_to"]).join(name("b", "pile"), ["b_contig", "b_from", "b_to"])
+    twisted = joined.select(F.least("a_node", "b_node").alias("src"), F.greatest("a_node", "b_node").alias("dst"), F.col("strand").alias("twist"))
+    same = nodes.groupBy("contig", "start", "end").agg(F.min("node").alias("src"), F.max("node").alias("dst")).filter("src < dst").select("src", "dst", F.lit(1).alias("twist"))
+    return nodes, twisted.unionByName(same)
+
+
+def twist_families(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """family_id, contig, start, end, strand: places of the components whose twists agree, relative to the family's first node."""
+    found = signed_components(consistent_edges(edges))
+    return found.join(nodes, "node").select(F.col("component").alias("family_id"), "contig", "start", "end", "strand").distinct()
 
 
 def landscape(found: DataFrame, levels: int | None = None) -> DataFrame:
@@ -225,57 +292,3 @@ def merged_families(members: DataFrame, edges: DataFrame) -> DataFrame:
     found = components(edges.select(F.col("fam_a").alias("src"), F.col("fam_b").alias("dst")))
     joined = members.join(found.select(F.col("node").alias("family_id"), "component"), "family_id")
     return joined.select("component", "contig", "start", "end").distinct()
-
-
-def seeds(targets: DataFrame, queries: DataFrame, k: int, tube: int, least: int, most_hits: int) -> DataFrame:
-    """Seed filter of local alignment: pairs, diagonal tubes and how many k-mers of both lie in them.
-
-    targets, queries: id, pos, kmer. All places of a k-mer meet each other, as in the q-gram filter for repeats
-    (Rasmussen et al. 2006), while there are at most most_hits of them among the targets. The places of a more frequent
-    one meet its first place only, so a class of n costs n rows, not n squared: its members are all
-    paired with the sequence of the first, and through it with each other.
-    """
-    places = targets.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("first"))
-    usual = targets.join(places.filter(F.col("n") <= most_hits).select("kmer"), "kmer", "left_semi").select("kmer", F.col("id").alias("t_id"), F.col("pos").alias("t_pos"))
-    firsts = places.filter(F.col("n") > most_hits).select("kmer", F.col("first.id").alias("t_id"), F.col("first.pos").alias("t_pos"))
-    met = usual.unionByName(firsts).join(queries.select("kmer", F.col("id").alias("q_id"), F.col("pos").alias("q_pos")), "kmer").filter("t_id < q_id or t_id = q_id and t_pos < q_pos")
-    tubes = met.withColumn("tube", F.floor((F.col("t_pos") - F.col("q_pos")) / F.lit(tube)))
-    return tubes.groupBy("t_id", "q_id", "tube").agg(F.count_distinct("q_pos").alias("n_seeds"), F.min("t_pos").alias("t_start"), F.max("t_pos").alias("t_last"), F.min("q_pos").alias("q_start"), F.max("q_pos").alias("q_last")).filter(F.col("n_seeds") >= least)
-
-
-def local_alignments(hits: DataFrame, seqs: DataFrame, k: int, band: int, least_length: int, least_identity: float) -> DataFrame:
-    """Banded local alignments of seed hits: match 1, mismatch -1, gap -2. Each row is aligned by itself.
-
-    seqs: id, seq. Returns t_id, q_id, t_start, t_end, q_start, q_end, score, identity.
-    """
-    a = hits.join(seqs.select(F.col("id").alias("t_id"), F.col("seq").alias("t_seq")), "t_id").join(seqs.select(F.col("id").alias("q_id"), F.col("seq").alias("q_seq")), "q_id")
-    cut = a.select("t_id", "q_id", "t_start", "q_start", F.substring("t_seq", F.col("t_start") + 1, F.col("t_last") - F.col("t_start") + k).alias("t_part"), F.substring("q_seq", F.col("q_start") + 1, F.col("q_last") - F.col("q_start") + k).alias("q_part"))
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                t, q = r.t_part, r.q_part
-                best, row = (0, 0, 0, 0, 0, 0, 0), {}
-                for i in range(len(t)):
-                    fresh = {}
-                    centre = i * len(q) // max(1, len(t))
-                    for j in range(max(0, centre - band), min(len(q), centre + band + 1)):
-                        same = t[i] == q[j]
-                        diagonal = row.get(j - 1, (0, i, j, 0, 0))
-                        options = [(0, i + 1, j + 1, 0, 0), (diagonal[0] + (1 if same else -1), diagonal[1], diagonal[2], diagonal[3] + same, diagonal[4] + 1)]
-                        for gap in (row.get(j), fresh.get(j - 1)):
-                            if gap:
-                                options.append((gap[0] - 2, gap[1], gap[2], gap[3], gap[4] + 1))
-                        fresh[j] = cell = max(options)
-                        if cell[0] > best[0]:
-                            best = (cell[0], cell[1], i + 1, cell[2], j + 1, cell[3], cell[4])
-                    row = fresh
-                score, ts, te, qs, qe, same, columns = best
-                if columns >= least_length and same >= least_identity * columns:
-                    out.append((r.t_id, r.q_id, r.t_start + ts, r.t_start + te, r.q_start + qs, r.q_start + qe, score, same / columns))
-            yield pd.DataFrame(out, columns=["t_id", "q_id", "t_start", "t_end", "q_start", "q_end", "score", "identity"])
-
-    return cut.mapInPandas(align, "t_id long, q_id long, t_start long, t_end long, q_start long, q_end long, score long, identity double")
-
-

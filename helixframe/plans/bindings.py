@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 BASES = ("ACGT" * 7)[:26]
@@ -59,6 +60,16 @@ def part_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "l_orderkey").filter("src < dst").select("src", "dst").distinct()
 
 
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part and the next one of its brand as an alignment pair; contigs are a brand's types, which have a sign; parts of size 50 turn theirs."""
+    sign = F.lit(1) - 2 * (F.length("p_type") % 2)
+    own = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", F.concat_ws("/", "p_brand", "p_type").alias("a_contig"), F.col("p_partkey").alias("a_start"), (F.col("p_partkey") + F.col("p_size") + 1).alias("a_end"), sign.alias("sign"))
+    after = Window.partitionBy("p_brand").orderBy("p_partkey")
+    pairs = own.withColumns({n: F.lead(c).over(after) for n, c in (("b_contig", "a_contig"), ("b_start", "a_start"), ("b_end", "a_end"), ("b_sign", "sign"))}).filter("b_start is not null")
+    strand = F.col("sign") * F.col("b_sign") * F.when(F.col("p_size") == 50, -1).otherwise(1)
+    return pairs.select(F.col("p_partkey").alias("pair_id"), "a_contig", "a_start", "a_end", "b_contig", "b_start", "b_end", strand.alias("strand"))
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations by customer segments: summed order totals in whole units."""
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")

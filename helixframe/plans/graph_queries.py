@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, kmers, matrix, piles
+from ..operators import alignments, graphs, matrix, ordered, piles
 from ..sources import formats
-from .bindings import DNA, EDGES, FAMILIES, MATRIX, SPANS, SUPPLIERS, dna, edges, families, part_graph, spans, supplier_graph, table
+from .bindings import DNA, EDGES, FAMILIES, MATRIX, SPANS, SUPPLIERS, dna, edges, families, part_graph, part_pairs, spans, supplier_graph, table
 from .bindings import matrix as matrix_view
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -34,16 +34,16 @@ def graph_components(spark, sf_dir):
     return graphs.components(edges(spark, sf_dir).select("src", "dst"))
 
 
-def _doubled(twisted: str) -> str:
+def _doubled(twisted: str, rounds: int = 12) -> str:
     """SQL of the doubled graph: an even number is a node's plus side, an odd one its minus side."""
     return f"""doubled AS (SELECT src * 2 AS src, dst * 2 + CASE twist WHEN 1 THEN 0 ELSE 1 END AS dst FROM {twisted} UNION SELECT src * 2 + 1, dst * 2 + CASE twist WHEN 1 THEN 1 ELSE 0 END FROM {twisted}),
-{LABELS.format(edges='doubled', rounds=12)},
+{LABELS.format(edges='doubled', rounds=rounds)},
 side AS (SELECT node // 2 AS node, node % 2 AS own, component // 2 AS component, component % 2 AS mark FROM label),
-plus AS (SELECT node, component, count(*) AS n, min(own) AS own FROM side WHERE mark = 0 GROUP BY 1, 2)
-SELECT node, component, CASE own WHEN 0 THEN 1 ELSE -1 END AS strand FROM plus WHERE component NOT IN (SELECT component FROM plus WHERE n > 1)"""
+plus AS (SELECT node, component, count(*) AS n, min(own) AS own FROM side WHERE mark = 0 GROUP BY 1, 2),
+signed AS (SELECT node, component, CASE own WHEN 0 THEN 1 ELSE -1 END AS strand FROM plus WHERE component NOT IN (SELECT component FROM plus WHERE n > 1))"""
 
 
-@query(f"WITH RECURSIVE {EDGES}, twisted AS (SELECT DISTINCT src + 1000000 AS src, dst + 2000000 AS dst, twist FROM edges), {_doubled('twisted')}")
+@query(f"WITH RECURSIVE {EDGES}, twisted AS (SELECT DISTINCT src + 1000000 AS src, dst + 2000000 AS dst, twist FROM edges), {_doubled('twisted')} SELECT * FROM signed")
 def graph_signed_components(spark, sf_dir):
     return graphs.signed_components(edges(spark, sf_dir).select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
 
@@ -52,7 +52,7 @@ def graph_signed_components(spark, sf_dir):
 WITH RECURSIVE twisted AS (SELECT CAST(r_regionkey AS BIGINT) AS src, CAST(100 + n_nationkey AS BIGINT) AS dst, 1 AS twist FROM region JOIN nation ON n_regionkey = r_regionkey
   UNION ALL SELECT 100 + c_nationkey, 10000000 + c_custkey, CASE WHEN c_acctbal < 0 THEN -1 ELSE 1 END FROM customer
   UNION ALL SELECT 100 + s_nationkey, 1000 + s_suppkey, CASE WHEN s_acctbal < 0 THEN -1 ELSE 1 END FROM supplier
-  UNION ALL SELECT n_regionkey, 1000 + s_suppkey, 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < -800 OR s_acctbal > 5000), {_doubled('twisted')}""")
+  UNION ALL SELECT n_regionkey, 1000 + s_suppkey, 1 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < -800 OR s_acctbal > 5000), {_doubled('twisted')} SELECT * FROM signed""")
 def graph_signed_regions(spark, sf_dir):
     """Regions, nations, customers and suppliers, whose signs are those of their accounts; a supplier far in debt contradicts its region."""
     t = lambda name: table(spark, sf_dir, name)
@@ -130,12 +130,13 @@ def _pairs(spark, sf_dir):
     return met.select((F.col("a_id") * 8 + F.col("b_line")).alias("pair_id"), "a_contig", "a_start", "a_end", "b_contig", "b_start", "b_end", F.when(F.col("a_strand") == F.col("b_strand"), 1).otherwise(-1).alias("strand"))
 
 
+PILES_OF_PAIRS = """images AS (SELECT pair_id, 0 AS side, ac AS contig, a_s AS start, ae AS stop, strand FROM pairs UNION ALL SELECT pair_id, 1, bc, b_s, be, strand FROM pairs),
+i AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, pair_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM images),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, stop, pair_id, side ROWS UNBOUNDED PRECEDING) AS run FROM i),
+piles AS (SELECT contig, run, contig || ':' || min(start) AS pile_id, min(start) AS start, max(stop) AS stop, count(*) AS n FROM g GROUP BY 1, 2)"""
 PILES = f"""{SPANS},
 pairs AS (SELECT a.id * 8 + b.line AS pair_id, a.contig AS ac, a.start AS a_s, a."end" AS ae, b.contig AS bc, b.start AS b_s, b."end" AS be, CASE WHEN a.strand = b.strand THEN 1 ELSE -1 END AS strand FROM spans a JOIN spans b ON a."order" = b."order" AND a.id < b.id WHERE a."end" > a.start AND b."end" > b.start),
-images AS (SELECT pair_id, 0 AS side, ac AS contig, a_s AS start, ae AS stop, strand FROM pairs UNION ALL SELECT pair_id, 1, bc, b_s, be, strand FROM pairs),
-i AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM images),
-g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM i),
-piles AS (SELECT contig, run, contig || ':' || min(start) AS pile_id, min(start) AS start, max(stop) AS stop, count(*) AS n FROM g GROUP BY 1, 2)"""
+{PILES_OF_PAIRS}"""
 
 
 @query(f'WITH {PILES} SELECT pile_id, contig, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", CAST(n AS BIGINT) AS n_images FROM piles')
@@ -169,9 +170,63 @@ def _small_piles(spark, sf_dir):
     return f.join(ends, "pile_id")
 
 
+def _seeds_sql(share: float, rounds: int) -> str:
+    """SQL of seeds and members of the intervals u (pile_id, s, e, n, key): each round settles what waits for nothing."""
+    reach = f"floor((a.e - a.s) * {share}::DOUBLE)"
+    steps = [
+        f"x AS MATERIALIZED (SELECT a.key AS a, b.key AS b, a.n AS a_n, a.s AS a_s, a.e AS a_e FROM u a JOIN u b USING (pile_id) WHERE abs(a.s - b.s) <= {reach} AND abs(a.e - b.e) <= {reach} AND (-a.n, a.s, a.e) < (-b.n, b.s, b.e))",
+        "lost0 AS (SELECT '' AS key WHERE FALSE)",
+    ]
+    for i in range(rounds):
+        steps.append(f"seed{i + 1} AS MATERIALIZED (SELECT key FROM u WHERE key NOT IN (SELECT b FROM x WHERE a NOT IN (SELECT key FROM lost{i})) AND key NOT IN (SELECT key FROM lost{i}))")
+        steps.append(f"lost{i + 1} AS MATERIALIZED (SELECT DISTINCT b AS key FROM x WHERE a IN (SELECT key FROM seed{i + 1}))")
+    steps.append(f"taken AS (SELECT b AS key, arg_min(a, (-a_n, a_s, a_e)) AS seed FROM x WHERE a IN (SELECT key FROM seed{rounds}) GROUP BY b)")
+    steps.append("members AS (SELECT u.*, coalesce(seed, key) AS seed FROM u LEFT JOIN taken USING (key))")
+    steps.append('clusters AS (SELECT pile_id, seed, min(s) AS c_s, max(e) AS c_e, CAST(sum(n) AS BIGINT) AS depth FROM members GROUP BY 1, 2)')
+    return ", ".join(steps)
+
+
+@query(f"""
+WITH f AS (SELECT CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) || '/' || p_type AS pile_id, p_partkey AS s, p_partkey + p_size + 1 AS e FROM part),
+u AS (SELECT pile_id, s, e, count(*) AS n, concat_ws(':', pile_id, s, e) AS key FROM f GROUP BY 1, 2, 3), {_seeds_sql(0.5, 8)}
+SELECT pile_id, c_s AS start, c_e AS "end", depth FROM clusters""")
+def pile_seed_clusters(spark, sf_dir):
+    members = piles.seeded(_small_piles(spark, sf_dir), share=0.5)
+    made = members.groupBy("pile_id", "s_start", "s_end").agg(F.min("i_start").alias("start"), F.max("i_end").alias("end"), F.sum("n").alias("depth"))
+    return made.select("pile_id", "start", "end", "depth")
+
+
 @query()
 def pile_subclusters(spark, sf_dir):
-    return piles.subpiles(_small_piles(spark, sf_dir), share=0.5, strictness=2)
+    return piles.subpiles(_small_piles(spark, sf_dir), share=0.5, strictness=2).drop("s_start", "s_end")
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand AS brand, p_brand || '/' || p_type AS contig, p_partkey AS s, p_partkey + p_size + 1 AS e, 1 - 2 * (length(p_type) % 2) AS sign, p_size FROM part),
+n AS (SELECT *, lead(contig) OVER w AS contig2, lead(s) OVER w AS s2, lead(e) OVER w AS e2, lead(sign) OVER w AS sign2 FROM p WINDOW w AS (PARTITION BY brand ORDER BY k)),
+pairs AS (SELECT k AS pair_id, contig AS ac, s AS a_s, e AS ae, contig2 AS bc, s2 AS b_s, e2 AS be, sign * sign2 * CASE p_size WHEN 50 THEN -1 ELSE 1 END AS strand FROM n WHERE s2 IS NOT NULL),
+{PILES_OF_PAIRS},
+o AS (SELECT pair_id, side, g.strand, pile_id, contig, piles.start AS p_s, piles.stop AS p_e, g.start AS s, g.stop AS e FROM g JOIN piles USING (contig, run)),
+u AS (SELECT pile_id, s, e, count(*) AS n, concat_ws(':', pile_id, s, e) AS key FROM o GROUP BY 1, 2, 3), {_seeds_sql(0.3, 8)},
+own AS (SELECT o.*, c_s, c_e FROM o JOIN members m ON m.pile_id = o.pile_id AND m.s = o.s AND m.e = o.e JOIN clusters c ON c.pile_id = m.pile_id AND c.seed = m.seed),
+met AS (SELECT a.contig AS ac, a.c_s AS a_s, a.c_e AS a_e, b.contig AS bc, b.p_s AS b_s, b.p_e AS b_e, a.strand FROM own a JOIN o b ON a.pair_id = b.pair_id AND b.side = 1 - a.side
+  WHERE least(a.c_e - a.c_s, b.p_e - b.p_s) >= greatest(a.c_e - a.c_s, b.p_e - b.p_s) * (1 - 0.8::DOUBLE) AND a.e - a.s >= (a.c_e - a.c_s) * (1 - 0.8::DOUBLE) AND b.e - b.s >= (b.p_e - b.p_s) * (1 - 0.8::DOUBLE)),
+nodes AS (SELECT *, row_number() OVER (ORDER BY contig, s, e, kind) - 1 AS node FROM (SELECT ac AS contig, a_s AS s, a_e AS e, 'sub' AS kind FROM met UNION SELECT bc, b_s, b_e, 'pile' FROM met)),
+seen AS (SELECT least(x.node, y.node) AS src, greatest(x.node, y.node) AS dst, strand AS twist FROM met JOIN nodes x ON x.kind = 'sub' AND x.contig = ac AND x.s = a_s AND x.e = a_e JOIN nodes y ON y.kind = 'pile' AND y.contig = bc AND y.s = b_s AND y.e = b_e
+  WHERE ac <> bc OR a_s <> b_s OR a_e <> b_e UNION ALL SELECT min(node), max(node), 1 FROM nodes GROUP BY contig, s, e HAVING min(node) < max(node)),
+kinds AS (SELECT src, dst, count(DISTINCT twist) AS kinds, max(twist) AS twist FROM seen GROUP BY 1, 2),
+poison AS (SELECT n FROM (SELECT src AS n FROM kinds WHERE kinds > 1 UNION ALL SELECT dst FROM kinds WHERE kinds > 1) GROUP BY n HAVING count(*) > 1),
+twisted AS (SELECT src, dst, twist FROM kinds WHERE kinds = 1 AND src NOT IN (SELECT n FROM poison) AND dst NOT IN (SELECT n FROM poison)),
+{_doubled('twisted', 250)}
+SELECT DISTINCT component AS family_id, contig, s AS start, e AS "end", strand FROM signed JOIN nodes USING (node)""")
+def pile_families(spark, sf_dir):
+    """From pairs to families in one go: images, piles, sub-piles, twists, components with strands."""
+    p = part_pairs(spark, sf_dir)
+    found = piles.images(p)
+    over = ordered.written(piles.placed(found, piles.piles(found), width=256), "placed")
+    members = ordered.written(piles.seeded(over, share=0.3), "members")
+    nodes, edges = piles.subpile_twists(over, members, piles.subpiles(over, target=2.0, members=members), pile_diff=0.8, image_diff=0.8)
+    return piles.twist_families(nodes, edges)
 
 
 @query("""
@@ -226,13 +281,26 @@ def matrix_factors(spark, sf_dir):
     return matrix.pattern_weights(w, "i")
 
 
-@query(f"""
-WITH {DNA}, k AS (SELECT id, i AS pos, substring(seq, i + 1, 16) AS kmer FROM (SELECT id, seq, unnest(range(length(seq) - 15)) AS i FROM dna WHERE length(seq) >= 16)),
-p AS (SELECT kmer, count(*) AS n, min(id * 1000000000 + pos) AS first FROM k GROUP BY 1),
-t AS (SELECT kmer, id AS t_id, pos AS t_pos FROM k JOIN p USING (kmer) WHERE n <= 8 UNION ALL SELECT kmer, first // 1000000000, first % 1000000000 FROM p WHERE n > 8),
-m AS (SELECT t_id, t_pos, q.id AS q_id, q.pos AS q_pos FROM t JOIN k q USING (kmer) WHERE t_id < q.id OR t_id = q.id AND t_pos < q.pos)
-SELECT t_id, q_id, CAST(floor((t_pos - q_pos) / 64.0) AS BIGINT) AS tube, count(DISTINCT q_pos) AS n_seeds, CAST(min(t_pos) AS INTEGER) AS t_start, CAST(max(t_pos) AS INTEGER) AS t_last, CAST(min(q_pos) AS INTEGER) AS q_start, CAST(max(q_pos) AS INTEGER) AS q_last
-FROM m GROUP BY 1, 2, 3 HAVING count(DISTINCT q_pos) >= 24""")
+@query()
 def alignment_seeds(spark, sf_dir):
-    found = kmers.occurrences(dna(spark, sf_dir), 16)
-    return piles.seeds(found, found, k=16, tube=64, least=24, most_hits=8)
+    return alignments.hits(dna(spark, sf_dir).select("id", "seq"), k=16, least=24)
+
+
+@query(f"""
+WITH RECURSIVE {DNA}, sides AS (SELECT id, 1 AS strand, seq FROM dna UNION ALL SELECT id, -1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM dna),
+k AS (SELECT id, strand, i AS pos, CASE strand WHEN 1 THEN i ELSE length(seq) - 16 - i END AS fwd, substring(seq, i + 1, 16) AS kmer FROM (SELECT id, strand, seq, unnest(range(length(seq) - 15)) AS i FROM sides WHERE length(seq) >= 16)),
+m AS (SELECT t.id AS t_id, q.id AS q_id, q.strand, CAST(floor((t.pos - q.pos) / 32.0) AS BIGINT) AS cell, q.pos AS q_pos FROM k t JOIN k q USING (kmer) WHERE t.strand = 1 AND t.id < q.id),
+near AS (SELECT DISTINCT t_id AS src, q_id AS dst FROM (
+  SELECT t_id, q_id, strand, cell - b AS band FROM m, (VALUES (0), (1)) AS v(b) GROUP BY ALL HAVING count(DISTINCT q_pos) >= 24)),
+{LABELS.format(edges='near', rounds=12)}
+SELECT node, component FROM label""")
+def alignment_links(spark, sf_dir):
+    """Records that local alignment links, directly or through others, under the smallest of their ids."""
+    found = alignments.hits(dna(spark, sf_dir).select("id", "seq"), k=16, least=24, reach=None).filter("t_id <> q_id")
+    return graphs.components(found.select(F.col("t_id").alias("src"), F.col("q_id").alias("dst")))
+
+
+@query()
+def alignment_hits(spark, sf_dir):
+    seqs = dna(spark, sf_dir).select("id", "seq")
+    return alignments.local_alignments(alignments.hits(seqs, k=16, least=24), seqs, k=16)

@@ -19,6 +19,7 @@ from ..functions.sequence import wrapped
 from ..operators.annotation import parsed_repeat
 from ..operators import tiles
 from ..operators.ordered import running_total, running_totals
+from .files import write_files
 
 
 def lines(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -90,10 +91,10 @@ def fasta_text(seqs: DataFrame, width: int = 60, id_: str = "id", descr: str | N
     return seqs.select(F.when(F.length(seq) > 0, F.concat_ws("\n", head, wrapped(seq, width))).otherwise(head).alias("value"))
 
 
-def write_bundles(seqs: DataFrame, path: str, key: str = "bundle") -> None:
-    """One folder of FASTA text for each bundle, family or other key."""
-    keyed = seqs.select(key, F.concat_ws("\n", F.concat(F.lit(">"), F.col("id").cast("string")), wrapped("seq", 60)).alias("value"))
-    keyed.write.partitionBy(key).text(path)
+def write_bundles(seqs: DataFrame, folder: str, name: str, key: str = "bundle", order: str = "id") -> None:
+    """A FASTA file ``<name>-<key>.fa`` for each bundle, family or other key, with its records in an order."""
+    text = F.concat_ws("\n", F.concat(F.lit(">"), F.col("id").cast("string")), F.when(F.length("seq") > 0, wrapped("seq", 60)), F.lit(""))
+    write_files(seqs.select(F.concat(F.lit(f"{name}-"), F.col(key).cast("string"), F.lit(".fa")).alias("file"), F.col(order).alias("_order"), text.alias("content")), folder, "_order")
 
 
 def attributes(text: Column) -> Column:
@@ -231,15 +232,22 @@ def parse_trapezoids(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, *[number(n).alias(c) for n, c in enumerate(TRAPEZOID)])
 
 
-def write_trapezoids(traps: DataFrame, path: str) -> None:
-    """Gzip files of packed rows in two folders, for alignments on the same strand and on the other one. traps has strand as well."""
-    side = F.when(F.col("strand") == -1, "rev").otherwise("fwd")
+def write_trapezoids(traps: DataFrame, folder: str, name: str) -> None:
+    """``<name>-fwd.traps.le.gz`` and ``<name>-rev.traps.le.gz``: packed rows of alignments on the same strand and on the other one. traps has strand as well.
+
+    Tasks compress their rows; a gzip file may be made of several.
+    """
+    side = F.concat(F.lit(f"{name}-"), F.when(F.col("strand") == -1, "rev").otherwise("fwd"), F.lit(".traps.le.gz"))
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, own in b.groupby("side"):
-                data = gzip.compress(b"".join(map(bytes, own["value"])), mtime=0)
-                yield pd.DataFrame({"side": [name], "content": [data]})  # gzip files may be joined
+            for file, own in b.groupby("file"):
+                yield pd.DataFrame({"file": [file], "at": [own["at"].iloc[0]], "content": [gzip.compress(b"".join(map(bytes, own["value"])), mtime=0)]})
+
+    packed = trapezoid_bytes(traps.withColumns({"file": side, "at": F.monotonically_increasing_id()}), "file", "at").mapInPandas(save, "file string, at long, content binary")
+    write_files(packed, folder, "at")
+
 
-    packed = trapezoid_bytes(traps.withColumn("side", side), "side").mapInPandas(save, "side string, content binary")
-    packed.select("side", F.base64("content").alias("content")).write.partitionBy("side").text(path)
+def write_images(pictures: DataFrame, folder: str, key: str = "id") -> None:
+    """A file ``<key>.png`` for each of ``images``."""
+    write_files(pictures.select(F.concat(F.col(key).cast("string"), F.lit(".png")).alias("file"), F.col("png").alias("content")), folder)

@@ -10,7 +10,7 @@ from urllib.parse import parse_qs, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.sources import formats, remote
+from helixframe.sources import files, formats, remote
 from helixframe.streaming import sequences as streaming
 
 FASTA = ">s1 first range=chr2:101-110 5'pad=0 strand=-\nACGT\nACGTAC\n>s2\nGG\n\n>s3 last one\nTTTT"
@@ -73,10 +73,37 @@ def test_pictures_and_binary_rows(spark):
     assert struct.unpack("<4q", bytes(formats.trapezoid_bytes(traps).first()[0])) == (4, 3, 2, -1)
 
 
-def test_bundles_are_written_apart(spark, tmp_path):
-    seqs = spark.createDataFrame([(0, "a", "ACGT"), (1, "b", "GG")], "bundle int, id string, seq string")
-    formats.write_bundles(seqs, str(tmp_path / "out"))
-    assert sorted(p.name for p in (tmp_path / "out").glob("bundle=*")) == ["bundle=0", "bundle=1"]
+def names(folder):
+    return sorted(p.name for p in folder.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+
+def test_bundles_pictures_and_trapezoids_under_their_names(spark, tmp_path):
+    seqs = spark.createDataFrame([(0, "b", "G" * 61), (1, "c", ""), (0, "a", "ACGT")], "bundle int, id string, seq string").repartition(3)
+    formats.write_bundles(seqs, str(tmp_path / "out"), "in.fa")
+    assert names(tmp_path) == ["in.fa-0.fa", "in.fa-1.fa"]
+    assert (tmp_path / "out/in.fa-0.fa").read_text() == ">a\nACGT\n>b\n" + "G" * 60 + "\nG\n" and (tmp_path / "out/in.fa-1.fa").read_text() == ">c\n"
+    with pytest.raises(Exception, match="already"):
+        formats.write_bundles(seqs, str(tmp_path / "out"), "in.fa")
+    assert names(tmp_path) == ["in.fa-0.fa", "in.fa-1.fa"]
+
+    cells = spark.createDataFrame([(n, x, 0, 0.3 * x, 1.0, 1.0) for n in "pq" for x in range(2)], "id string, x int, y int, h double, s double, v double")
+    pictures = formats.images(cells, 2, 1)
+    formats.write_images(pictures, f"file://{tmp_path}/png")
+    assert {r["id"]: bytes(r["png"]) for r in pictures.collect()} == {n: (tmp_path / f"png/{n}.png").read_bytes() for n in "pq"}
+
+    traps = spark.range(0, 3000, 1, 6).selectExpr("id as top", "-id as bottom", "id * id as left", "1L << 40 as right", "case when id % 10 = 3 then -1 else 1 end as strand")
+    formats.write_trapezoids(traps, str(tmp_path / "t"), "run")
+    assert names(tmp_path / "t") == ["run-fwd.traps.le.gz", "run-rev.traps.le.gz"]
+    for side, mine in (("fwd", [i for i in range(3000) if i % 10 != 3]), ("rev", range(3, 3000, 10))):
+        raw = gzip.decompress((tmp_path / f"t/run-{side}.traps.le.gz").read_bytes())
+        assert raw == b"".join(struct.pack("<4q", i, -i, i * i, 1 << 40) for i in mine)
+
+
+def test_a_failed_attempt_leaves_no_file(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 4).selectExpr("'f' as file", "id", "case when id = 77 then raise_error('no') else 'x' end as content")
+    with pytest.raises(Exception, match="no"):
+        files.write_files(rows, str(tmp_path / "out"), "id")
+    assert names(tmp_path) == []
 
 
 def test_remote_pages_with_retries(spark):

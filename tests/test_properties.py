@@ -154,15 +154,6 @@ def test_annotation_map(spark):
     assert strict[1] == "Aaaaaaaaaa" + "b" * 9 + "B"
 
 
-def test_local_alignment(spark):
-    word = "".join(random.Random(6).choices("ACGT", k=60))
-    seqs = spark.createDataFrame([(1, "AAAA" + word), (2, word[:30] + "G" + word[30:])], "id long, seq string")
-    found = kmers.occurrences(seqs, 8)
-    hits = piles.seeds(found, found, k=8, tube=16, least=10, most_hits=50)
-    best = max(piles.local_alignments(hits, seqs, 8, band=6, least_length=40, least_identity=0.9).collect(), key=lambda r: r["score"])
-    assert best["t_start"] == 4 and best["identity"] > 0.95
-
-
 def test_cliques_around_a_hub_equal_brute_force(spark):
     edges = random_edges(3, 14, 40) + [(100, x) for x in range(60)]
     nodes = sorted({x for e in edges for x in e})

@@ -45,8 +45,6 @@ _tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _unquoted = re.compile(r"""[^>"']*""")
 #: Each step takes a whole name, so that the time stays linear.
 _attribute = re.compile(r"""([^\s=/"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
-#: Quoted values that are looked through for a tag's end before the next > is taken for it.
-MOST_QUOTES = 1000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math select object audio video canvas".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
@@ -96,19 +94,28 @@ def presentation(tag: str, raw: str, inside_main: bool) -> tuple[str, int]:
     return style, 0
 
 
-def tag_end(page: str, at: int) -> int:
-    """Where the > of a tag is: the first outside quotes or, if quotes don't close, the next; -1 for none."""
-    place = at
-    for _ in range(MOST_QUOTES):
+def tag_end(page: str, at: int, known: dict[int, int]) -> int:
+    """Where the > of a tag is: the first outside quotes or, if quotes don't close, the next; -1 for none.
+
+    known: by the place of an opening quote where the scan from there ends, -1 for nowhere, so that each quote of a page is passed once.
+    """
+    place, end, passed = at, -1, []
+    while True:
         place = _unquoted.match(page, place).end()
         if place == len(page):
             break
         if page[place] == ">":
-            return place
+            end = place
+            break
+        if place in known:
+            end = known[place]
+            break
+        passed.append(place)
         place = page.find(page[place], place + 1) + 1
         if not place:
             break
-    return page.find(">", at)
+    known.update(dict.fromkeys(passed, end))
+    return end if end >= 0 else page.find(">", at)
 
 
 def tree(page: str) -> Node:
@@ -118,6 +125,7 @@ def tree(page: str) -> Node:
     last = page.rfind(">")
     main = 0  # elements with prior 1 on the stack
     opened: dict[str, int] = {}  # elements on the stack by tag
+    known: dict[int, int] = {}
 
     def close(i: int) -> int:
         lost = 0
@@ -149,7 +157,7 @@ def tree(page: str) -> Node:
             continue
         if begin > at:
             stack[-1].parts.append(page[at:begin])
-        at = tag_end(page, m.end()) + 1
+        at = tag_end(page, m.end(), known) + 1
         closing, tag, raw = m[1], m[2].lower(), page[m.end() : at - 1]
         if closing:
             if tag in ("body", "html") or not opened.get(tag):

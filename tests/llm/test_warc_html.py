@@ -90,3 +90,11 @@ def test_branches_on_few_pages_of_a_large_host_go(spark):
     for most in ({"broadcast_hosts": 20_000}, {"broadcast_hosts": -1}, {"broadcast_nodes": 0}):
         found = html_text.main_text(pages(spark, rows), **most).collect()
         assert {r["page_id"]: r["text"] for r in found} == {i: f"story number {i}" for i in range(400)}
+
+
+def test_tags_with_any_number_of_quoted_values():
+    many = " ".join(f'a{i}="x > y{i}"' for i in range(1200))
+    assert html_text.extract(f"<article><div {many}><p>The text.</p></div></article>") == "The text."
+    assert html_text.extract("<article><p title='open>The text.</p></article>") == "The text."
+    assert html_text.extract("<article>" + "<b title='>x</b> " * 3 + "</article>").endswith("x")
+    html_text.tree("<a title='" * 100_000 + ">x")  # each quote is passed once

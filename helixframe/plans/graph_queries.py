@@ -43,9 +43,17 @@ plus AS (SELECT node, component, count(*) AS n, min(own) AS own FROM side WHERE
 signed AS (SELECT node, component, CASE own WHEN 0 THEN 1 ELSE -1 END AS strand FROM plus WHERE component NOT IN (SELECT component FROM plus WHERE n > 1))"""
 
 
-@query(f"WITH RECURSIVE {EDGES}, twisted AS (SELECT DISTINCT src + 1000000 AS src, dst + 2000000 AS dst, twist FROM edges), {_doubled('twisted')} SELECT * FROM signed")
+@query(f"""
+WITH RECURSIVE twisted AS (SELECT DISTINCT o_custkey AS src, 1000000000 + o_orderkey AS dst, twist FROM (
+  SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN -1 ELSE 1 END AS twist FROM orders UNION ALL SELECT o_custkey, o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN -1 ELSE 1 END FROM orders WHERE o_totalprice > 490000)),
+{_doubled('twisted')} SELECT * FROM signed""")
 def graph_signed_components(spark, sf_dir):
-    return graphs.signed_components(edges(spark, sf_dir).select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
+    """Customers and their orders, by status; urgency speaks for or against the largest orders' sign, and a customer with one against is contradictory."""
+    o = table(spark, sf_dir, "orders")
+    ends = (F.col("o_custkey").alias("src"), (1_000_000_000 + F.col("o_orderkey")).alias("dst"))
+    status = o.select(*ends, F.when(F.col("o_orderstatus") == "F", -1).otherwise(1).alias("twist"))
+    urgent = o.filter("o_totalprice > 490000").select(*ends, F.when(F.col("o_orderpriority") == "1-URGENT", -1).otherwise(1).alias("twist"))
+    return graphs.signed_components(status.unionByName(urgent).distinct())
 
 
 @query(f"""
@@ -68,12 +76,14 @@ def graph_signed_regions(spark, sf_dir):
     return graphs.signed_components(edges[0].unionByName(edges[1]).unionByName(edges[2]).unionByName(edges[3]))
 
 
-@query(f"""
-WITH {EDGES}, e AS (SELECT src + 1000000 AS src, dst + 2000000 AS dst, count(DISTINCT twist) AS kinds, max(twist) AS twist FROM edges GROUP BY 1, 2),
+@query("""
+WITH e AS (SELECT l_orderkey AS src, 1000000000 + l_partkey AS dst, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS kinds, max(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END) AS twist FROM lineitem GROUP BY 1, 2),
 p AS (SELECT n FROM (SELECT src AS n FROM e WHERE kinds > 1 UNION ALL SELECT dst FROM e WHERE kinds > 1) GROUP BY n HAVING count(*) > 1)
 SELECT src, dst, CAST(twist AS INTEGER) AS twist FROM e WHERE kinds = 1 AND src NOT IN (SELECT n FROM p) AND dst NOT IN (SELECT n FROM p)""")
 def graph_consistent_edges(spark, sf_dir):
-    return graphs.consistent_edges(edges(spark, sf_dir).select((F.col("src") + 1_000_000).alias("src"), (F.col("dst") + 2_000_000).alias("dst"), "twist"))
+    """Orders and their parts; a part that an order holds with and without return is seen with both signs."""
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (1_000_000_000 + F.col("l_partkey")).alias("dst"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("twist"))
+    return graphs.consistent_edges(seen)
 
 
 def _rank_sql(rounds: int) -> str:

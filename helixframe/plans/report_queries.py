@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotation, graphs, identities, intervals, kmers, matrix, piles, references
+from ..operators import annotation, graphs, identities, intervals, kmers, matrix, ordered, piles, references
 from ..sources import formats, reports
-from .bindings import DNA, FAMILIES, MARKS, SPANS, dna, families, marks, spans, table
+from .bindings import DNA, FAMILIES, MARKS, SPANS, dna, families, marks, spans, supplier_graph, table
 from .bindings import matrix as matrix_view
 from .graph_queries import PILES, _pairs, _placed, _small_piles
 from .interval_queries import ANNOTATED, RUNS, SHARED, _annotated, _regions
@@ -24,9 +24,9 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH {FAMILIES} SELECT family_id, CAST(count(*) AS BIGINT) AS size FROM families GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60")
+@query(f"WITH {FAMILIES} SELECT family_id, CAST(count(*) AS BIGINT) AS size FROM families GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80")
 def family_sizes(spark, sf_dir):
-    return piles.sized_families(families(spark, sf_dir), 2, 60)
+    return piles.sized_families(families(spark, sf_dir), 2, 80)
 
 
 @query(f"""
@@ -65,8 +65,9 @@ def pile_landscape_files(spark, sf_dir):
 
 
 def _family_groups(spark, sf_dir):
-    """Families in communities of their overlap graph, with the cliques of those that are none themselves."""
-    edges = intervals.family_edges(families(spark, sf_dir), width=32).withColumn("weight", F.round("weight", 9))
+    """Suppliers as families, by the orders that they share, in communities, with the cliques of those that are none themselves."""
+    one = supplier_graph(spark, sf_dir, 26).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    edges = ordered.written(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), "family-edges")
     groups = graphs.communities(edges).withColumnRenamed("community", "group_id")
     tested = graphs.clique_test(groups, edges)
     inside = edges.join(groups.select(F.col("node").alias("src"), "group_id"), "src").join(groups.select(F.col("node").alias("dst"), F.col("group_id").alias("other")), "dst").filter("group_id = other")
@@ -92,7 +93,8 @@ def family_clique_memberships(spark, sf_dir):
 def family_identities(spark, sf_dir):
     edges, groups, tested, cliques = _family_groups(spark, sf_dir)
     named = identities.identities(identities.group_ranks(groups, edges), tested, cliques)
-    return identities.annotated(families(spark, sf_dir), named).select("family_id", "ord", "contig", "start", "end", "cluster", "clique")
+    members = spans(spark, sf_dir).select(F.col("contig").alias("family_id"), F.col("id").alias("ord"), F.col("order").alias("contig"), "start", "end")
+    return identities.annotated(members, named).select("family_id", "ord", "contig", "start", "end", "cluster", "clique")
 
 
 @query(f"""

@@ -34,6 +34,48 @@ def overlap_join(left: DataFrame, right: DataFrame, width: int, left_cols: tuple
     return (met if condition is None else met.filter(condition)).drop("_bin")
 
 
+#: Widths of nested bins grow by this factor; no bin is narrower than this power of it.
+FACTOR, NARROWEST = 4, 3
+
+
+def _graded(df: DataFrame, start: str, end: str) -> DataFrame:
+    """df without empty intervals, with the level of each: the first whose bins are at least as wide as it is long."""
+    level = F.ceil(F.log(F.col(end) - F.col(start)) / F.log(F.lit(float(FACTOR)))).cast("int")
+    return df.filter(F.col(end) > F.col(start)).withColumn("_level", F.greatest(level + 1, F.lit(NARROWEST)))  # one more: no power is taken for its root
+
+
+def nested_join(left: DataFrame, right: DataFrame, left_cols: tuple[str, str, str] = ("contig", "l_start", "l_end"), right_cols: tuple[str, str, str] = ("contig", "r_start", "r_end"), condition: Column | None = None) -> DataFrame:
+    """Pairs of overlapping intervals of any lengths, as ``overlap_join`` gives them, without a width to choose.
+
+    Bins are nested. Of a pair the longer interval lies in one or two bins of its own level, and the shorter one in as few of that
+    level, so an interval is a row or two for each level that the other side has, whatever its length. A pair counts in the bin in which its overlap begins.
+    """
+    (lc, ls, le), (rc, rs, re) = left_cols, right_cols
+    sides = [(_graded(left, ls, le), lc, ls, le), (_graded(right, rs, re).withColumnRenamed(rc, "_key") if lc == rc else _graded(right, rs, re), "_key" if lc == rc else rc, rs, re)]
+
+    def own(side: tuple) -> DataFrame:
+        df, _, start, end = side
+        width = F.pow(F.lit(float(FACTOR)), F.col("_level")).cast("long")
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+
+    def upper(side: tuple, other: tuple, same: bool) -> DataFrame:
+        """A side in the bins of the levels of longer intervals of the other side (or of equally long ones)."""
+        df, _, start, end = side
+        levels = F.broadcast(other[0].select(F.col("_level").alias("_at")).distinct())  # at most one for each power of the factor
+        met = df.join(levels, F.col("_at") >= F.col("_level") if same else F.col("_at") > F.col("_level")).drop("_level").withColumnRenamed("_at", "_level")
+        return own((met, None, start, end))
+
+    a, b = sides
+    out = None
+    for long, short, same in ((a, b, True), (b, a, False)):
+        x, y = own(long), upper(short, long, same)
+        met = x.join(y, (x[long[1]] == y[short[1]]) & (x["_level"] == y["_level"]) & (x["_bin"] == y["_bin"])).drop(y["_level"], y["_bin"])
+        begin = F.floor(F.greatest(F.col(ls), F.col(rs)) / F.pow(F.lit(float(FACTOR)), F.col("_level")).cast("long"))
+        met = met.filter(overlaps(F.col(ls), F.col(le), F.col(rs), F.col(re)) & (begin == F.col("_bin"))).drop("_level", "_bin", "_key")
+        out = met if out is None else out.unionByName(met)
+    return out if condition is None else out.filter(condition)
+
+
 def best_overlaps(targets: DataFrame, sources: DataFrame, width: int, share: float = 0.05, most: int = 8) -> DataFrame:
     """Left outer join: each target (t_id, contig, t_start, t_end, strand) with its longest overlaps.
 

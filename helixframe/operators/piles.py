@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.interval import elliptically_close, within
 from .graphs import components, consistent_edges, signed_components
-from .intervals import overlap_join, union
+from .intervals import nested_join, overlap_join, union
 from .ordered import running_total, written
 
 
@@ -26,11 +26,11 @@ def piles(found: DataFrame, merge_overlap: int = 0) -> DataFrame:
     return runs.select(F.concat_ws(":", F.col("contig").cast("string"), F.col("start").cast("string")).alias("pile_id"), "contig", "start", "end", F.col("n").alias("n_images"))
 
 
-def placed(found: DataFrame, over: DataFrame, width: int) -> DataFrame:
-    """Images with their pile: each lies within exactly one."""
+def placed(found: DataFrame, over: DataFrame) -> DataFrame:
+    """Images with their pile: each lies within exactly one. Piles may be of any length beside their images, so bins are nested."""
     a = found.select("pair_id", "side", "contig", "strand", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
     b = over.select("pile_id", "contig", F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    return overlap_join(a, b, width, ("contig", "i_start", "i_end"), ("contig", "p_start", "p_end"), (F.col("p_start") <= F.col("i_start")) & (F.col("i_end") <= F.col("p_end")))
+    return nested_join(a, b, ("contig", "i_start", "i_end"), ("contig", "p_start", "p_end"), (F.col("p_start") <= F.col("i_start")) & (F.col("i_end") <= F.col("p_end")))
 
 
 def pile_measures(over: DataFrame) -> DataFrame:

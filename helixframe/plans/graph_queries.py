@@ -156,7 +156,7 @@ def pile_merge(spark, sf_dir):
 
 def _placed(spark, sf_dir):
     found = piles.images(_pairs(spark, sf_dir))
-    return piles.placed(found, piles.piles(found), width=256)
+    return piles.placed(found, piles.piles(found))
 
 
 @query(f"WITH {PILES} SELECT pile_id, CAST(count(*) AS BIGINT) AS depth, CAST(sum(g.stop - g.start) AS BIGINT) AS volume, CAST(min(g.start) AS BIGINT) AS span_start, CAST(max(g.stop) AS BIGINT) AS span_end FROM g JOIN piles p USING (contig, run) GROUP BY 1")
@@ -233,7 +233,7 @@ def pile_families(spark, sf_dir):
     """From pairs to families in one go: images, piles, sub-piles, twists, components with strands."""
     p = part_pairs(spark, sf_dir)
     found = piles.images(p)
-    over = ordered.written(piles.placed(found, piles.piles(found), width=256), "placed")
+    over = ordered.written(piles.placed(found, piles.piles(found)), "placed")
     members = ordered.written(piles.seeded(over, share=0.3), "members")
     nodes, edges = piles.subpile_twists(over, members, piles.subpiles(over, target=2.0, members=members), pile_diff=0.8, image_diff=0.8)
     return piles.twist_families(nodes, edges)

@@ -90,6 +90,15 @@ def seq_packed_offsets(spark, sf_dir):
     return ordered.running_total(rows, "len", "id", name="offset").select("id", "offset", "digest")
 
 
+@query(f"""
+WITH {DNA}, t AS (SELECT id, coalesce(sum(length(seq)) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, length(seq) AS n FROM dna)
+SELECT event_id * 101 AS place, id, CAST(event_id * 101 - a AS BIGINT) AS pos FROM events JOIN t ON event_id * 101 >= a AND event_id * 101 < a + n""")
+def packed_places(spark, sf_dir):
+    """Every event's number, times 101, as a place of the packed documents."""
+    lengths = dna(spark, sf_dir).select("id", F.length("seq").alias("len"))
+    return references.packed_places(table(spark, sf_dir, "events").select((F.col("event_id") * 101).alias("place")), lengths)
+
+
 @query(f"""
 WITH {DNA} SELECT id, array_to_string(list_transform(range((length(seq) + 59) // 60), lambda i: substring(seq, i * 60 + 1, 60)), chr(10)) AS lines,
   rpad(substring(CAST(id AS VARCHAR), 1, 10), 10, ' ') AS name FROM dna""")

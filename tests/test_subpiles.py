@@ -74,7 +74,7 @@ def test_families_of_sub_piles(spark):
                 pairs.append((n, c, s, s + length, d, t, t + length, o * q))
                 n += 1
     found = piles.images(spark.createDataFrame(pairs, "pair_id long, a_contig string, a_start long, a_end long, b_contig string, b_start long, b_end long, strand int"))
-    over = piles.placed(found, piles.piles(found), width=64)
+    over = piles.placed(found, piles.piles(found))
     members = piles.seeded(over, 0.05)
     nodes, edges = piles.subpile_twists(over, members, piles.subpiles(over, target=2.0, members=members))
     assert {r["kind"] for r in nodes.collect()} == {"sub", "pile"}  # the same places, so pairs of nodes

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,39 +48,53 @@ def coverage_bars(runs: DataFrame, lengths: DataFrame, cells: int = 40) -> DataF
     return spans.select("name", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell), "").alias("bar"))
 
 
+def _ranked(matches: DataFrame, strict_margin: bool) -> DataFrame:
+    """t_id, found: a target's matches (at most eight, by the join's bound) in rank order, each with its cells [a, z), whether the consensus begins
+    or ends near them, and its text."""
+    t_start, t_end, s_start, s_end, left, right, remains = (F.col(c) for c in ("t_start", "t_end", "s_start", "s_end", "left", "right", "remains"))
+    cell = lambda x: F.floor((x - t_start) * (F.lit(float(CELLS)) / (t_end - t_start)) + 0.5).cast("int")
+    a, z = cell(F.greatest(s_start, t_start)), cell(F.least(s_end, t_end))
+    minus = F.col("strand") == -1
+    start, end = consensus_place(t_start, t_end, s_start, s_end, left, right)
+    size = F.when(end + remains == 0, 1).otherwise(end + remains).cast("double")
+    near_end = (1 - end / size if strict_margin else end / size) <= 1.0 / CELLS
+    known = left.isNotNull() & right.isNotNull() & remains.isNotNull()
+    sides = (F.when(minus, CELLS - z).otherwise(a).alias("a"), F.when(minus, CELLS - a).otherwise(z).alias("z"))
+    percent = lambda whole: F.coalesce(F.rint(F.try_divide(F.least(s_end, t_end) - F.greatest(s_start, t_start), whole) * 100).cast("long").cast("string"), F.lit("NaN"))
+    shares = F.when(left.isNotNull(), F.concat(F.lit("("), percent(s_end - s_start), F.lit("%|"), percent(right + remains), F.lit("%)"))).otherwise("")
+    text = F.concat(F.lit(" "), F.col("name") if "name" in matches.columns else F.lit(""), shares)
+    one = F.struct("rank", *sides, (known & (start / size <= 1.0 / CELLS)).alias("first"), (known & near_end).alias("last"), text.alias("text"))
+    return matches.groupBy("t_id").agg(F.sort_array(F.collect_list(one)).alias("found"))
+
+
+def _map(found: Column) -> Column:
+    letter = lambda m, i: F.struct(m["a"].alias("a"), m["z"].alias("z"), F.coalesce(m["first"], F.lit(False)).alias("first"), F.coalesce(m["last"], F.lit(False)).alias("last"), F.char(F.lit(97) + i).alias("low"))
+    at = lambda c: F.try_element_at(F.filter(F.transform(found, letter), lambda m: (m["a"] <= c) & (c < m["z"])), F.lit(-1))
+
+    def cell(c: Column) -> Column:
+        m = at(c)
+        up = ((c == m["a"]) & m["first"]) | ((c == m["z"] - 1) & m["last"])
+        return F.coalesce(F.when(up, F.upper(m["low"])).otherwise(m["low"]), F.lit("-"))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), cell), "")
+
+
 def annotation_maps(matches: DataFrame, strict_margin: bool = False) -> DataFrame:
     """t_id, map: twenty cells along each target with a letter for each match in rank order.
 
     A match's first cell is in upper case if the consensus begins within a twentieth of its
-    start, its last one if it ends near the end; later matches show over earlier ones. At most eight matches a
-    target (the join's bound) are gathered. matches: t_id, rank, strand, t_start, t_end, s_start, s_end, left, right, remains.
+    start, its last one if it ends near the end; later matches show over earlier ones. matches: t_id, rank, strand,
+    t_start, t_end, s_start, s_end, left, right, remains.
+    """
+    return _ranked(matches, strict_margin).select("t_id", _map(F.col("found")).alias("map"))
+
+
+def annotation_texts(targets: DataFrame, matches: DataFrame, strict_margin: bool = False) -> DataFrame:
+    """t_id, text of every target: its map and its matches' names in rank order, in quotes. A target without matches has an empty map.
+
+    A match of known place in its consensus has its overlap with the target in percent of the record and of the
+    whole element, halves to even. targets: t_id; matches: as for the maps, with name.
     """
-    fields = ["rank", "strand", "t_start", "t_end", "s_start", "s_end", "left", "right", "remains"]
-    rows = matches.groupBy("t_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("found"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t_id, found in zip(b["t_id"], b["found"], strict=True):
-                cells = ["-"] * CELLS
-                for i, m in enumerate(found):
-                    scale = CELLS / (m["t_end"] - m["t_start"])
-                    s, e = (int((x - m["t_start"]) * scale + 0.5) for x in (max(m["s_start"], m["t_start"]), min(m["s_end"], m["t_end"])))
-                    if m["strand"] == -1:
-                        s, e = CELLS - e, CELLS - s
-                    if e <= s:
-                        continue
-                    first = last = False
-                    if m["left"] is not None and m["right"] is not None and m["remains"] is not None:
-                        start, end = m["left"] + max(0, m["t_start"] - m["s_start"]), m["right"] + min(0, m["t_end"] - m["s_end"])
-                        size = (end + m["remains"]) or 1
-                        first = start / size <= 1 / CELLS
-                        last = (1 - end / size if strict_margin else end / size) <= 1 / CELLS
-                    low, up = chr(97 + i), chr(65 + i)
-                    cells[s:e] = [low] * (e - s)
-                    cells[s] = up if first else cells[s]
-                    cells[e - 1] = up if last or e - 1 == s and first else cells[e - 1]
-                out.append((t_id, "".join(cells)))
-            yield pd.DataFrame(out, columns=["t_id", "map"])
-
-    return rows.mapInPandas(draw, "t_id long, map string")
+    names = F.array_join(F.transform("found", lambda m: m["text"]), "")
+    shown = _ranked(matches, strict_margin).select("t_id", F.concat(F.lit('"'), _map(F.col("found")), names, F.lit('"')).alias("text"))
+    return targets.select("t_id").join(shown, "t_id", "left").withColumn("text", F.coalesce("text", F.lit('"' + "-" * CELLS + '"')))

@@ -292,3 +292,23 @@ def merged_families(members: DataFrame, edges: DataFrame) -> DataFrame:
     found = components(edges.select(F.col("fam_a").alias("src"), F.col("fam_b").alias("dst")))
     joined = members.join(found.select(F.col("node").alias("family_id"), "component"), "family_id")
     return joined.select("component", "contig", "start", "end").distinct()
+
+
+def stitched_families(members: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``stitch`` joins, with strands: (component, n_families, n_members, n_bad, oriented) and (component, contig, start, end, strand).
+
+    n_members: different places; n_bad: pairs of members that disagree with their families' twist. A family's sign is that relative to the component's
+    smallest family, carried along edges of twist 1 or -1; where these contradict each other, or only edges of twist 0 lead to a family, it
+    has none, and the component is not oriented. A place's strand is its members' times their families' signs, 0 if these differ or are unknown.
+    """
+    ends = edges.select(F.col("fam_a").alias("src"), F.col("fam_b").alias("dst"), "twist", "n_bad")
+    found = components(ends.select("src", "dst"))
+    signs = signed_components(ends.filter("twist <> 0")).select("node", "component", F.col("strand").alias("sign"))
+    placed = written(found.join(signs, ["node", "component"], "left").select(F.col("node").alias("family_id"), "component", "sign"), "stitched")
+    strand = F.coalesce(F.col("strand") * F.col("sign"), F.lit(0))
+    shown = members.join(placed, "family_id").groupBy("component", "contig", "start", "end").agg(F.min(strand).alias("_least"), F.max(strand).alias("_most"))
+    places = shown.select("component", "contig", "start", "end", F.when(F.col("_least") == F.col("_most"), F.col("_least")).otherwise(0).cast("int").alias("strand"))
+    bad = ends.join(placed.select(F.col("family_id").alias("src"), "component"), "src").groupBy("component").agg(F.sum("n_bad").cast("long").alias("n_bad"))
+    n = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n_families"), (F.count("sign") == F.count(F.lit(1))).alias("oriented"))
+    sizes = shown.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
+    return n.join(sizes, "component").join(bad, "component").select("component", "n_families", "n_members", "n_bad", "oriented"), places

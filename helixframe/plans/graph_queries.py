@@ -270,6 +270,36 @@ def family_merged(spark, sf_dir):
     return piles.merged_families(members, piles.stitch(members, 0.5, width=32))
 
 
+# families of three files: a brand's parts of known strand, in blocks of 64 part numbers
+STITCHED = f"""parts AS (SELECT * REPLACE (family_id * 10000000 + (ord // 64) * 3 + file_id AS family_id) FROM families WHERE strand <> 0),
+pairs AS (SELECT a.family_id AS src, b.family_id AS dst, a.strand * b.strand AS twist, a.ord AS x, b.ord AS y FROM parts a JOIN parts b ON a.contig = b.contig AND a.file_id < b.file_id AND a.start < b."end" AND b.start < a."end"
+  AND ((a.start - b.start) ** 2 + (a."end" - b."end") ** 2) < 0.1::DOUBLE * ((greatest(a."end", b."end") - least(a.start, b.start)) / 4.0::DOUBLE) ** 2),
+twisted AS (SELECT src, dst, arg_min(twist, (x, y)) AS twist, count(*) AS n, count(*) FILTER (twist = 1) AS plus FROM pairs GROUP BY 1, 2),
+{_doubled('twisted', 40)},
+whole AS (SELECT node, min(component) AS component FROM side GROUP BY 1),
+signs AS (SELECT w.node, w.component, s.strand AS sign FROM whole w LEFT JOIN signed s USING (node, component)),
+places AS (SELECT component, contig, start, "end", CASE WHEN min(coalesce(strand * sign, 0)) = max(coalesce(strand * sign, 0)) THEN min(coalesce(strand * sign, 0)) ELSE 0 END AS strand FROM parts JOIN signs ON node = family_id GROUP BY 1, 2, 3, 4)"""
+
+
+def _stitched(spark, sf_dir):
+    block = F.col("family_id") * 10_000_000 + F.floor(F.col("ord") / 64) * 3 + F.col("file_id")
+    members = families(spark, sf_dir).filter("strand <> 0").withColumn("family_id", block)
+    return piles.stitched_families(members, ordered.written(piles.stitch(members, 0.1, width=32), "links"))
+
+
+@query(f"""
+WITH RECURSIVE {FAMILIES}, {STITCHED}, n AS (SELECT component, count(*) AS n_families, count(sign) = count(*) AS oriented FROM signs GROUP BY 1), m AS (SELECT component, count(*) AS n_members FROM places GROUP BY 1),
+b AS (SELECT component, CAST(sum(CASE twist WHEN 1 THEN n - plus ELSE plus END) AS BIGINT) AS n_bad FROM twisted JOIN whole ON node = src GROUP BY 1)
+SELECT component, n_families, n_members, n_bad, oriented FROM n JOIN m USING (component) JOIN b USING (component)""")
+def family_stitched_components(spark, sf_dir):
+    return _stitched(spark, sf_dir)[0]
+
+
+@query(f'WITH RECURSIVE {FAMILIES}, {STITCHED} SELECT component, contig, start, "end", CAST(strand AS INTEGER) AS strand FROM places')
+def family_stitched_members(spark, sf_dir):
+    return _stitched(spark, sf_dir)[1]
+
+
 @query(f"WITH {MATRIX} SELECT j AS i, i AS j, v FROM matrix")
 def matrix_transpose(spark, sf_dir):
     return matrix.transpose(matrix_view(spark, sf_dir))
@@ -285,6 +315,15 @@ def matrix_norm(spark, sf_dir):
     return matrix.norm(matrix_view(spark, sf_dir)).select(F.round(F.col("norm") / 1000, 3).alias("norm"))
 
 
+@query()
+def matrix_runs(spark, sf_dir):
+    """Three factorisations from different starts, side by side, each with its error and whether it is the best."""
+    w, h, errors = matrix.replicated(matrix_view(spark, sf_dir), k=3, runs=3, rounds=1000, tolerance=0.01)
+    best = matrix.best_run(w, h, errors, 3)[2]
+    ends = spark.createDataFrame([(r, len(e), e[-1], r == best) for r, e in enumerate(errors)], "run int, rounds int, error double, best boolean")
+    return matrix.run_table(w, "i", 3).join(ends, "run")  # a row for each run
+
+
 @query()
 def matrix_factors(spark, sf_dir):
     w, _, _ = matrix.factorise(matrix_view(spark, sf_dir), k=3, rounds=1000, tolerance=0.01)

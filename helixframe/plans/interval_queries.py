@@ -86,11 +86,27 @@ def annotation_coverage_bars(spark, sf_dir):
     return annotation.coverage_bars(runs, runs.groupBy("name").agg(F.max("end").alias("len")))
 
 
-@query()
+MAPS = ANNOTATED + """,
+d AS (SELECT t_id, rank, name, "left", overlap, s_end - s_start AS len, "right" + remains AS whole, row_number() OVER (PARTITION BY t_id ORDER BY rank) - 1 AS i, c_start, c_end, CASE WHEN c_end + remains = 0 THEN 1 ELSE c_end + remains END AS size, strand,
+  CAST(floor((greatest(s_start, t_start) - t_start) * (20.0::DOUBLE / (t_end - t_start)) + 0.5::DOUBLE) AS INTEGER) AS u, CAST(floor((least(s_end, t_end) - t_start) * (20.0::DOUBLE / (t_end - t_start)) + 0.5::DOUBLE) AS INTEGER) AS v FROM c),
+e AS (SELECT *, CASE strand WHEN -1 THEN 20 - v ELSE u END AS a, CASE strand WHEN -1 THEN 20 - u ELSE v END AS z FROM d),
+cells AS (SELECT t_id, p, arg_max(CASE WHEN "left" IS NOT NULL AND (p = a AND c_start / size::DOUBLE <= 1.0::DOUBLE / 20 OR p = z - 1 AND c_end / size::DOUBLE <= 1.0::DOUBLE / 20) THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(97 + i AS INTEGER)) END, i) AS letter
+  FROM e, range(20) r(p) WHERE a <= p AND p < z GROUP BY 1, 2),
+maps AS (SELECT t_id, string_agg(coalesce(letter, '-'), '' ORDER BY p) AS map FROM (SELECT DISTINCT t_id, p FROM e, range(20) r(p)) LEFT JOIN cells USING (t_id, p) GROUP BY 1)"""
+
+
+@query(f"WITH {MAPS} SELECT t_id, map FROM maps")
 def annotation_maps(spark, sf_dir):
     return annotation.annotation_maps(_annotated(spark, sf_dir))
 
 
+@query(f"""
+WITH {MAPS}, names AS (SELECT t_id, string_agg(' ' || name || CASE WHEN "left" IS NULL THEN '' ELSE '(' || coalesce(CAST(CAST(round_even(CAST(overlap AS DOUBLE) / nullif(len, 0) * 100, 0) AS BIGINT) AS VARCHAR), 'NaN') || '%|' || coalesce(CAST(CAST(round_even(CAST(overlap AS DOUBLE) / nullif(whole, 0) * 100, 0) AS BIGINT) AS VARCHAR), 'NaN') || '%)' END, '' ORDER BY rank) AS names FROM e GROUP BY 1)
+SELECT t_id, '"' || coalesce(map, repeat('-', 20)) || coalesce(names, '') || '"' AS text FROM t LEFT JOIN maps USING (t_id) LEFT JOIN names USING (t_id)""")
+def annotation_texts(spark, sf_dir):
+    return annotation.annotation_texts(_single_targets(spark, sf_dir), _annotated(spark, sf_dir))
+
+
 def _regions(spark, sf_dir):
     """Every hour of every user with an event is a region."""
     hour = F.floor(F.col("start") / 60)

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,54 @@ def test_factors_are_positive_and_errors_fall(spark):
     assert all(x >= 0 for f in (w, h) for r in f.collect() for x in r["w"])
 
 
+def test_replicated_runs_equal_numpy_and_stop_alone(spark):
+    v = np.array([[float((i % 3 + 1) * (j % 2 + 1) + (i * j) % 4) for j in range(6)] for i in range(8)])
+    df = spark.createDataFrame([(i, j, float(v[i, j])) for i in range(8) for j in range(6)], "i long, j long, v double")
+    starts = {r: [df.select(x).distinct().select(x, matrix._draw(x, 2, 5 + 100 * r + more).alias("w")).orderBy(x).collect() for x, more in (("i", 0), ("j", 1))] for r in range(3)}
+    w, h, errors = matrix.replicated(df, k=2, runs=3, rounds=30, tolerance=0.05, seed=5)
+    got = {(r["run"], r["i"], r["pattern"]): r["weight"] for r in matrix.run_table(w, "i", 2).collect()}
+    for r in range(3):
+        a, b = (np.array([x["w"] for x in s]) for s in starts[r])
+        want = []
+        for _ in range(30):
+            b *= (v.T @ a) / (b @ (a.T @ a) + 1e-12)
+            a *= (v @ b) / (a @ (b.T @ b) + 1e-12)
+            want.append(((v - a @ b.T) ** 2).sum())
+            if len(want) > 1 and want[-2] - want[-1] <= 0.05 * want[-2]:
+                break
+        assert errors[r] == pytest.approx(want, rel=1e-6)
+        assert [got[r, i, p] for i in range(8) for p in range(2)] == pytest.approx(a.ravel().tolist(), rel=1e-6)
+    own_w, own_h, best = matrix.best_run(w, h, errors, 2)
+    assert best == min(range(3), key=lambda r: errors[r][-1])
+    assert {r["i"]: r["w"] for r in own_w.collect()} == {i: [got[best, i, 0], got[best, i, 1]] for i in range(8)} and own_h.count() == 6
+
+
+def test_runs_end_with_the_time_limit_and_an_empty_matrix_has_empty_factors(spark):
+    df = spark.createDataFrame([(i, j, float(i + j + 1)) for i in range(4) for j in range(3)], "i long, j long, v double")
+    assert [len(e) for e in matrix.replicated(df, k=2, runs=2, rounds=50, tolerance=-1.0, seconds=0.0)[2]] == [1, 1]
+    w, h, errors = matrix.factorise(df.limit(0), k=2)
+    assert w.count() == h.count() == 0 and errors[-1] == 0
+
+
+def test_stitched_families_carry_strands(spark):
+    # families 1 and 2 turned, 3 as 2, 4 and 5 contradict each other through 6
+    rows = [(0, 1, 0, "c", 0, 100, 1), (1, 2, 0, "c", 0, 100, -1), (1, 2, 1, "c", 500, 600, 1), (2, 3, 0, "c", 501, 600, 1), (2, 3, 1, "d", 7, 9, -1), (0, 1, 1, "d", 40, 60, 1), (1, 2, 2, "d", 40, 60, 1)]
+    rows += [(0, 4, 0, "e", 0, 100, 1), (1, 5, 0, "e", 0, 100, 1), (1, 5, 1, "e", 300, 400, 1), (2, 6, 0, "e", 300, 400, 1), (2, 6, 1, "e", 800, 900, -1), (0, 4, 1, "e", 800, 900, 1)]
+    members = spark.createDataFrame(rows, "file_id int, family_id long, ord long, contig string, start long, end long, strand int")
+    found, places = piles.stitched_families(members, piles.stitch(members, 0.0225, 64))
+    assert {tuple(r) for r in found.collect()} == {(1, 3, 5, 1, True), (4, 3, 3, 0, False)}
+    assert {tuple(r) for r in places.filter("component = 1").collect()} == {(1, "c", 0, 100, 1), (1, "c", 500, 600, -1), (1, "c", 501, 600, -1), (1, "d", 7, 9, 1), (1, "d", 40, 60, 0)}
+    assert {r["strand"] for r in places.filter("component = 4").collect()} == {0}
+
+
+def test_annotation_texts_name_their_matches(spark):
+    rows = [(1, 1, 1, 0, 100, 0, 50, 0, 50, 50, "AluY", ), (1, 2, 1, 0, 100, 60, 100, None, None, None, "L1"), (1, 3, 1, 0, 100, 90, 130, 10, 50, 0, "MIR")]
+    schema = "t_id long, rank int, strand int, t_start long, t_end long, s_start long, s_end long, left long, right long, remains long, name string"
+    targets = spark.createDataFrame([(1,), (2,)], "t_id long")
+    got = {r["t_id"]: r["text"] for r in annotation.annotation_texts(targets, spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: '"Aaaaaaaaaa--bbbbbbcc AluY(100%|50%) L1 MIR(25%|20%)"', 2: '"--------------------"'}
+
+
 def test_subpiles_absorb_near_images(spark):
     rows = [("p", 0, 100, 0, 50)] * 3 + [("p", 0, 100, 1, 51), ("p", 0, 100, 60, 100)]
     found = piles.subpiles(spark.createDataFrame(rows, "pile_id string, p_start long, p_end long, i_start long, i_end long")).orderBy("cluster").collect()

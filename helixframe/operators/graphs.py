@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import written
+from .ordered import forget, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,7 +25,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        now = written(small.filter("u <> v").distinct(), "edges")
+        fresh = written(small.filter("u <> v").distinct(), "edges")
+        forget(least, large, low, now)  # the first of now is a filter, whose table is still read
+        now = fresh
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
@@ -77,7 +79,7 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
     every = own.select(key, F.col("src").alias("node")).union(own.select(key, "dst")).distinct().join(out.withColumnRenamed("src", "node"), [key, "node"], "left")
     size = every.groupBy(key).agg(F.count(F.lit(1)).cast("double").alias("size"))
     nodes = written(every.select(key, "node", F.col("total").isNull().alias("ends")).join(size, key), "nodes")
-    ranks = nodes.withColumn("rank", 1 / F.col("size"))
+    ranks, before = nodes.withColumn("rank", 1 / F.col("size")), None
     for _ in range(rounds):
         lost = ranks.groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0)).alias("lost"))
         given = parts.join(ranks.select(key, F.col("node").alias("src"), "rank"), [key, "src"]).groupBy(key, F.col("dst").alias("node")).agg(F.sum(F.col("part") * F.col("rank")).alias("given"))
@@ -85,7 +87,8 @@ def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, toleran
         rank = (1 - damping) / F.col("size") + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / F.col("size"))
         fresh = written(met.select(key, "node", "ends", "size", rank.alias("rank"), F.col("rank").alias("old")), "ranks")
         gap = fresh.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = fresh.drop("old")
+        forget(before)
+        ranks, before = fresh.drop("old"), fresh
         if gap is None or gap <= tolerance:
             break
     return ranks.select("node", "rank") if groups is None else ranks.select(groups, "node", "rank")
@@ -181,7 +184,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, lev
 
 def _local_moves(both: DataFrame, state: DataFrame, m2: float, resolution: float, rounds: int) -> DataFrame:
     """node, k, community after rounds of moves. both: a, b, w in both directions; state: node, k (with weights inside it), community."""
-    still = 0
+    still, before = 0, None
     for turn in range(rounds):
         total = state.groupBy("community").agg(F.sum("k").alias("sum_k"))
         ties = both.join(state.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("links"))
@@ -193,7 +196,8 @@ def _local_moves(both: DataFrame, state: DataFrame, m2: float, resolution: float
         moves = F.pmod(F.shiftright(F.xxhash64("node"), turn // 2 % 32) + F.lit(turn), F.lit(2)) == 0
         fresh = written(state.join(best, "node").select("node", "k", F.when(moves, -F.col("first")).otherwise(F.col("community")).alias("community"), F.col("community").alias("old")), "communities")
         still = 0 if fresh.filter("community <> old").count() else still + 1
-        state = fresh.drop("old")
+        forget(before)
+        state, before = fresh.drop("old"), fresh
         if still == 2 and turn % 2:  # both halves of one split
             break
     return state

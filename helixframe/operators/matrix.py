@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import written
+from .ordered import forget, written
 
 
 def transpose(m: DataFrame) -> DataFrame:
@@ -75,9 +75,11 @@ def replicated(m: DataFrame, k: int = 5, runs: int = 1, rounds: int = 20, tolera
     active = list(range(runs))
     gw, _ = _gram(w, k, active)
     for _ in range(rounds):
+        before = h, w
         h = written(_update(v, h, w, {r: gw[r] for r in active}, "j", "i", k, every), "factor")
         gh, _ = _gram(h, k, active)
         w = written(_update(v, w, h, gh, "i", "j", k, every), "factor")
+        forget(*before)
         gw, dot = _gram(w, k, active)
         for r in active:
             errors[r].append(square - 2 * dot[r] + sum(gw[r][a][b] * gh[r][a][b] for a in range(k) for b in range(k)))

@@ -27,7 +27,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` gave and that nothing will read again, as those of a round once the next one's are there. Others are left alone."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path:
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ranged(df: DataFrame, *order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.interval import elliptically_close, within
 from .graphs import components, consistent_edges, signed_components
 from .intervals import nested_join, overlap_join, union
-from .ordered import running_total, written
+from .ordered import forget, running_total, written
 
 
 def images(pairs: DataFrame) -> DataFrame:
@@ -114,12 +114,14 @@ def seeded(found: DataFrame, share: float, rounds: int = 1000) -> DataFrame:
         seeds = fresh if seeds is None else seeds.unionByName(fresh)
         lost = written(open_.join(fresh.toDF("pile_id", "a_start", "a_end"), ["pile_id", "a_start", "a_end"], "left_semi").select("pile_id", "b_start", "b_end").distinct().toDF(*key), "absorbed")
         gone = fresh.unionByName(lost)
+        before = left, open_ if open_ is not reached else None
         left = written(left.join(gone, key, "left_anti"), "left")
         if left.isEmpty():
             break
         for side in ("a", "b"):
             open_ = open_.join(gone.toDF("pile_id", f"{side}_start", f"{side}_end"), ["pile_id", f"{side}_start", f"{side}_end"], "left_anti")
         open_ = written(open_, "open")
+        forget(lost, *before)
     else:
         raise RuntimeError(f"seeds did not settle in {rounds} rounds")
     first = F.min(F.struct(-F.col("a_n"), "a_start", "a_end")).alias("s")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.sequence import kmer_code, oriented, subsequence, wrapped
-from ..operators import kmers, motifs, ordered, piles, references, sequences
+from ..operators import consensus, kmers, motifs, ordered, piles, references, sequences
 from ..sources import formats
 from .bindings import DNA, SPANS, dna, spans, table
 
@@ -228,6 +228,25 @@ def family_consensus(spark, sf_dir):
     return sequences.consensus(dna(spark, sf_dir).withColumnRenamed("source", "family_id"), least_quality=3)
 
 
+def _order_members(spark, sf_dir):
+    """A nation's customers as members of a family: a letter for the priority of each order, as they came."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    letter = F.translate(F.substring("o_orderpriority", 1, 1), "12345", "ACGTN")
+    each = o.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", letter.alias("letter")))).alias("at"))
+    return each.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("family_id"), F.array_join(F.transform("at", lambda x: x["letter"]), "").alias("seq"))
+
+
+@query()
+def family_aligned_consensus(spark, sf_dir):
+    """Members differ in length; they are aligned with their family's centre first."""
+    return consensus.aligned_consensus(_order_members(spark, sf_dir), least_quality=3, k=4)
+
+
+@query()
+def family_consensus_fastq(spark, sf_dir):
+    return consensus.fastq(consensus.aligned_consensus(_order_members(spark, sf_dir), least_quality=3, k=4))
+
+
 def _members(spark, sf_dir):
     """Documents as members of their source's family, each as long as its sequence."""
     return dna(spark, sf_dir).select(F.col("source").alias("family_id"), F.col("id").alias("ord"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("end"))

@@ -8,7 +8,8 @@ The packing has two levels, so that no step holds all groups. Groups are hashed
 to cells; each cell streams its groups, largest first, into one bin per shard.
 Then the bins of all cells (at most ``most_cells`` times the shards) are placed into the
 shards by the same rule. A group beyond a set part of a shard in any resource is
-split by a hash of doc_id and the row's number first, so copies of one text can't outgrow a shard, whatever their ids.
+split by a hash of doc_id first, so copies of one text can't outgrow a shard; those that share a doc_id as well are
+dealt in turn. So the layout of the input has no say, but for which of such repeated rows goes where.
 
 A null text counts as no bytes and falls into the group of empty texts. Repeated
 rows are rows of their own. Of bins with the same dot product the first is taken; slots of equal rows are
@@ -67,7 +68,16 @@ def shard(docs: DataFrame, shards: int = 40, split_at: float = 0.5, most_cells:
     # at most shards / split_at groups exceed each limit: that bounds what is broadcast
     parts = F.greatest(*[F.ceil(F.col(r) / F.lit(limit[r])) for r in RESOURCES])
     heavy = groups.filter(" or ".join(f"{r} > {limit[r]}" for r in RESOURCES)).select("key", parts.cast("int").alias("parts"))
-    items = rows.join(F.broadcast(heavy), "key", "left").withColumn("part", F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "row"), F.col("parts"))).cast("int")).drop("parts")
+    light = rows.join(F.broadcast(heavy), "key", "left_anti").withColumn("part", F.lit(0))
+    # rows of one key and doc_id are numbered within the chunks that wrote them, on top of the rows of earlier chunks
+    split = rows.join(F.broadcast(heavy), "key").withColumn("chunk", F.shiftright("row", 33))
+    earlier = Window.partitionBy("key", "doc_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    base = split.groupBy("key", "doc_id", "chunk").agg(F.count(F.lit(1)).alias("n")).withColumn("base", F.sum("n").over(earlier)).filter("base > 0")
+    base = base.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), F.col("chunk").alias("_chunk"), "base")
+    within = split.withColumn("nth", F.row_number().over(Window.partitionBy("key", "doc_id", "chunk").orderBy("row")) - 1)
+    told = within.join(base, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("chunk") == F.col("_chunk")), "left")
+    turn = F.pmod(F.xxhash64("doc_id"), F.col("parts")) + F.col("nth") + F.coalesce("base", F.lit(0))
+    items = light.unionByName(told.withColumn("part", F.pmod(turn, F.col("parts")).cast("int")).select(*rows.columns, "part"))
     cells = max(1, min(most_cells, (total["n"] or 0) // groups_per_cell))
     each = [per_shard[r] / cells for r in RESOURCES]
 

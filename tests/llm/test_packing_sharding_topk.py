@@ -93,6 +93,19 @@ def test_sharding_takes_edge_rows_and_splits_hot_groups(spark, edge_documents, n
     assert sharding.shard(few, shards=2).groupBy("text_crc32").agg(F.count_distinct("shard").alias("n")).filter("n > 1").count() == 0
 
 
+def test_shards_do_not_depend_on_the_layout(spark):
+    text = F.when(F.col("id") < 200, "the same text").otherwise(F.concat(F.lit("text "), F.col("id")))
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    docs = docs.unionByName(spark.range(40).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))).unionByName(spark.range(60).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text")))
+    one = {r["doc_id"]: r["shard"] for r in sharding.shard(docs.coalesce(1), shards=6).collect()}
+    other = sharding.shard(docs.repartition(7, F.xxhash64("text", "doc_id", F.lit(3))), shards=6).collect()
+    assert len(other) == 600 and len({r["shard"] for r in other if r["doc_id"] is None}) > 1
+    for s in range(6):
+        assert sorted(r["slot"] for r in other if r["shard"] == s) == list(range(sum(r["shard"] == s for r in other)))
+    alone = [r for r in other if r["doc_id"] not in (7, None)]
+    assert sum(one[r["doc_id"]] != r["shard"] for r in alone) == 0
+
+
 def brute_top(vectors, k, asks):
     ok = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in vectors if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = {}

@@ -144,6 +144,37 @@ def test_mix_of_edge_cases(spark, edge_documents, no_documents):
     assert {(r["size"], r["target"], r["taken"]) for r in mixing.mix(empty).collect()} == {(0, 0.0, 0)}
 
 
+def test_targets_where_several_sources_stay_open(spark):
+    draw = random.Random(6)
+    names = [None, "", "Z", "a", "b", "é", "\ufffd", "😀"]
+    cases = [{"a": 100, "b": 100, "c": 100}, {"a": 1, None: 10**12}, {f"s{i}": 200 + i for i in range(20)}, {"a": 0, "b": 7}]
+    cases += [{s: draw.choice([0, 3, draw.randrange(100), draw.randrange(10**6)]) for s in names[i % 8 :]} for i in range(12)]
+    for sizes in cases:
+        rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 150, 2).collect()
+        assert {r["source"]: r["target"] for r in rows} == pytest.approx(plain_targets(sizes))
+
+
+def test_mix_of_odd_rows_meets_its_targets(spark):
+    """Sources of like sizes, so that some fill up and some don't; one beside very many that are smaller than a block."""
+    texts = [None, "", "\t\n ", "a\x1cb\x85c\xa0d\u2028e", "x\x0by\x0cz", "\x00 \x7f 😀 東京\u3000é", "a b c d e f g h " * 40]
+    even = [(i // 2, texts[i % 7], ["b", "Z", "é", "", None][i % 5]) for i in range(350)] + [(None, "q r", None)] * 2
+    small = [(i, "a b c", f"s{i:03}") for i in range(300)] + [(1000 + i, "w " * 100, None) for i in range(100)]
+    for given in (even, small):
+        rows = mixing.mix(spark.createDataFrame([(*r, i) for i, r in enumerate(given)], "doc_id long, text string, source string, n int")).collect()
+        sizes, taken = Counter(), Counter()
+        for _, text, s in given:
+            sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        want = plain_targets(sizes)
+        found = Counter((r["doc_id"], r["size"], r["source_size"], round(r["target"], 6)) for r in rows)
+        assert found == Counter((d, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), sizes[s], round(want[s], 6)) for d, t, s in given)
+        for r in rows:
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            taken[r["source_size"], round(r["target"], 6)] += r["taken"]
+        alike = Counter((sizes[s], round(want[s], 6)) for s in sizes)
+        for (size, target), n in alike.items():
+            assert abs(taken[size, target] - n * target) <= 24 * n
+
+
 def test_crcs_of_n_grams():
     texts = ["The sun", None, "", "-a--b c,", "東京 été x 1", "z" * 5000 + " end", " \x7f{", "q"]
     texts += ["".join(random.Random(i).choice("ab c") for _ in range(i * 37 % 900)) for i in range(40)]

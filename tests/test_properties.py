@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions.interval import within
 from helixframe.functions.sequence import reverse_complement, wrapped
 from helixframe.operators import annotation, graphs, intervals, kmers, matrix, ordered, piles, sequences
 from helixframe.plans import graph_queries
@@ -18,6 +19,12 @@ def test_sequence_functions(spark):
     assert [x["w"] for x in r] == ["ACGT\nNacg\nt", ""]
 
 
+@pytest.mark.parametrize("tolerance, short, long", [(0.95, 5, 100), (0.95, 1, 20), (0.8, 20, 100), (0.2, 8, 10), (0.05, 19, 20)])
+def test_a_length_at_the_tolerance_is_within_it(spark, tolerance, short, long):
+    r = spark.range(1).select(within(tolerance, F.lit(short), F.lit(long)).alias("at"), within(tolerance, F.lit(short), F.lit(long + 1)).alias("beyond")).first()
+    assert r["at"] and not r["beyond"]
+
+
 def test_statistics_of_few(spark):
     df = spark.createDataFrame([(1, "GGCC"), (2, "AAAATTTT"), (3, "NN")], "id long, seq string")
     r = sequences.statistics(df).first()

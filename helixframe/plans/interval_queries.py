@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.interval import ends_close, touches, within
+from ..functions.interval import touches, within
 from ..operators import annotation, intervals, piles
 from ..sources import formats
 from .bindings import FAMILIES, MARKS, SPANS, families, marks, spans
@@ -249,6 +249,5 @@ FROM families a JOIN families b ON a.family_id = b.family_id AND a.contig = b.co
 def close_members(spark, sf_dir):
     f = families(spark, sf_dir)
     side = lambda s: f.select("family_id", "contig", F.col("ord").alias(s), F.col("start").alias(f"{s}_start"), F.col("end").alias(f"{s}_end"))
-    near = (F.col("a") < F.col("b")) & ends_close(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"), 0.5)
     la, lb = F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start")
-    return side("a").join(side("b"), ["family_id", "contig"]).filter(near).select("a", "b", within(0.2, F.least(la, lb), F.greatest(la, lb)).alias("alike"))
+    return intervals.close_pairs(side("a"), side("b"), 0.5, "family_id", "contig", condition=F.col("a") < F.col("b")).select("a", "b", within(0.2, F.least(la, lb), F.greatest(la, lb)).alias("alike"))

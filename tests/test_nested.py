@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from helixframe.operators import intervals, references
+from helixframe.plans import interval_queries
 
 
 def test_nested_join_equals_brute_force(spark):
@@ -38,3 +39,19 @@ def test_places_of_the_packed_target(spark):
     places = spark.createDataFrame([(p,) for p in (0, 2, 3, 70_002, 70_003, 70_004, 70_008, 70_009)], "place long")
     rows = {r["place"]: (r["id"], r["pos"]) for r in references.packed_places(places, lengths).collect()}
     assert rows == {0: (0, 0), 2: (0, 2), 3: (2, 0), 70_002: (2, 69_999), 70_003: (3, 0), 70_004: (4, 0), 70_008: (4, 4)}
+
+
+def test_close_pairs_equal_brute_force(spark):
+    draw = random.Random(3)
+    rows = [(i, draw.choice("xy"), s := draw.randrange(-300, 900), s + draw.choice([-3, 0, 1, 9, 63, 64, 70, 400, 3000]) + draw.randrange(0, 3)) for i in range(200)] + [(900, None, 5, 9), (901, None, 5, 9), (902, "x", None, 7)]
+    a = spark.createDataFrame(rows, "a long, contig string, a_start long, a_end long")
+    for share in (0.0, 0.3, 0.5, 1.5):
+        want = sorted((x[0], y[0]) for x in rows[:200] for y in rows[:200] if x[1] == y[1] and max(abs(x[2] - y[2]), abs(x[3] - y[3])) <= (x[3] - x[2]) * share // 1)
+        found = intervals.close_pairs(a, a.toDF("b", "contig", "b_start", "b_end"), share, "contig")
+        assert sorted((r["a"], r["b"]) for r in found.select("a", "b").collect()) == want
+
+
+def test_close_members_of_one_large_family(spark, tmp_path):
+    """Two hundred thousand parts of one brand and type: comparing each with each would take hours."""
+    spark.range(200_000).selectExpr("id * 20 AS p_partkey", "'Brand#7' AS p_brand", "'t' AS p_type", "CAST(id % 50 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert interval_queries.close_members(spark, str(tmp_path)).count() == sum(20 <= (i + 1) // 2 and abs(20 + (i + 1) % 50 - i) <= (i + 1) // 2 for i in range(50)) * 4000

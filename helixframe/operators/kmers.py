@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.sequence import kmer_code
 from . import letters
+from .ordered import written
 from .tiles import pieces
 
 
@@ -133,14 +134,55 @@ def in_band(table: DataFrame, n_seqs: int, low: int = 1, high: float = 0.5) -> D
     return seen.filter((F.col("n_docs") >= low) & (F.col("n_docs") / F.lit(float(n_seqs)) <= high))
 
 
-def position_matrix(found: DataFrame, low: int = 1, high: float = 0.9) -> DataFrame:
-    """kmer, pos, n_docs: distinct sequences with the k-mer there.
+#: Cells of the table of places by k-mers that a task holds.
+CELLS = 1 << 22
+
+
+def place_counts(seqs: DataFrame, k: int, id_: str = "id", seq: str = "seq") -> DataFrame:
+    """kmer, pos, n_docs, n: distinct sequences with the k-mer there, and occurrences.
+
+    A sequence has one k-mer at a place, so those whose id occurs once are counted within tasks before they become rows;
+    only those that share an id, or have none, go on as single occurrences.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+
+        def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(key), 1 << 18):
+                own = key[i : i + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([letters.words(own & ((1 << 2 * k) - 1), k), pa.array((own >> 2 * k).astype(np.int32)), pa.array(n[i : i + (1 << 18)].astype(np.int64))], ["kmer", "pos", "n"])
+
+        for batch in letters.portions(batches, 0):
+            found, owner, first = letters.joined(batch.column(0))
+            at = letters.windows(found, owner, k)
+            key = ((at - first[owner[at]]) << 2 * k) + letters.codes(found, at, k)
+            near = np.bincount(key[key < CELLS], minlength=len(held))
+            near[: len(held)] += held
+            held = near
+            yield from rows(*np.unique(key[key >= CELLS], return_counts=True))
+        yield from rows(np.flatnonzero(held), held[held > 0])
+
+    each = lambda rows: occurrences(rows, k).groupBy("kmer", "pos").agg(F.count_distinct("id").alias("n_docs"), F.count(F.lit(1)).alias("n"))
+    all_ = seqs.select(F.col(id_).alias("id"), F.col(seq).alias("seq"))
+    if k > 16:  # a longer one and its place have no common 64-bit number
+        return each(all_)
+    shared = written(all_.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id"), "shared-ids")
+    single = all_.filter("id is not null").join(shared, "id", "left_anti").select("seq")
+    made = single.mapInArrow(count, "kmer string, pos int, n long").withColumn("n_docs", F.col("n"))
+    if not shared.isEmpty():
+        made = made.unionByName(each(all_.filter("id is null").unionByName(all_.join(shared, "id", "left_semi"))))
+    return made.groupBy("kmer", "pos").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+
+
+def position_matrix(counted: DataFrame, low: int = 1, high: float = 0.9) -> DataFrame:
+    """kmer, pos, n_docs of ``place_counts``.
 
     k-mers with at least low occurrences and at most ``high`` of the largest position;
     then places with at least low sequences.
     """
-    each = found.groupBy("kmer", "pos").agg(F.count_distinct("id").alias("n_docs"), F.count(F.lit(1)).alias("n"))
-    last = F.lit(found.agg(F.max("pos")).first()[0])
+    each = written(counted, "place-counts")
+    last = F.lit(each.agg(F.max("pos")).first()[0])
     kept = each.groupBy("kmer").agg(F.sum("n").alias("times")).filter((F.col("times") >= low) & (F.try_divide(F.col("times"), last) <= high))
     return each.join(kept.select("kmer"), "kmer").filter(F.col("n_docs") >= low).select("kmer", "pos", "n_docs")
 

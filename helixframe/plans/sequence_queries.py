@@ -181,7 +181,7 @@ e AS (SELECT kmer, pos, count(DISTINCT id) AS n_docs, count(*) AS n FROM k GROUP
 f AS (SELECT kmer FROM e GROUP BY kmer HAVING sum(n) >= 2 AND sum(n) / (SELECT max(pos) FROM k) <= 100)
 SELECT kmer, CAST(pos AS INTEGER) AS pos, CAST(n_docs AS BIGINT) AS n_docs FROM e JOIN f USING (kmer) WHERE n_docs >= 2""")
 def kmer_position_matrix(spark, sf_dir):
-    return kmers.position_matrix(kmers.occurrences(dna(spark, sf_dir), 3), low=2, high=100.0)
+    return kmers.position_matrix(kmers.place_counts(dna(spark, sf_dir), 3), low=2, high=100.0)
 
 
 @query(f"""

@@ -67,6 +67,23 @@ def test_words_cross_chunks(spark):
     assert sorted((r["id"], r["pos"], r["kmer"]) for r in found) == [(1, i, seq[i : i + 5]) for i in range(1296) if "N" not in seq[i : i + 5]]
 
 
+@pytest.mark.parametrize("k", [3, 8, 17])
+def test_place_counts_equal_brute_force(spark, k):
+    """Ids that occur once, several times and not at all; places beyond those that a task holds; nothing is counted by single rows where an id is alone."""
+    draw = random.Random(k)
+    passage = "".join(draw.choices("ACGT", k=90))
+    rows = [(i if i < 30 else draw.choice([None, 30, 31, 32]), draw.choice(["", "AC", passage, passage[:70], passage[:40] + "N" + passage[41:], passage.lower()])) for i in range(50)]
+    want = {}
+    for i, x in rows:
+        for p in range(len(x) - k + 1):
+            if (w := x[p : p + k].upper()).strip("ACGT") == "":
+                want.setdefault((w, p), []).append(i)
+    df = spark.createDataFrame(rows, "id long, seq string")
+    found = kmers.place_counts(df, k).collect()
+    assert {(r["kmer"], r["pos"]): (r["n_docs"], r["n"]) for r in found} == {key: (len(set(x) - {None}), len(x)) for key, x in want.items()} and len(found) == len(want)
+    assert kmers.place_counts(df.filter("id < 0"), k).count() == 0
+
+
 @pytest.mark.parametrize("width", [1, 5, 64])
 def test_overlap_join_equals_brute_force(spark, width):
     draw = random.Random(width)

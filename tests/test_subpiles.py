@@ -86,3 +86,14 @@ def test_families_of_sub_piles(spark):
     assert sorted(map(len, by.values())) == [3, 3]
     a, b = sorted(by.values(), key=lambda f: ("x", 2000) in f)
     assert len(set(a.values())) == 1 and b["x", 2000] == b["w", 10] == -b["y", 3000]
+
+
+def test_piles_of_one_cluster_need_no_group_of_their_own(spark):
+    """A Python group for each pile takes milliseconds, and most piles hold one cluster."""
+    rows = [(f"p{p}", 0, 100, s, s + 30) for p in range(300) for s in ([5] if p % 3 else [5, 60, 61])]
+    df = spark.createDataFrame(rows, "pile_id string, p_start long, p_end long, i_start long, i_end long")
+    made = piles.subpiles(df, share=0.1, target=2.0)
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+    got = sorted((r["pile_id"], r["cluster"], r["start"], r["end"], r["depth"], r["accepted"]) for r in made.collect())
+    one, two = [(0, 5, 35, 1, True)], [(0, 60, 91, 2, True), (1, 5, 35, 1, True)]
+    assert got == sorted((f"p{p}", *c) for p in range(300) for c in (one if p % 3 else two))

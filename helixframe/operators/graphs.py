@@ -46,11 +46,16 @@ def signed_components(edges: DataFrame) -> DataFrame:
     crosses; a component with both sides of a node is contradictory and is dropped whole. Strands are
     relative to the smallest node, which is plus.
     """
-    side = lambda node, s: F.concat_ws("", F.lpad(F.col(node).cast("string"), 20, "0"), s)
-    cross = F.when(F.col("twist") == 1, F.lit("+")).otherwise(F.lit("-"))
-    other = F.when(F.col("twist") == 1, F.lit("-")).otherwise(F.lit("+"))
-    doubled = edges.select(side("src", F.lit("+")).alias("src"), side("dst", cross).alias("dst")).unionByName(edges.select(side("src", F.lit("-")).alias("src"), side("dst", other).alias("dst")))
-    found = components(doubled).select(F.substring("node", 1, 20).cast("long").alias("node"), F.substring("node", 21, 1).alias("own"), F.substring("component", 1, 20).cast("long").alias("component"), F.substring("component", 21, 1).alias("side"))
+    edges = written(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "twist"), "twisted")
+    low, high = edges.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+    # a side is twice its node's number, one more for minus: a long, or a decimal where that is too short
+    kind = "decimal(20,0)" if low is not None and (low < -(1 << 62) or high >= 1 << 62) else "long"
+    side = lambda node, s: (F.col(node).cast(kind) * 2 + s).cast(kind)
+    node = lambda c: (F.shiftright(c, 1) if kind == "long" else F.floor(F.col(c) / 2)).cast("long")
+    mark = lambda c: F.when(F.col(c) % 2 == 0, "+").otherwise("-")
+    cross = F.when(F.col("twist") == 1, 0).otherwise(1)
+    doubled = edges.select(side("src", F.lit(0)).alias("src"), side("dst", cross).alias("dst")).unionByName(edges.select(side("src", F.lit(1)).alias("src"), side("dst", 1 - cross).alias("dst")))
+    found = components(doubled).select(node("node").alias("node"), mark("node").alias("own"), node("component").alias("component"), mark("component").alias("side"))
     plus = found.filter("side = '+'").groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
     bad = written(plus.filter("n > 1").select("component").distinct(), "contradictions")
     return plus.join(bad, "component", "left_anti").select("node", "component", F.when(F.col("own") == "+", 1).otherwise(-1).alias("strand"))

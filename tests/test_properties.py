@@ -130,6 +130,15 @@ def test_components_and_signs(spark):
     assert {r["node"]: r["strand"] for r in graphs.signed_components(df).collect()} == good
 
 
+@pytest.mark.parametrize("shift", [0, -1000, (1 << 63) - 40, -(1 << 63) + 5])
+def test_signs_of_nodes_of_any_number(spark, shift):
+    """The smallest node is plus, below zero and near the ends of 64 bits as well; a component that contradicts itself goes."""
+    edges = [(1, 2, -1), (2, 13, 1), (13, 14, -1), (20, 21, 1), (21, 22, 1), (20, 22, -1), (30, 31, -1)]
+    df = spark.createDataFrame([(a + shift, b + shift, t) for a, b, t in edges], "src long, dst long, twist int")
+    found = {(r["node"] - shift, r["component"] - shift, r["strand"]) for r in graphs.signed_components(df).collect()}
+    assert found == {(1, 1, 1), (2, 1, -1), (13, 1, -1), (14, 1, 1), (30, 30, 1), (31, 30, -1)}
+
+
 def test_maximal_cliques_equal_brute_force(spark):
     edges = random_edges(8, 12, 36)
     near = {x: {b if a == x else a for a, b in edges if x in (a, b)} for x in range(12)}
